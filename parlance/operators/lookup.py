@@ -135,16 +135,23 @@ def _fill_sql(template: str, *fields: str) -> str:
     return f"concat({', '.join(part for pair in zip(texts, [*fields, chr(39) * 2], strict=True) for part in pair)})"
 
 
+# Chooses between the list and the sentences that say why there is none.  As a function of its own
+# it receives the subquery row as one argument, so the subquery is planned once.
+_ANSWER = (
+    "lookup_answer(f STRUCT<customers: BIGINT, records: BIGINT, text: STRING>, email STRING, none STRING) RETURNS STRING "
+    f"RETURN CASE WHEN coalesce(f.customers, 0) = 0 THEN {_fill_sql(NO_CUSTOMER, 'email')} "
+    "WHEN f.records = 0 THEN concat(none, email) ELSE f.text END"
+)
+
+
 def _list_sql(customers: str, records: str, record_id: str, date: str, line: str, none: str) -> str:
-    entry = f"struct(coalesce(-unix_date(r.{date}), 2147483647) AS o, r.{record_id}, {line} AS line)"
-    return f"""(
-        SELECT CASE
-            WHEN count(c.email) = 0 THEN {_fill_sql(NO_CUSTOMER, 'customer_email')}
-            WHEN count(r.customer_id) = 0 THEN {_fill_sql(none, 'customer_email')}
-            ELSE array_join(transform(array_sort(
-                collect_list(CASE WHEN r.customer_id IS NOT NULL THEN {entry} END)), e -> e.line), '\n') END
+    entry = f"struct(coalesce(-unix_date(r.{date}), 2147483647) AS o, r.{record_id} AS id, {line} AS line)"
+    found = f"""(
+        SELECT struct(count(*) AS customers, count(r.customer_id) AS records, array_join(transform(array_sort(
+            collect_list(CASE WHEN r.customer_id IS NOT NULL THEN {entry} END)), e -> e.line), '\n') AS text)
         FROM {customers} c LEFT JOIN {records} r ON r.customer_id = c.customer_id
         WHERE c.email = customer_email)"""
+    return f"lookup_answer({found}, customer_email, '{none.format('')}')"
 
 
 def register_lookups(spark: SparkSession, customers: str, billing: str, tickets: str) -> None:
@@ -160,8 +167,8 @@ def register_lookups(spark: SparkSession, customers: str, billing: str, tickets:
     functions = {
         "get_customer_info": (
             "Id, name, phone, status and address of the customer with this email",
-            f"(SELECT CASE WHEN count(*) = 0 THEN {_fill_sql(NO_CUSTOMER, 'customer_email')} "
-            f"ELSE min_by({profile}, customer_id) END FROM {customers} WHERE email = customer_email)"),
+            f"lookup_answer((SELECT struct(count(*) AS customers, count(*) AS records, min_by({profile}, customer_id) AS text) "
+            f"FROM {customers} WHERE email = customer_email), customer_email, '')"),
         "get_billing_info": (
             "Every bill of the customer with this email, latest first",
             _list_sql(customers, billing, "bill_id", "bill_date", bill, NO_BILLS)),
@@ -169,11 +176,12 @@ def register_lookups(spark: SparkSession, customers: str, billing: str, tickets:
             "Every ticket of the customer with this email, latest first",
             _list_sql(customers, tickets, "ticket_id", "created_date", ticket, NO_TICKETS)),
     }
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {_ANSWER}")
     for name, (comment, body) in functions.items():
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({_ARGUMENT}) RETURNS STRING COMMENT '{comment}' RETURN {body}")
 
 
 def drop_lookups(spark: SparkSession) -> None:
-    for name in ("get_customer_info", "get_billing_info", "get_support_tickets"):
+    for name in ("get_customer_info", "get_billing_info", "get_support_tickets", "lookup_answer"):
         spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
