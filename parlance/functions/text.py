@@ -68,15 +68,12 @@ def sentiment_label(text: Column, positive: list[str], negative: list[str]) -> C
 
     A stand-in for a hosted classifier: its labels are those of the lists given, no more.
     """
-    tokens = words(text)
-    up, down = count_in(tokens, positive), count_in(tokens, negative)
-    label = (
-        F.when((up > 0) & (up == down), "mixed")
-        .when(up > down, "positive")
-        .when(down > up, "negative")
-        .otherwise("neutral")
-    )
-    return F.when(text.isNotNull(), label)
+    def label(tokens: Column) -> Column:
+        up, down = count_in(tokens, positive), count_in(tokens, negative)
+        return F.when((up > 0) & (up == down), "mixed").when(up > down, "positive").when(down > up, "negative").otherwise("neutral")
+
+    # The one-element array binds the token list to a name, so the text is split once.
+    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(words(text)), label), 1))
 
 
 def fill_template(templates: list[str], number: Column, **fields: Column) -> Column:

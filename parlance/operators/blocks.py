@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from parlance.session import shared_dir
 from parlance.sizing import is_small
 
 BLOCK_ROWS = 8192
@@ -93,7 +94,9 @@ def score_join(
 ) -> DataFrame:
     """Everything ``scorer`` finds between the queries and the rows (partial results per task)."""
     spark: SparkSession = rows.sparkSession
+    shared_dir(spark)
     target = arrow_schema(schema)
+    queries = queries.checkpoint()  # measured and used without being computed twice
     if is_small(queries, max_queries):
         asked = spark.sparkContext.broadcast(queries.toArrow())
 

@@ -92,11 +92,13 @@ def run_metrics(scored: DataFrame, scorers: list[str], run_col: str = "run") ->
 
 def compare_runs(metrics: DataFrame, first: str, second: str, run_col: str = "run") -> DataFrame:
     """Metrics of the first run next to those of the second; a metric the second lacks counts as 0."""
-    a = metrics.where(F.col(run_col) == first).select("metric", F.col("value").alias("value_1"))
-    b = metrics.where(F.col(run_col) == second).select("metric", F.col("value").alias("__v"))
-    joined = a.join(b, "metric", "left").withColumn("value_2", F.coalesce("__v", F.lit(0.0))).drop("__v")
+    def value(run: str) -> Column:
+        return F.max(F.when(F.col(run_col) == run, F.col("value")))
+
+    # One grouping instead of a join of the metrics with themselves, so they are computed once.
+    sides = metrics.groupBy("metric").agg(value(first).alias("value_1"), F.coalesce(value(second), F.lit(0.0)).alias("value_2"))
     difference = F.col("value_1") - F.col("value_2")
-    return joined.select(
+    return sides.where(F.col("value_1").isNotNull()).select(
         "metric", "value_1", "value_2", difference.alias("difference"),
         F.format_string("%.3f", "value_1").alias("shown_1"),
         F.format_string("%.3f", "value_2").alias("shown_2"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.models import EmbedFn, embed_batch
 from parlance.operators.infer import embed_text
-from parlance.sizing import broadcast_if_small
+from parlance.sizing import small_side
 from parlance.sources.tables import overwrite_table, table_or_none
 
 
@@ -53,8 +53,8 @@ def sync_index(
     changes = changes.checkpoint()
     if changes.isEmpty():
         return False
-    touched = broadcast_if_small(changes.select(key))
-    renewed = source.join(broadcast_if_small(changes.where(F.col("change") != "delete").select(key)), key, "left_semi")
+    touched = small_side(changes.select(key))
+    renewed = source.join(small_side(changes.where(F.col("change") != "delete").select(key)), key, "left_semi")
     fresh = build_index(renewed, key, text_col, embed)
     overwrite_table(index.join(touched, key, "left_anti").unionByName(fresh), index_table)
     return True

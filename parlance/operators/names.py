@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import clean_name
 from parlance.operators.blocks import BLOCK_ROWS, arrow_schema, score_join
-from parlance.sizing import MAX_BROADCAST_ROWS, broadcast_if_small, top_n
+from parlance.sizing import MAX_BROADCAST_ROWS, small_side, top_n
 
 
 def union_names(*sources: tuple[DataFrame, str]) -> DataFrame:
@@ -117,4 +117,4 @@ def correct_names(df: DataFrame, name_col: str, dictionary: DataFrame, threshold
     """Adds ``corrected`` and ``ratio``; both are NULL where no entry is close enough."""
     found = best_entries(df.select(F.col(name_col).alias("word")), dictionary, threshold, **bounds)
     found = found.select(F.col("word").alias(name_col), F.col("entry").alias("corrected"), "ratio")
-    return df.join(broadcast_if_small(found), name_col, "left")
+    return df.join(small_side(found), name_col, "left")

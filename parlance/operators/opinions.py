@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import count_in, has_any, words
 from parlance.operators.index import content_hashes
-from parlance.sizing import broadcast_if_small
+from parlance.sizing import small_side
 from parlance.sources.tables import quoted, table_or_none
 
 # The allowed classifications and the shape of an answer.
@@ -30,8 +30,8 @@ def mine_opinions(text: Column, topics: list[tuple[str, list[str]]], positive: l
 
     The first topic with a word in the sentence classifies it; word lists give the sentiment.
     """
-    def opinion(sentence: Column) -> Column:
-        tokens = words(sentence)
+    def opinion(part: Column) -> Column:
+        sentence, tokens = part["sentence"], part["tokens"]
         label = F.lit(default)
         for name, members in reversed(topics):
             label = F.when(has_any(tokens, members), name).otherwise(label)
@@ -40,7 +40,8 @@ def mine_opinions(text: Column, topics: list[tuple[str, list[str]]], positive: l
                      .when(down > up, "Negative").otherwise("Neutral"))
         return F.struct(label.alias("classification"), sentence.alias("comment"), sentiment.alias("sentiment"))
 
-    return F.to_json(F.transform(sentences(text), opinion))
+    split = F.transform(sentences(text), lambda s: F.struct(s.alias("sentence"), words(s).alias("tokens")))
+    return F.to_json(F.transform(split, opinion))
 
 
 def sentences(text: Column) -> Column:
@@ -103,7 +104,7 @@ def refresh_answers(source: DataFrame, answers_table: str, key: str, text_col: s
         # Keys and hashes are compared first; whole texts are shuffled only if much is new.
         hashes = content_hashes(source, key, text_col)
         new = hashes.join(known.select(key, "content_hash"), [key, "content_hash"], "left_anti").select(key)
-        wanted = wanted.join(broadcast_if_small(new), key, "left_semi")
+        wanted = wanted.join(small_side(new), key, "left_semi")
     answered = wanted.select(key, "content_hash", answer.alias("extracted_opinions"))
     answered.write.format("parquet").mode("append").saveAsTable(quoted(answers_table))
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import words
 from parlance.operators.blocks import BLOCK_ROWS, MAX_QUERIES, arrow_schema, score_join, sql_type
-from parlance.operators.vectors import TopK, cosines, plain, rounded, to_table, unit_rows, vector_topk
-from parlance.sizing import broadcast_if_small, top_n
+from parlance.operators.vectors import TopK, cosines, plain, rounded, to_table, unit_rows, vector_topk, with_vector
+from parlance.session import shared_dir
+from parlance.sizing import small_side, top_n
 
 # The usual BM25 and reciprocal-rank-fusion constants.
 K1, B, RRF = 1.2, 0.75, 60
@@ -34,7 +35,7 @@ def _weighted_queries(
     terms = queries.where(F.col(query_text).isNotNull()).select(
         query_id, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), words(F.col(query_text))))).alias("term")
     )
-    vocabulary = broadcast_if_small(terms.select("term").distinct())
+    vocabulary = small_side(terms.select("term").distinct())
     seen = tokenised.select(
         F.size("tokens").alias("length"),
         F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("term"),
@@ -55,7 +56,8 @@ def _weighted_queries(
     )
     if more:
         prepared = prepared.join(queries.select(query_id, *more), query_id)
-    return prepared
+    shared_dir(queries.sparkSession)
+    return prepared.checkpoint()
 
 
 class _Keywords:
@@ -154,13 +156,17 @@ def hybrid_topk(
     winner is missing.  The second pass counts how many documents beat each kept one in either
     ranking, which gives its exact ranks without ever ranking the whole corpus.
     """
-    docs = _tokenised(corpus, corpus_id, corpus_text, corpus_vector).where(F.col(corpus_vector).isNotNull())
+    docs = _tokenised(corpus, corpus_id, corpus_text, corpus_vector)
     asked = _weighted_queries(
-        queries.where(F.col(query_vector).isNotNull()), docs.select(corpus_id, "tokens"), query_id, query_text, query_vector
+        queries, docs.select(corpus_id, "tokens"), query_id, query_text, query_vector
     )
     qtype, itype = sql_type(queries, query_id), sql_type(corpus, corpus_id)
     depth = 2 * k + RRF
 
+    def prepare(table: pa.Table) -> tuple[pa.Table, _Keywords, np.ndarray]:
+        table = with_vector(table, query_vector)
+        return table, _Keywords(table), unit_rows(table.column(query_vector))
+
     def both(keywords: _Keywords, vectors: np.ndarray, batch) -> tuple[np.ndarray, np.ndarray]:
         kw = _finite_rounded(keywords.scores(plain(batch.column("tokens"))))
         return kw, rounded(cosines(unit_rows(batch.column(corpus_vector)), vectors))
@@ -170,11 +176,14 @@ def hybrid_topk(
 
     class Candidates:
         def __init__(self, table: pa.Table):
+            table, self.keywords, self.vectors = prepare(table)
             self.names = table.column(query_id).to_pylist()
-            self.keywords, self.vectors = _Keywords(table), unit_rows(table.column(query_vector))
             self.by_keyword, self.by_vector = TopK(len(self.names), depth), TopK(len(self.names), depth)
 
         def feed(self, batch):
+            batch = with_vector(batch, corpus_vector)
+            if not batch.num_rows or not self.names:
+                return ()
             kw, vec = both(self.keywords, self.vectors, batch)
             ids = batch.column(corpus_id).to_pylist()
             self.by_keyword.add(None, ids, kw, vec)
@@ -201,13 +210,16 @@ def hybrid_topk(
 
     class Ahead:
         def __init__(self, table: pa.Table):
+            table, self.keywords, self.vectors = prepare(table)
             self.names = table.column(query_id).to_pylist()
-            self.keywords, self.vectors = _Keywords(table), unit_rows(table.column(query_vector))
             self.items = [[(i["id"], i["keyword_score"], i["vector_score"]) for i in items]
                           for items in table.column("items").to_pylist()]
             self.ahead = [np.zeros((len(items), 2), dtype=np.int64) for items in self.items]
 
         def feed(self, batch):
+            batch = with_vector(batch, corpus_vector)
+            if not batch.num_rows or not self.names:
+                return ()
             ids = np.array(batch.column(corpus_id).to_pylist(), dtype=object)
             by_id = np.array(sorted(range(len(ids)), key=lambda r: ids[r]), dtype=np.int64)
             for which, scores in enumerate(both(self.keywords, self.vectors, batch)):
@@ -273,7 +285,7 @@ def base_topk(
 
 def with_columns(hits: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Adds the chosen source columns to the hits.  Hits are few; they are broadcast when measured so."""
-    return source.select(key, *columns).join(broadcast_if_small(hits), key)
+    return source.select(key, *columns).join(small_side(hits), key)
 
 
 def citation(title: Column | None = None, content: Column | None = None, source_url: Column | None = None) -> Column:

@@ -34,6 +34,13 @@ def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.divide(matrix, sizes, out=np.zeros_like(matrix), where=sizes > 0)
 
 
+def with_vector(batch, column: str):
+    """The rows that have a vector.  Tested here and not in the plan, where a filter on a computed
+    column would compute the embedding a second time."""
+    valid = batch.column(column).is_valid()
+    return batch if batch.column(column).null_count == 0 else batch.filter(valid)
+
+
 def cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     if rows.shape[1] != queries.shape[1]:
         raise ValueError(f"vector lengths differ: {rows.shape[1]} and {queries.shape[1]}")
@@ -102,19 +109,23 @@ def vector_topk(
     Ties are broken by id after rounding the score.  Each task hands on at most k rows per query.
     """
     groups = [group_col] if group_col else []
-    index = index.select(index_id, index_vector, *groups).where(F.col(index_vector).isNotNull())
-    queries = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
+    index = index.select(index_id, index_vector, *groups)
+    queries = queries.select(query_id, query_vector)
     fields = [(query_id, queries), *[(g, index) for g in groups], (index_id, index)]
     schema = ", ".join(f"{name} {sql_type(df, name)}" for name, df in fields) + ", score double"
     target = arrow_schema(schema)
 
     class Search:
         def __init__(self, asked: pa.Table):
+            asked = with_vector(asked, query_vector)
             self.names = asked.column(query_id).to_pylist()
             self.vectors = unit_rows(asked.column(query_vector))
             self.top = TopK(len(self.names), k)
 
         def feed(self, batch):
+            batch = with_vector(batch, index_vector)
+            if not batch.num_rows or not self.names:
+                return ()
             ids = batch.column(index_id).to_pylist()
             scores = rounded(cosines(unit_rows(batch.column(index_vector)), self.vectors))
             if not group_col:
@@ -150,17 +161,20 @@ def vector_threshold(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Every index row whose similarity to a query is strictly above the threshold; scored once per pair."""
-    index = index.select(index_id, index_vector).where(F.col(index_vector).isNotNull())
-    queries = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
+    index, queries = index.select(index_id, index_vector), queries.select(query_id, query_vector)
     schema = f"{query_id} {sql_type(queries, query_id)}, {index_id} {sql_type(index, index_id)}, score double"
     target = arrow_schema(schema)
 
     class Above:
         def __init__(self, asked: pa.Table):
+            asked = with_vector(asked, query_vector)
             self.names = plain(asked.column(query_id)).cast(target.field(0).type)
             self.vectors = unit_rows(asked.column(query_vector))
 
         def feed(self, batch):
+            batch = with_vector(batch, index_vector)
+            if not batch.num_rows or not len(self.names):
+                return
             ids = plain(batch.column(index_id)).cast(target.field(1).type)
             vectors = unit_rows(batch.column(index_vector))
             for start in range(0, len(vectors), _TILE):
@@ -182,11 +196,7 @@ def distinct_vectors(index: DataFrame, index_id: str = "id", index_vector: str =
 
     Exact copies are folded before any pairing, so a group of copies costs one row, not its square.
     """
-    return (
-        index.where(F.col(index_vector).isNotNull())
-        .groupBy(index_vector)
-        .agg(F.min(index_id).alias(index_id), F.count("*").alias("copies"))
-    )
+    return index.groupBy(index_vector).agg(F.min(index_id).alias(index_id), F.count("*").alias("copies"))
 
 
 def copy_groups(index: DataFrame, index_id: str = "id", index_vector: str = "embedding") -> DataFrame:
@@ -253,6 +263,7 @@ def similarity_self_join(
     shared_dir(index.sparkSession)
     radius = float(np.sqrt(max(2 - 2 * threshold, 0))) + 1e-6
     unique = distinct_vectors(index.select(index_id, index_vector), index_id, index_vector).checkpoint()
+    unique = unique.where(F.col(index_vector).isNotNull())
 
     chosen = unique.select(index_vector, index_id).orderBy(F.xxhash64(index_vector), index_id).limit(n_cells).toArrow()
     sample = unit_rows(chosen.column(0)) if chosen.num_rows else np.zeros((1, 1))

@@ -12,7 +12,7 @@ from parlance.operators.infer import embed_text
 from parlance.operators.vectors import vector_topk
 from parlance.plans.registry import SQL_WORDS, Tables, query, sql_cells
 from parlance.session import run_dir
-from parlance.sources.tables import scratch_schema
+from parlance.sources.tables import overwrite_table, scratch_schema
 from parlance.streaming.jobs import index_stream, read_stream
 
 _DOC_WORDS, _QUERY_WORDS = SQL_WORDS.format("text"), SQL_WORDS.format("text")
@@ -119,7 +119,10 @@ def _sql_cosine(table: str, key: str, words: str) -> str:
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
     SELECT query_id, doc_id, keyword_rank, vector_rank, score, rank FROM r WHERE rank <= 5""")
 def hybrid_topk(t: Tables) -> DataFrame:
-    corpus = embed_text(t.documents.select("doc_id", "text"), "text")
+    """Texts are embedded once into a table; both passes of the search read that table."""
+    table = f"{scratch_schema(t.spark, 'hybrid')}.documents"
+    overwrite_table(embed_text(t.documents.select("doc_id", "text"), "text"), table)
+    corpus = t.spark.table(table)
     return ops.hybrid_topk(_vector_queries(t), corpus, 5, corpus_id="doc_id")
 
 

@@ -33,8 +33,13 @@ def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int =
     return found["n"] <= max_rows and found["bytes"] <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after measuring; a larger side is left to a shuffle join."""
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A join side that is broadcast if it is measured to be small, and shuffled otherwise.
+
+    It is checkpointed first, so measuring it does not compute it twice.
+    """
+    shared_dir(df.sparkSession)
+    df = df.checkpoint()
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
