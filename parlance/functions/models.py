@@ -21,6 +21,19 @@ ModelFn = Callable[[list[str]], list[str]]
 
 DIMENSIONS = 64
 _WORD = re.compile(r"[^\W_]+")
+_MAX_CELLS = 500_000
+
+
+class _Cells(dict):
+    """Feature -> dimension, plus DIMENSIONS when the sign is negative.  One per Python worker."""
+
+    def __missing__(self, feature: str) -> int:
+        value = int(hashlib.md5(feature.encode()).hexdigest()[:7], 16)
+        code = self[feature] = value % (2 * DIMENSIONS)
+        return code
+
+
+_cells = _Cells()
 
 
 def word_features(text: str) -> list[str]:
@@ -35,15 +48,14 @@ def trigram_features(text: str) -> list[str]:
 
 def embed_batch(texts: list[str], features: Callable[[str], list[str]] = word_features) -> np.ndarray:
     """Feature hashing: md5 of a feature gives its dimension and sign; rows are scaled to unit length."""
-    cells: dict[str, tuple[int, float]] = {}
+    if len(_cells) > _MAX_CELLS:
+        _cells.clear()
     out = np.zeros((len(texts), DIMENSIONS))
     for row, text in enumerate(texts):
-        for feature in features(text):
-            cell = cells.get(feature)
-            if cell is None:
-                value = int(hashlib.md5(feature.encode()).hexdigest()[:7], 16)
-                cell = cells[feature] = (value % DIMENSIONS, 1.0 if (value // DIMENSIONS) % 2 == 0 else -1.0)
-            out[row, cell[0]] += cell[1]
+        codes = [_cells[f] for f in features(text)]
+        if codes:
+            counts = np.bincount(codes, minlength=2 * DIMENSIONS)
+            out[row] = counts[:DIMENSIONS] - counts[DIMENSIONS:]
     sizes = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, sizes, out=out, where=sizes > 0)
 

@@ -56,8 +56,7 @@ def _weighted_queries(
     )
     if more:
         prepared = prepared.join(queries.select(query_id, *more), query_id)
-    shared_dir(queries.sparkSession)
-    return prepared.checkpoint()
+    return prepared
 
 
 class _Keywords:
@@ -157,9 +156,10 @@ def hybrid_topk(
     ranking, which gives its exact ranks without ever ranking the whole corpus.
     """
     docs = _tokenised(corpus, corpus_id, corpus_text, corpus_vector)
+    shared_dir(queries.sparkSession)
     asked = _weighted_queries(
         queries, docs.select(corpus_id, "tokens"), query_id, query_text, query_vector
-    )
+    ).checkpoint()  # both passes use it
     qtype, itype = sql_type(queries, query_id), sql_type(corpus, corpus_id)
     depth = 2 * k + RRF
 
@@ -226,12 +226,12 @@ def hybrid_topk(
                 for q, items in enumerate(self.items):
                     order = by_id[np.argsort(-scores[by_id, q], kind="stable")]
                     down, keys = -scores[order, q], ids[order]
-                    for n, item in enumerate(items):
-                        mine = -item[1 + which]
-                        if not np.isfinite(mine):
-                            continue
-                        lo, hi = np.searchsorted(down, mine, "left"), np.searchsorted(down, mine, "right")
-                        self.ahead[q][n, which] += lo + np.searchsorted(keys[lo:hi], item[0], "left")
+                    mine = np.array([-item[1 + which] for item in items])
+                    lo, hi = np.searchsorted(down, mine, "left"), np.searchsorted(down, mine, "right")
+                    ties = np.zeros(len(items), dtype=np.int64)
+                    for n in np.flatnonzero(hi > lo):
+                        ties[n] = np.searchsorted(keys[lo[n]:hi[n]], items[n][0], "left")
+                    self.ahead[q][:, which] += np.where(np.isfinite(mine), lo + ties, 0)
             return ()
 
         def finish(self):

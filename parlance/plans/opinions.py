@@ -9,6 +9,7 @@ from parlance.functions import text
 from parlance.operators import infer, opinions
 from parlance.plans.registry import SQL_WORDS, Tables, query
 from parlance.session import run_dir
+from parlance.sizing import spread
 from parlance.sources.tables import scratch_schema
 from parlance.streaming.jobs import answers_stream, read_stream
 
@@ -39,7 +40,7 @@ def _sql_label(mixed: str, up: str, down: str, neutral: str) -> str:
         SELECT doc_id, {_sql_count(SQL_WORDS.format('text'), POSITIVE)} AS up,
                {_sql_count(SQL_WORDS.format('text'), NEGATIVE)} AS down FROM documents)""")
 def sentiment_label(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.sentiment_label(F.col("text"), POSITIVE, NEGATIVE).alias("sentiment"))
+    return spread(t.documents).select("doc_id", text.sentiment_label(F.col("text"), POSITIVE, NEGATIVE).alias("sentiment"))
 
 
 @query(f"""
@@ -85,7 +86,7 @@ _OPINIONS = f"""
 
 @query(f"{_OPINIONS} SELECT classification, comment, sentiment, doc_id, lang FROM opinions")
 def opinion_explode(t: Tables) -> DataFrame:
-    answered = t.documents.select("doc_id", "lang", _answer().alias("extracted_opinions"))
+    answered = spread(t.documents).select("doc_id", "lang", _answer().alias("extracted_opinions"))
     return opinions.explode_opinions(answered).drop("extracted_opinions")
 
 
@@ -93,7 +94,7 @@ def opinion_explode(t: Tables) -> DataFrame:
     SELECT coalesce(classification, 'ALL') AS classification, coalesce(sentiment, 'ALL') AS sentiment,
            count(*) AS n_opinions FROM opinions GROUP BY ROLLUP (classification, sentiment)""")
 def opinion_summary(t: Tables) -> DataFrame:
-    answered = t.documents.select(_answer().alias("extracted_opinions"))
+    answered = spread(t.documents).select(_answer().alias("extracted_opinions"))
     return opinions.opinion_summary(opinions.explode_opinions(answered))
 
 
@@ -103,20 +104,20 @@ def opinion_summary(t: Tables) -> DataFrame:
     SELECT 0 AS unreadable, (SELECT count(*) FROM documents WHERE regexp_full_match(text, '(?s)[ .!?\\n]*')) AS empty,
            (SELECT count(*) FROM w WHERE {_TOPIC} = 'price') AS off_list""")
 def opinion_rejects(t: Tables) -> DataFrame:
-    return opinions.opinion_rejects(t.documents.select(_answer().alias("extracted_opinions")))
+    return opinions.opinion_rejects(spread(t.documents).select(_answer().alias("extracted_opinions")))
 
 
 def _older(t: Tables) -> DataFrame:
     """An earlier state: no German documents, and Spanish ones with another text."""
     changed = F.when(F.col("lang") == "es", F.upper("text")).otherwise(F.col("text"))
-    return t.documents.where(F.col("lang") != "de").select("doc_id", changed.alias("text"))
+    return spread(t.documents.where(F.col("lang") != "de").select("doc_id", changed.alias("text")))
 
 
 @query(f"{_OPINIONS} SELECT doc_id, classification, comment, sentiment FROM opinions")
 def opinion_mv_refresh(t: Tables) -> DataFrame:
     """Two refreshes, with new and changed documents in between, equal one run over the last state."""
     table = f"{scratch_schema(t.spark, 'opinions')}.answers"
-    documents = t.documents.select("doc_id", "text")
+    documents = spread(t.documents.select("doc_id", "text"))
     for state in (_older(t), documents):
         opinions.refresh_answers(state, table, "doc_id", "text", _answer())
     found = opinions.current_opinions(documents, table, "doc_id", "text")

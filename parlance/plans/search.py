@@ -12,6 +12,7 @@ from parlance.operators.infer import embed_text
 from parlance.operators.vectors import vector_topk
 from parlance.plans.registry import SQL_WORDS, Tables, query, sql_cells
 from parlance.session import run_dir
+from parlance.sizing import spread
 from parlance.sources.tables import overwrite_table, scratch_schema
 from parlance.streaming.jobs import index_stream, read_stream
 
@@ -56,7 +57,7 @@ def _index_rows(index: DataFrame) -> DataFrame:
 def index_sync(t: Tables) -> DataFrame:
     table = f"{scratch_schema(t.spark, 'index_sync')}.documents_index"
     for snapshot in _snapshots(t):
-        sync_index(snapshot, table, "doc_id", "text")
+        sync_index(spread(snapshot), table, "doc_id", "text")
     return _index_rows(t.spark.table(table))
 
 
@@ -97,7 +98,7 @@ _BM25 = f"""
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM kr WHERE rank <= 5")
 def keyword_topk(t: Tables) -> DataFrame:
-    return ops.keyword_topk(_queries(t), t.documents, 5, corpus_id="doc_id")
+    return ops.keyword_topk(_queries(t), spread(t.documents), 5, corpus_id="doc_id")
 
 
 def _sql_cosine(table: str, key: str, words: str) -> str:
@@ -121,7 +122,7 @@ def _sql_cosine(table: str, key: str, words: str) -> str:
 def hybrid_topk(t: Tables) -> DataFrame:
     """Texts are embedded once into a table; both passes of the search read that table."""
     table = f"{scratch_schema(t.spark, 'hybrid')}.documents"
-    overwrite_table(embed_text(t.documents.select("doc_id", "text"), "text"), table)
+    overwrite_table(embed_text(spread(t.documents.select("doc_id", "text")), "text"), table)
     corpus = t.spark.table(table)
     return ops.hybrid_topk(_vector_queries(t), corpus, 5, corpus_id="doc_id")
 
@@ -133,13 +134,13 @@ def hybrid_topk(t: Tables) -> DataFrame:
           FROM v JOIN documents USING (doc_id))
     SELECT query_id, lang, doc_id, score, rank FROM r WHERE rank <= CASE lang WHEN 'en' THEN 3 ELSE 2 END""")
 def kb_topk(t: Tables) -> DataFrame:
-    corpus = embed_text(t.documents.select("doc_id", "lang", "text"), "text")
+    corpus = embed_text(spread(t.documents.select("doc_id", "lang", "text")), "text")
     return ops.base_topk(_vector_queries(t), corpus, "lang", 2, {"en": 3}, index_id="doc_id")
 
 
 def _pages(t: Tables) -> DataFrame:
     html = F.col("html")
-    return t.pages.select("page_id", "url", url_host(F.col("url")).alias("host"), html_title(html).alias("title"),
+    return spread(t.pages).select("page_id", "url", url_host(F.col("url")).alias("host"), html_title(html).alias("title"),
                           html_text(html).alias("text"))
 
 

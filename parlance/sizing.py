@@ -43,6 +43,16 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Uses every core when the input comes in fewer pieces than there are cores.
+
+    For work that is heavy per row over one or two file splits.  Large inputs have more splits than
+    cores and are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank_col: str = "rank") -> DataFrame:
     """First ``n`` rows per key.  Spark limits each key before the shuffle, so hot keys stay cheap."""
     ranked = df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
