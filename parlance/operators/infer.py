@@ -35,8 +35,11 @@ def timed_infer(df: DataFrame, text_col: str, model: ModelFn, keep: list[str]) -
 
 
 def embed_text(df: DataFrame, text_col: str, embed: EmbedFn = embed_batch, vector_col: str = "embedding") -> DataFrame:
-    """Adds the embedding of a text column (one Arrow pass, no shuffle)."""
-    return df.withColumn(vector_col, text_embedding_udf(embed)(F.col(text_col)))
+    """Adds the embedding of a text column (one Arrow pass, no shuffle).
+
+    Marked nondeterministic, so that a later filter on the vector cannot make Spark compute it twice.
+    """
+    return df.withColumn(vector_col, text_embedding_udf(embed).asNondeterministic()(F.col(text_col)))
 
 
 def embed_distinct(df: DataFrame, text_col: str, embed: EmbedFn = embed_batch) -> DataFrame:
