@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.models import EmbedFn, embed_batch
 from parlance.operators.infer import embed_text
-from parlance.sizing import small_side
-from parlance.sources.tables import overwrite_table, table_or_none
+from parlance.sizing import small_side, top_n
+from parlance.sources.tables import overwrite_table, quoted, recover_table, table_or_none
 
 
 def content_hashes(df: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -34,27 +34,60 @@ def build_index(source: DataFrame, key: str, text_col: str, embed: EmbedFn = emb
     return embed_text(hashed, text_col, embed).select(key, "content_hash", "embedding")
 
 
+def read_index(spark: SparkSession, name: str) -> DataFrame:
+    """The index as it is now: the base without changed keys, and the latest state of those.
+
+    Changes are few compared with the base, so the base is filtered in place and not shuffled.
+    """
+    base, changes = spark.table(quoted(name)), table_or_none(spark, _changes(name))
+    if changes is None:
+        return base
+    key = base.columns[0]
+    latest = top_n(changes, [key], [F.col("seq").desc()], 1).drop("rank", "seq")
+    kept = base.join(small_side(latest.select(key)), key, "left_anti")
+    return kept.unionByName(latest.where(F.col("content_hash").isNotNull()))
+
+
+def compact_index(spark: SparkSession, name: str) -> None:
+    """Folds the changes into the base.  If it is cut short in between, applying them again changes nothing."""
+    if table_or_none(spark, _changes(name)) is not None:
+        overwrite_table(read_index(spark, name), name)
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(_changes(name))}")
+
+
+def _changes(name: str) -> str:
+    return f"{name}__changes"
+
+
 def sync_index(
-    source: DataFrame, index_table: str, key: str, text_col: str, embed: EmbedFn = embed_batch, partial: bool = False
+    source: DataFrame, index_table: str, key: str, text_col: str, embed: EmbedFn = embed_batch, partial: bool = False,
+    compact_above: float = 0.1,
 ) -> bool:
     """Creates the index table, or brings it up to date; True if anything was written.
 
-    Only new and changed texts are embedded.  Running it again changes nothing.  With ``partial`` the
-    source holds changed rows only, so keys it lacks are kept.
+    ``key`` is unique in the source.  Only new and changed texts are embedded, and only they are
+    written; the base is rewritten once changes exceed its share ``compact_above``.  Running a sync
+    again changes nothing.  With ``partial`` the source holds changed rows only, so keys it lacks are
+    kept and only its own keys are compared.
     """
     spark = source.sparkSession
-    index = table_or_none(spark, index_table)
-    if index is None:
+    recover_table(spark, index_table)
+    if table_or_none(spark, index_table) is None:
         overwrite_table(build_index(source, key, text_col, embed), index_table)
         return True
-    changes = snapshot_changes(index.select(key, "content_hash"), content_hashes(source, key, text_col), key)
+    old, new = read_index(spark, index_table).select(key, "content_hash"), content_hashes(source, key, text_col)
     if partial:
-        changes = changes.where(F.col("change") != "delete")
-    changes = changes.checkpoint()
+        old = old.join(small_side(new.select(key)), key, "left_semi")
+    changes = snapshot_changes(old, new, key).checkpoint()
     if changes.isEmpty():
         return False
-    touched = small_side(changes.select(key))
+    log = table_or_none(spark, _changes(index_table))
+    seq = 1 if log is None else log.agg(F.max("seq")).first()[0] + 1
     renewed = source.join(small_side(changes.where(F.col("change") != "delete").select(key)), key, "left_semi")
-    fresh = build_index(renewed, key, text_col, embed)
-    overwrite_table(index.join(touched, key, "left_anti").unionByName(fresh), index_table)
+    gone = changes.where(F.col("change") == "delete").select(key)
+    rows = build_index(renewed, key, text_col, embed).unionByName(gone, allowMissingColumns=True)
+    rows.withColumn("seq", F.lit(seq).cast("long")).write.format("parquet").mode("append").saveAsTable(
+        quoted(_changes(index_table)))
+    if spark.table(quoted(_changes(index_table))).count() > compact_above * spark.table(quoted(index_table)).count():
+        compact_index(spark, index_table)
     return True

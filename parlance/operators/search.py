@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +15,7 @@ from parlance.functions.text import words
 from parlance.operators.blocks import BLOCK_ROWS, MAX_QUERIES, arrow_schema, score_join, sql_type
 from parlance.operators.vectors import TopK, cosines, plain, rounded, to_table, unit_rows, vector_topk, with_vector
 from parlance.session import shared_dir
-from parlance.sizing import small_side, top_n
+from parlance.sizing import is_small, small_side, top_n
 
 # The usual BM25 and reciprocal-rank-fusion constants.
 K1, B, RRF = 1.2, 0.75, 60
@@ -29,18 +32,24 @@ def _weighted_queries(
 ) -> DataFrame:
     """Per query: its distinct terms and their idf, and the average document length, from one corpus pass.
 
-    Counts are kept for query terms only, so the corpus is reduced before the first shuffle.
+    Counts are kept for query terms only: before the first shuffle when those are few, else after
+    counting, so that a frequent term is always combined within its tasks first.
     An empty term stands for "any document" and yields the corpus totals in the same pass.
     """
     terms = queries.where(F.col(query_text).isNotNull()).select(
         query_id, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), words(F.col(query_text))))).alias("term")
     )
-    vocabulary = small_side(terms.select("term").distinct())
+    shared_dir(queries.sparkSession)
+    vocabulary = terms.select("term").distinct().checkpoint()
     seen = tokenised.select(
         F.size("tokens").alias("length"),
         F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("term"),
     )
-    counts = seen.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
+    totals = [F.count("*").alias("df"), F.avg("length").alias("mean")]
+    if is_small(vocabulary):
+        counts = seen.join(F.broadcast(vocabulary), "term").groupBy("term").agg(*totals)
+    else:
+        counts = seen.groupBy("term").agg(*totals).join(vocabulary, "term")
     known = terms.join(counts, "term")
     weighted = known.groupBy(query_id).agg(
         F.collect_list(F.when(F.col("term") != "", F.struct("term", "df"))).alias("found"),
@@ -283,6 +292,38 @@ def base_topk(
     return hits.where(F.col("rank") <= wanted)
 
 
+@dataclass
+class KnowledgeBase:
+    """An index (id, embedding and text columns) with its own number of results and result columns."""
+
+    name: str
+    index: DataFrame
+    id_col: str = "id"
+    k: int = 2
+    title: str | None = None
+    content: str | None = "content"
+    source_url: str | None = None
+    vector: str = "embedding"
+
+
+def search_bases(queries: DataFrame, bases: list[KnowledgeBase], query_id: str = "query_id", **columns: str) -> DataFrame:
+    """Several knowledge bases at once: query id, base, id, score, rank, document.
+
+    All bases are scored in one pass; then each hit gets the columns its own base shows.
+    """
+    parts = [b.index.select(F.lit(b.name).alias("base"), F.col(b.id_col).alias("id"), F.col(b.vector).alias("embedding"))
+             for b in bases]
+    every = reduce(DataFrame.unionByName, parts)
+    limits = {b.name: b.k for b in bases}
+    hits = base_topk(queries, every, "base", max(limits.values()), limits, query_id=query_id, **columns).checkpoint()
+    shown = []
+    for b in bases:
+        document = citation(*[F.col(c) if c else None for c in (b.title, b.content, b.source_url)])
+        texts = b.index.select(F.col(b.id_col).alias("id"), document.alias("document"))
+        shown.append(with_columns(hits.where(F.col("base") == b.name), texts, "id", ["document"]))
+    return reduce(DataFrame.unionByName, shown).select(query_id, "base", "id", "score", "rank", "document")
+
+
 def with_columns(hits: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Adds the chosen source columns to the hits.  Hits are few; they are broadcast when measured so."""
     return source.select(key, *columns).join(small_side(hits), key)

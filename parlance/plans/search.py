@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import html_text, html_title, url_host
+from parlance.functions.models import embed_names
 from parlance.operators import search as ops
-from parlance.operators.index import content_hashes, snapshot_changes, sync_index
+from parlance.operators.evaluate import is_cited
+from parlance.operators.index import content_hashes, read_index, snapshot_changes, sync_index
 from parlance.operators.infer import embed_text
 from parlance.operators.vectors import vector_topk
-from parlance.plans.registry import SQL_WORDS, Tables, query, sql_cells
+from parlance.plans.registry import SQL_WORDS, Tables, query, sql_cells, sql_trigrams
 from parlance.session import run_dir
 from parlance.sizing import spread
+from parlance.sources.pages import ingest_pages
 from parlance.sources.tables import overwrite_table, scratch_schema
 from parlance.streaming.jobs import index_stream, read_stream
 
@@ -58,7 +60,7 @@ def index_sync(t: Tables) -> DataFrame:
     table = f"{scratch_schema(t.spark, 'index_sync')}.documents_index"
     for snapshot in _snapshots(t):
         sync_index(spread(snapshot), table, "doc_id", "text")
-    return _index_rows(t.spark.table(table))
+    return _index_rows(read_index(t.spark, table))
 
 
 @query(_sql_index("SELECT doc_id, text FROM documents"))
@@ -71,7 +73,7 @@ def index_sync_stream(t: Tables) -> DataFrame:
         delivery.write.mode("append").parquet(folder)
         stream = read_stream(t.spark, folder, "doc_id bigint, text string")
         index_stream(stream, table, "doc_id", "text", checkpoint).awaitTermination()
-    return _index_rows(t.spark.table(table))
+    return _index_rows(read_index(t.spark, table))
 
 
 def _queries(t: Tables) -> DataFrame:
@@ -111,13 +113,16 @@ def _sql_cosine(table: str, key: str, words: str) -> str:
           FROM benchmark CROSS JOIN {table} LEFT JOIN hit ON hit.q = item_id AND hit.d = {key})"""
 
 
-@query(f"""
-    WITH {_BM25}, {_sql_cosine('documents', 'doc_id', _DOC_WORDS)},
+_FUSED = """
     vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v),
     f AS (SELECT query_id, doc_id, kr.rank AS keyword_rank, vr.rank AS vector_rank,
                  round(coalesce(1.0 / (60 + kr.rank), 0) + 1.0 / (60 + vr.rank), 6) AS score
           FROM vr LEFT JOIN kr USING (query_id, doc_id)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)"""
+
+
+@query(f"""
+    WITH {_BM25}, {_sql_cosine('documents', 'doc_id', _DOC_WORDS)}, {_FUSED}
     SELECT query_id, doc_id, keyword_rank, vector_rank, score, rank FROM r WHERE rank <= 5""")
 def hybrid_topk(t: Tables) -> DataFrame:
     """Texts are embedded once into a table; both passes of the search read that table."""
@@ -138,10 +143,11 @@ def kb_topk(t: Tables) -> DataFrame:
     return ops.base_topk(_vector_queries(t), corpus, "lang", 2, {"en": 3}, index_id="doc_id")
 
 
+UPDATED = "2024-02-01 12:00:00"
+
+
 def _pages(t: Tables) -> DataFrame:
-    html = F.col("html")
-    return spread(t.pages).select("page_id", "url", url_host(F.col("url")).alias("host"), html_title(html).alias("title"),
-                          html_text(html).alias("text"))
+    return ingest_pages(spread(t.pages), F.lit(UPDATED).cast("timestamp"))
 
 
 def _sql_unescape(text: str) -> str:
@@ -159,23 +165,71 @@ def _sql_strip(text: str) -> str:
 
 _TITLE = "trim(" + _sql_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ")"
 _PAGES = f"""
-    p AS (SELECT page_id, url, regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) AS host, {_TITLE} AS title,
+    p AS (SELECT page_id, url, html, regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) AS host, {_TITLE} AS title,
                  {_sql_strip('html')} AS text FROM pages)"""
 
 
-@query(f"WITH {_PAGES} SELECT page_id, url, host, title, text FROM p")
+@query(f"""
+    WITH {_PAGES}
+    SELECT page_id, url AS source_url, host, title, text AS content, md5(html) AS html_md5,
+           array_to_string(list_filter(string_split(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+/([^?#]*)', 1), '/'),
+                                       lambda s: regexp_matches(s, '[^0-9]')), ',') AS tags,
+           '{UPDATED}' AS last_updated FROM p""")
 def page_text(t: Tables) -> DataFrame:
-    return _pages(t)
+    return _pages(t).select(
+        "page_id", "source_url", "host", "title", "content", F.md5("content_html").alias("html_md5"),
+        F.array_join("tags", ",").alias("tags"), F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"))
 
 
 @query(f"""
     WITH {_PAGES}, {_sql_cosine('p', 'page_id', _DOC_WORDS)},
     r AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM v)
+    SELECT *, contains(answer, '[SOURCE URL:') AND contains(answer, 'example.com') AS cited FROM (
     SELECT query_id, string_agg('--- Document ' || rank || ' ---' || chr(10) || 'Document Title: ' || title || chr(10) || chr(10)
            || text || chr(10) || chr(10) || '[SOURCE URL: ' || url || ']', chr(10) || chr(10) ORDER BY rank) AS answer
-    FROM r JOIN p USING (page_id) WHERE rank <= 2 GROUP BY query_id""")
+    FROM r JOIN p USING (page_id) WHERE rank <= 2 GROUP BY query_id)""")
 def kb_citations(t: Tables) -> DataFrame:
     pages, queries = _pages(t), _vector_queries(t)
-    hits = vector_topk(queries, embed_text(pages, "text"), 2, index_id="page_id")
-    cited = ops.with_columns(hits, pages, "page_id", ["title", "text", "url"])
-    return ops.cited_answers(queries, cited, content="text", source_url="url")
+    hits = vector_topk(queries, embed_text(pages, "content"), 2, index_id="page_id")
+    cited = ops.with_columns(hits, pages, "page_id", ["title", "content", "source_url"])
+    answers = ops.cited_answers(queries, cited)
+    return answers.withColumn("cited", is_cited(F.col("answer"), "[SOURCE URL:", "example.com"))
+
+
+@query(f"""
+    WITH {_PAGES},
+    d AS (SELECT 'documents' AS base, doc_id AS id, text, text || chr(10) || chr(10) AS document FROM documents UNION ALL
+          SELECT 'pages', page_id, text, 'Document Title: ' || title || chr(10) || chr(10) || text || chr(10) || chr(10)
+                 || '[SOURCE URL: ' || url || ']' FROM p),
+    k AS (SELECT *, base || id AS bid FROM d), {_sql_cosine('k', 'bid', _DOC_WORDS)},
+    r AS (SELECT query_id, base, id, score, document, row_number() OVER (PARTITION BY query_id, base ORDER BY score DESC, id) AS rank
+          FROM v JOIN k USING (bid))
+    SELECT * FROM r WHERE rank <= CASE base WHEN 'pages' THEN 2 ELSE 3 END""")
+def kb_search(t: Tables) -> DataFrame:
+    """Two knowledge bases, each with its own number of results and its own columns."""
+    documents = embed_text(spread(t.documents.select("doc_id", "text")), "text")
+    pages = embed_text(_pages(t), "content")
+    return ops.search_bases(_vector_queries(t), [
+        ops.KnowledgeBase("documents", documents, "doc_id", k=3, content="text"),
+        ops.KnowledgeBase("pages", pages, "page_id", k=2, title="title", source_url="source_url")])
+
+
+_NAMES = ["bleu widget", "red wigdet", "steel gear", "small rring", "redbolt", "gizzmo"]
+_NAME_TRIGRAMS = sql_trigrams("text")
+
+
+@query(f"""
+    WITH q(query_id) AS (VALUES {', '.join(f"('{n}')" for n in _NAMES)}), benchmark AS (SELECT query_id AS item_id, query_id AS text FROM q),
+    documents AS (SELECT DISTINCT p_name AS doc_id, p_name AS text FROM part), {_BM25},
+    qc AS ({sql_cells('benchmark', 'item_id', _NAME_TRIGRAMS)}), dc AS ({sql_cells('documents', 'doc_id', _NAME_TRIGRAMS)}),
+    hit AS (SELECT qc.key AS q, dc.key AS d, sum(qc.value * dc.value) AS raw FROM qc JOIN dc USING (dim) GROUP BY ALL),
+    v AS (SELECT item_id AS query_id, doc_id, round(coalesce(raw, 0), 4) + 0 AS score
+          FROM benchmark CROSS JOIN documents LEFT JOIN hit ON hit.q = item_id AND hit.d = doc_id), {_FUSED}
+    SELECT query_id, doc_id AS p_name, keyword_rank, vector_rank, score, rank FROM r WHERE rank <= 5""")
+def name_hybrid_search(t: Tables) -> DataFrame:
+    """The test set of misspelled names in hybrid mode: whole words by keyword, close spellings by trigram."""
+    names = t.part.select("p_name", F.col("p_name").alias("text")).distinct()
+    asked = t.spark.createDataFrame([(n, n) for n in _NAMES], "query_id string, query_text string")
+    return ops.search(
+        embed_text(asked, "query_text", embed_names, "query_vector"), embed_text(names, "text", embed_names), 5,
+        corpus_id="p_name")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions.models import embed_batch
-from parlance.operators.index import build_index, content_hashes, snapshot_changes, sync_index
+from parlance.operators.index import build_index, compact_index, content_hashes, read_index, snapshot_changes, sync_index
 from parlance.sources.tables import overwrite_table
 from parlance.streaming.jobs import index_stream, read_stream
 
@@ -38,15 +38,30 @@ def test_sync_embeds_only_what_changed(spark, schema_name):
     second = docs(spark, [(i, f"text {i}" if i != 7 else "other") for i in range(5, 52)])
     assert sync_index(second, table, "id", "text", embed)
     assert calls.value == 53
-    assert state(spark.table(table)) == state(build_index(second, "id", "text"))
+    assert state(read_index(spark, table)) == state(build_index(second, "id", "text"))
     assert not sync_index(second, table, "id", "text", embed)
 
 
+def test_small_changes_leave_the_base_alone(spark, schema_name):
+    table = f"{schema_name}.idx"
+    rows = {i: f"text {i}" for i in range(100)}
+    sync_index(docs(spark, rows.items()), table, "id", "text")
+    for n in range(4):  # one key changes again and again, one goes and comes back
+        rows[7] = f"version {n}"
+        rows.pop(9) if 9 in rows else rows.update({9: "back"})
+        assert sync_index(docs(spark, rows.items()), table, "id", "text")
+        assert state(read_index(spark, table)) == state(build_index(docs(spark, rows.items()), "id", "text"))
+    assert spark.table(table).where("id = 7").first().content_hash != read_index(spark, table).where("id = 7").first().content_hash
+    compact_index(spark, table)
+    assert not spark.catalog.tableExists(f"{table}__changes")
+    assert state(spark.table(table)) == state(build_index(docs(spark, rows.items()), "id", "text"))
+
+
 def test_partial_sync_keeps_other_keys(spark, schema_name):
     table = f"{schema_name}.idx"
     sync_index(docs(spark, [(1, "a"), (2, "b")]), table, "id", "text")
     sync_index(docs(spark, [(2, "B"), (3, "c")]), table, "id", "text", partial=True)
-    assert state(spark.table(table)) == state(build_index(docs(spark, [(1, "a"), (2, "B"), (3, "c")]), "id", "text"))
+    assert state(read_index(spark, table)) == state(build_index(docs(spark, [(1, "a"), (2, "B"), (3, "c")]), "id", "text"))
 
 
 def test_an_overwrite_cut_short_is_completed(spark, schema_name):
@@ -72,7 +87,7 @@ def test_stream_reaches_the_batch_state(spark, schema_name, tmp_path):
     deliver([(1, "again", 3), (3, "c", 3)])
     deliver([(3, "c", 4)])
     want = docs(spark, [(1, "again"), (2, "newer"), (3, "c")])
-    assert state(spark.table(table)) == state(build_index(want, "id", "text"))
+    assert state(read_index(spark, table)) == state(build_index(want, "id", "text"))
 
 
 def test_missing_database_is_an_error(spark):
