@@ -17,10 +17,9 @@ def safe_infer(
     A limit applies before the model is called.  ``error_text`` puts ``Error: ...`` into the
     response as well, for callers that want one column.
     """
-    rows = df.select(*(keep or []), F.col(text_col).alias("input"))
     if limit is not None:
-        rows = df.orderBy(*order).limit(limit).select(*(keep or []), F.col(text_col).alias("input")) if order else rows.limit(limit)
-    called = rows.withColumn("__call", safe_call_udf(model)("input"))
+        df = (df.orderBy(*order) if order else df).limit(limit)
+    called = df.select(*(keep or []), F.col(text_col).alias("input")).withColumn("__call", safe_call_udf(model)("input"))
     response, error = F.col("__call.result"), F.col("__call.errorMessage")
     if error_text:
         response = F.coalesce(response, F.concat(F.lit("Error: "), error))

@@ -58,7 +58,9 @@ class _Dictionary:
         self.positions, self.entries = [p for p, _ in entries], [e for _, e in entries]
         self.letters = {ch: i for i, ch in enumerate(sorted(set("".join(self.entries))))}
         self.bags = np.array([self._bag(e) for e in self.entries], dtype=np.int32).reshape(len(entries), len(self.letters))
-        self.lengths = np.array([len(e) for e in self.entries])
+        self.lengths = np.array([len(e) for e in self.entries], dtype=np.int64)
+        self.by_length = np.argsort(self.lengths, kind="stable")
+        self.sorted_lengths = self.lengths[self.by_length]
         self.threshold, self.target = threshold, target
 
     def _bag(self, text: str) -> np.ndarray:
@@ -69,14 +71,20 @@ class _Dictionary:
         return bag
 
     def best(self, word: str) -> tuple | None:
-        totals = np.maximum(self.lengths + len(word), 1)
-        bound = (400 * np.minimum(self.bags, self._bag(word)).sum(1) + totals) // (2 * totals)
+        # The shorter text bounds the common part, so only entries of similar length can pass.
+        least = max(self.threshold, 0) / 100
+        lo = np.searchsorted(self.sorted_lengths, np.floor(len(word) * least / (2 - least)), "left")
+        hi = np.searchsorted(self.sorted_lengths, np.ceil(len(word) * (2 - least) / least), "right") if least else None
+        near = np.sort(self.by_length[lo:hi])
+        totals = np.maximum(self.lengths[near] + len(word), 1)
+        bound = (400 * np.minimum(self.bags[near], self._bag(word)).sum(1) + totals) // (2 * totals)
         masks, found, ratio = _masks(word), None, self.threshold
-        for e in np.argsort(-bound, kind="stable"):
-            if bound[e] < ratio or bound[e] <= self.threshold:
+        for n in np.argsort(-bound, kind="stable"):
+            if bound[n] < ratio or bound[n] <= self.threshold:
                 break
+            e = near[n]
             shared = common_subsequence(masks, len(word), self.entries[e])
-            exact = int((400 * shared + totals[e]) // (2 * totals[e]))
+            exact = int((400 * shared + totals[n]) // (2 * totals[n]))
             if exact > ratio or (exact == ratio and found is not None and e < found):
                 found, ratio = e, exact
         return None if found is None else (word, self.entries[found], ratio, self.positions[found])

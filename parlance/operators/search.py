@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import words
 from parlance.operators.blocks import BLOCK_ROWS, MAX_QUERIES, arrow_schema, score_join, sql_type
-from parlance.operators.vectors import TopK, cosines, plain, rounded, to_table, unit_rows, vector_topk, with_vector
+from parlance.operators.vectors import TopK, cosines, plain, rounded, tiles, to_table, unit_rows, vector_topk, with_vector
 from parlance.session import shared_dir
 from parlance.sizing import is_small, small_side, top_n
 
@@ -69,44 +70,58 @@ def _weighted_queries(
 
 
 class _Keywords:
-    """BM25 of a batch of token lists against all queries at once: one sparse count, one product."""
+    """BM25 of token lists against all queries: one sparse count, then one product per chunk of queries.
+
+    Chunks keep the term-by-query matrices small; a chunk knows only the terms of its own queries.
+    """
+
+    CHUNK, ROWS = 64, 512
 
     def __init__(self, asked: pa.Table):
         lists = asked.column("terms").to_pylist()
         weights = asked.column("idf").to_pylist()
         vocabulary = sorted({t for terms in lists for t in terms})
         place = {t: i for i, t in enumerate(vocabulary)}
-        self.vocabulary = pa.array(vocabulary, type=pa.string())
-        self.weight = np.zeros((len(vocabulary), len(lists)))
-        for q, (terms, idf) in enumerate(zip(lists, weights)):
-            for t, w in zip(terms, idf):
-                self.weight[place[t], q] = w
+        self.vocabulary, self.queries = pa.array(vocabulary, type=pa.string()), len(lists)
+        self.chunks = []
+        for start in range(0, len(lists), self.CHUNK):
+            part = slice(start, start + self.CHUNK)
+            own = np.array(sorted({place[t] for terms in lists[part] for t in terms}), dtype=np.int64)
+            local = np.full(len(vocabulary), -1, dtype=np.int32)
+            local[own] = np.arange(len(own))
+            weight = np.zeros((len(own), len(lists[part])))
+            for q, (terms, idf) in enumerate(zip(lists[part], weights[part])):
+                for t, w in zip(terms, idf):
+                    weight[local[place[t]], q] = w
+            self.chunks.append((part, local, weight))
         means = [m for m in asked.column("mean_length").to_pylist() if m]
         self.mean_length = means[0] if means else 1.0
 
-    def scores(self, tokens: pa.Array) -> np.ndarray:
-        """Unrounded scores; documents without any query term have -inf."""
-        width = len(self.vocabulary)
-        offsets = tokens.offsets.to_numpy()
-        lengths = np.diff(offsets)
+    def match(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, saturated frequency) of every query term in every document, by document."""
+        width = max(len(self.vocabulary), 1)
+        lengths = np.diff(tokens.offsets.to_numpy())
         flat = pc.index_in(tokens.flatten(), value_set=self.vocabulary)
         codes = flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         owner = np.repeat(np.arange(len(lengths)), lengths)
         pairs, counts = np.unique((owner * width + codes)[codes >= 0], return_counts=True)
-        docs, terms = np.divmod(pairs, max(width, 1))
-        grown = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[docs] / self.mean_length))
-        out = np.full((len(lengths), self.weight.shape[1]), -np.inf)
-        for start in range(0, len(lengths), 512):
-            lo, hi = np.searchsorted(docs, [start, start + 512])
-            part = np.zeros((min(512, len(lengths) - start), width))
-            part[docs[lo:hi] - start, terms[lo:hi]] = grown[lo:hi]
-            score = part @ self.weight
-            out[start:start + 512] = np.where(score > 0, score, -np.inf)
-        return out
-
-
-def _finite_rounded(scores: np.ndarray) -> np.ndarray:
-    return np.where(np.isfinite(scores), rounded(np.where(np.isfinite(scores), scores, 0)), -np.inf)
+        docs, terms = np.divmod(pairs, width)
+        return docs, terms, counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[docs] / self.mean_length))
+
+    def scores(self, matched: tuple[np.ndarray, np.ndarray, np.ndarray], rows: slice) -> np.ndarray:
+        """Rounded scores of a range of documents; -inf where no query term occurs."""
+        docs, terms, grown = matched
+        out = np.empty((rows.stop - rows.start, self.queries))
+        for start in range(rows.start, rows.stop, self.ROWS):
+            stop = min(start + self.ROWS, rows.stop)
+            here = slice(*np.searchsorted(docs, [start, stop]))
+            for part, local, weight in self.chunks:
+                column = local[terms[here]]
+                known = column >= 0
+                counts = np.zeros((stop - start, len(weight)))
+                counts[docs[here][known] - start, column[known]] = grown[here][known]
+                out[start - rows.start:stop - rows.start, part] = counts @ weight
+        return np.where(out > 0, rounded(out), -np.inf)
 
 
 def keyword_topk(
@@ -133,8 +148,9 @@ def keyword_topk(
             self.top = TopK(len(self.names), k)
 
         def feed(self, batch):
-            scores = _finite_rounded(self.keywords.scores(plain(batch.column("tokens"))))
-            self.top.add(None, batch.column(corpus_id).to_pylist(), scores)
+            ids, matched = batch.column(corpus_id).to_pylist(), self.keywords.match(plain(batch.column("tokens")))
+            for tile in tiles(len(ids), len(self.names)):
+                self.top.add(None, ids[tile], self.keywords.scores(matched, tile))
             return ()
 
         def finish(self):
@@ -176,9 +192,15 @@ def hybrid_topk(
         table = with_vector(table, query_vector)
         return table, _Keywords(table), unit_rows(table.column(query_vector))
 
-    def both(keywords: _Keywords, vectors: np.ndarray, batch) -> tuple[np.ndarray, np.ndarray]:
-        kw = _finite_rounded(keywords.scores(plain(batch.column("tokens"))))
-        return kw, rounded(cosines(unit_rows(batch.column(corpus_vector)), vectors))
+    def both(keywords: _Keywords, vectors: np.ndarray, batch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        """Ids, keyword scores and vector scores, tile by tile."""
+        batch = with_vector(batch, corpus_vector)
+        if not batch.num_rows or not len(vectors):
+            return
+        ids, rows = batch.column(corpus_id).to_pylist(), unit_rows(batch.column(corpus_vector))
+        matched = keywords.match(plain(batch.column("tokens")))
+        for tile in tiles(len(ids), len(vectors)):
+            yield ids[tile], keywords.scores(matched, tile), rounded(cosines(rows[tile], vectors))
 
     first_schema = f"{query_id} {qtype}, {corpus_id} {itype}, keyword_score double, vector_score double, by_keyword boolean"
     first_target = arrow_schema(first_schema)
@@ -190,13 +212,9 @@ def hybrid_topk(
             self.by_keyword, self.by_vector = TopK(len(self.names), depth), TopK(len(self.names), depth)
 
         def feed(self, batch):
-            batch = with_vector(batch, corpus_vector)
-            if not batch.num_rows or not self.names:
-                return ()
-            kw, vec = both(self.keywords, self.vectors, batch)
-            ids = batch.column(corpus_id).to_pylist()
-            self.by_keyword.add(None, ids, kw, vec)
-            self.by_vector.add(None, ids, vec, kw)
+            for ids, kw, vec in both(self.keywords, self.vectors, batch):
+                self.by_keyword.add(None, ids, kw, vec)
+                self.by_vector.add(None, ids, vec, kw)
             return ()
 
         def finish(self):
@@ -226,12 +244,14 @@ def hybrid_topk(
             self.ahead = [np.zeros((len(items), 2), dtype=np.int64) for items in self.items]
 
         def feed(self, batch):
-            batch = with_vector(batch, corpus_vector)
-            if not batch.num_rows or not self.names:
-                return ()
-            ids = np.array(batch.column(corpus_id).to_pylist(), dtype=object)
+            for ids, *scores in both(self.keywords, self.vectors, batch):
+                self.count(ids, scores)
+            return ()
+
+        def count(self, ids: list, both_scores: list[np.ndarray]) -> None:
             by_id = np.array(sorted(range(len(ids)), key=lambda r: ids[r]), dtype=np.int64)
-            for which, scores in enumerate(both(self.keywords, self.vectors, batch)):
+            ids = np.array(ids, dtype=object)
+            for which, scores in enumerate(both_scores):
                 for q, items in enumerate(self.items):
                     order = by_id[np.argsort(-scores[by_id, q], kind="stable")]
                     down, keys = -scores[order, q], ids[order]
@@ -241,7 +261,6 @@ def hybrid_topk(
                     for n in np.flatnonzero(hi > lo):
                         ties[n] = np.searchsorted(keys[lo[n]:hi[n]], items[n][0], "left")
                     self.ahead[q][:, which] += np.where(np.isfinite(mine), lo + ties, 0)
-            return ()
 
         def finish(self):
             yield to_table([

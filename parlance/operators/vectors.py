@@ -18,6 +18,7 @@ from parlance.sizing import top_n
 
 SCORE_DIGITS = 4
 _TILE = 1024
+_CELLS = 2_000_000
 
 
 def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -47,6 +48,12 @@ def cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return rows @ queries.T
 
 
+def tiles(rows: int, queries: int) -> Iterator[slice]:
+    """Row ranges whose score matrix stays small however many queries there are."""
+    step = max(64, _CELLS // max(queries, 1))
+    return (slice(start, min(start + step, rows)) for start in range(0, rows, step))
+
+
 def rounded(scores: np.ndarray) -> np.ndarray:
     return np.round(scores, SCORE_DIGITS) + 0.0
 
@@ -126,16 +133,16 @@ def vector_topk(
             batch = with_vector(batch, index_vector)
             if not batch.num_rows or not self.names:
                 return ()
-            ids = batch.column(index_id).to_pylist()
-            scores = rounded(cosines(unit_rows(batch.column(index_vector)), self.vectors))
-            if not group_col:
-                self.top.add(None, ids, scores)
-            else:
-                codes = plain(batch.column(group_col)).dictionary_encode()
-                codes, values = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
-                for code, value in enumerate(values):
-                    rows = np.flatnonzero(codes == code)
-                    self.top.add(value, [ids[r] for r in rows], scores[rows])
+            ids, vectors = batch.column(index_id).to_pylist(), unit_rows(batch.column(index_vector))
+            groups = np.array(batch.column(group_col).to_pylist(), dtype=object) if group_col else None
+            for tile in tiles(len(ids), len(self.names)):
+                scores = rounded(cosines(vectors[tile], self.vectors))
+                if groups is None:
+                    self.top.add(None, ids[tile], scores)
+                    continue
+                for value in set(groups[tile].tolist()):
+                    rows = np.flatnonzero(groups[tile] == value)
+                    self.top.add(value, [ids[tile.start + r] for r in rows], scores[rows])
             return ()
 
         def finish(self):

@@ -48,11 +48,12 @@ def csv_clean_names(t: Tables) -> DataFrame:
         SELECT word, entry, ratio, row_number() OVER (PARTITION BY word ORDER BY ratio DESC, entry) AS rn FROM (
             SELECT word, entry, (400 * list_max(r) + length(word) + length(entry)) // (2 * (length(word) + length(entry))) AS ratio
             FROM dp WHERE j = length(entry)) WHERE ratio > 70)
-    SELECT p_partkey, w.word, entry AS corrected, ratio FROM w LEFT JOIN best ON best.word = w.word AND rn = 1""")
+    SELECT p_partkey, w.word, entry AS corrected, coalesce(ratio, 0) AS ratio FROM w LEFT JOIN best ON best.word = w.word AND rn = 1""")
 def fuzzy_correct(t: Tables) -> DataFrame:
     damaged = t.part.select("p_partkey", F.expr(_DAMAGED).alias("word"))
     dictionary = number_rows(t.part.select(F.col("p_name").alias("entry")).distinct(), [F.col("entry")], number_col="position")
-    return correct_names(damaged, "word", dictionary).select("p_partkey", "word", "corrected", "ratio")
+    return correct_names(damaged, "word", dictionary).select(
+        "p_partkey", "word", "corrected", F.coalesce("ratio", F.lit(0)).cast("long").alias("ratio"))
 
 
 @query("""

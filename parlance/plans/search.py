@@ -115,7 +115,7 @@ def _sql_cosine(table: str, key: str, words: str) -> str:
 
 _FUSED = """
     vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v),
-    f AS (SELECT query_id, doc_id, kr.rank AS keyword_rank, vr.rank AS vector_rank,
+    f AS (SELECT query_id, doc_id, coalesce(kr.rank, 0) AS keyword_rank, vr.rank AS vector_rank,
                  round(coalesce(1.0 / (60 + kr.rank), 0) + 1.0 / (60 + vr.rank), 6) AS score
           FROM vr LEFT JOIN kr USING (query_id, doc_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)"""
@@ -129,7 +129,12 @@ def hybrid_topk(t: Tables) -> DataFrame:
     table = f"{scratch_schema(t.spark, 'hybrid')}.documents"
     overwrite_table(embed_text(spread(t.documents.select("doc_id", "text")), "text"), table)
     corpus = t.spark.table(table)
-    return ops.hybrid_topk(_vector_queries(t), corpus, 5, corpus_id="doc_id")
+    return _ranked(ops.hybrid_topk(_vector_queries(t), corpus, 5, corpus_id="doc_id"))
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    """Keyword rank 0 where no word matched."""
+    return hits.withColumn("keyword_rank", F.coalesce("keyword_rank", F.lit(0)))
 
 
 @query(f"""
@@ -230,6 +235,6 @@ def name_hybrid_search(t: Tables) -> DataFrame:
     """The test set of misspelled names in hybrid mode: whole words by keyword, close spellings by trigram."""
     names = t.part.select("p_name", F.col("p_name").alias("text")).distinct()
     asked = t.spark.createDataFrame([(n, n) for n in _NAMES], "query_id string, query_text string")
-    return ops.search(
+    return _ranked(ops.search(
         embed_text(asked, "query_text", embed_names, "query_vector"), embed_text(names, "text", embed_names), 5,
-        corpus_id="p_name")
+        corpus_id="p_name"))
