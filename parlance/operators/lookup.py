@@ -68,9 +68,10 @@ def history_pages(
 
     Customers with at most ``lines_per_page`` records (nearly all) take one shuffle and have page 0
     only.  The records of larger customers are numbered by a distributed sort first and become
-    pages 0, 1, 2 ...; no task ever holds more than one page of a customer.  NULL lines vanish.
+    pages 0, 1, 2 ...; no task ever holds more than one page of a customer.  NULL lines vanish, and
+    so do records without a customer, which no lookup can reach.
     """
-    small, large = split_hot(records, customer_id, lines_per_page)
+    small, large = split_hot(records.where(F.col(customer_id).isNotNull()), customer_id, lines_per_page)
     marks = [c.alias(f"__o{i}") for i, c in enumerate(order)]
     names = [f"__o{i}" for i in range(len(order))]
 

@@ -91,11 +91,15 @@ def opinion_summary(opinions: DataFrame) -> DataFrame:
         F.coalesce("sentiment", F.lit("ALL")).alias("sentiment"), "n_opinions")
 
 
-def refresh_answers(source: DataFrame, answers_table: str, key: str, text_col: str, answer: Column) -> None:
+def refresh_answers(
+    source: DataFrame, answers_table: str, key: str, text_col: str, answer: Column, partial: bool = False
+) -> None:
     """Adds answers for new and changed texts only; texts answered before are never asked again.
 
     Answers are stored by key and text hash, before any parsing, so a change in parsing costs no model
     call.  A run that is repeated after a failure finds what was written and adds nothing twice.
+    With ``partial`` the source is a small delivery: stored answers are then narrowed to its keys where
+    they lie, instead of being shuffled.
     """
     spark = source.sparkSession
     wanted = source.withColumn("content_hash", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
@@ -103,6 +107,8 @@ def refresh_answers(source: DataFrame, answers_table: str, key: str, text_col: s
     if known is not None:
         # Keys and hashes are compared first; whole texts are shuffled only if much is new.
         hashes = content_hashes(source, key, text_col)
+        if partial:
+            known = known.join(small_side(hashes.select(key)), key, "left_semi")
         new = hashes.join(known.select(key, "content_hash"), [key, "content_hash"], "left_anti").select(key)
         wanted = wanted.join(small_side(new), key, "left_semi")
     answered = wanted.select(key, "content_hash", answer.alias("extracted_opinions"))

@@ -94,8 +94,11 @@ def number_rows(df: DataFrame, order: list[Column], keys: list[str] | None = Non
 
 
 def split_hot(df: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of keys with at most ``limit`` rows, and the rows of all other keys (None if there are none)."""
-    hot = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > limit).select(key)
+    """Rows of keys with at most ``limit`` rows, and the rows of all other keys (None if there are none).
+
+    The key must not be NULL.
+    """
+    hot = df.groupBy(key).count().where(F.col("count") > limit).select(key)
     if hot.isEmpty():
         return df, None
     return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")

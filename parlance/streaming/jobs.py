@@ -49,7 +49,7 @@ def answers_stream(stream: DataFrame, answers_table: str, key: str, text_col: st
                    checkpoint: str, order: Column | None = None) -> StreamingQuery:
     """Incremental model answers; keys and text hashes already answered are left alone."""
     def batch(rows: DataFrame, _: int) -> None:
-        refresh_answers(_latest(rows, key, order), answers_table, key, text_col, answer)
+        refresh_answers(_latest(rows, key, order), answers_table, key, text_col, answer, partial=True)
 
     return _run(stream, checkpoint, batch)
 

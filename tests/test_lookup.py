@@ -104,7 +104,8 @@ def test_sql_functions(spark, customers, bills, tickets, requests):
 def test_pages_of_a_hot_customer(spark):
     """One customer holds most rows, half of them on one day."""
     rows = [(1, i, 5 if i % 2 else i % 7) for i in range(500)] + [(2 + i % 40, 1000 + i, i % 5) for i in range(200)]
-    df = spark.createDataFrame(rows, "c bigint, i bigint, d bigint").repartition(7)
+    lost = spark.createDataFrame([(None, 5000 + i, 1) for i in range(50)], "c bigint, i bigint, d bigint")
+    df = spark.createDataFrame(rows, "c bigint, i bigint, d bigint").unionByName(lost).repartition(7)
     pages = lookup.history_pages(df, "c", F.concat(F.lit("L"), F.col("i").cast("string")), [-F.col("d"), F.col("i")], 30)
     got = {(r.c, r.page): (r.n_records, r.history.split("\n")) for r in pages.collect()}
     want = {}

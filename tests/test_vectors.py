@@ -98,7 +98,9 @@ def test_scalar_expressions(spark):
 
 
 def test_sql_functions(spark):
-    register_functions(spark, model=lambda texts: [t.upper() for t in texts])
+    register_functions(spark, model=lambda texts: [t.upper() for t in texts], lexicon=(["good"], ["it's", "bad"]))
+    labels = spark.sql("SELECT text_sentiment(c) s FROM VALUES ('Good'), ('bad'), ('good bad'), ('x'), (NULL) AS v(c)").collect()
+    assert [r.s for r in labels] == ["positive", "negative", "mixed", "neutral", None]
     row = spark.sql("""SELECT dot_product(array(1D, 2D), array(3D, 4D)) AS d, vector_norm(array(3D, 4D)) AS n,
         vector_pnorm(array(3D, -4D), 1D) AS p, round(text_similarity('red bolt', 'bolt red'), 6) AS same,
         call_model('a').result AS r, dot_product(NULL, array(1D)) AS missing""").first()
