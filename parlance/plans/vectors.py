@@ -13,7 +13,7 @@ from parlance.plans.registry import SQL_WORDS, Tables, query, sql_cells, sql_tri
 from parlance.sources.tables import overwrite_table, scratch_schema
 
 THRESHOLD = 0.3
-NAME_THRESHOLD = 0.5
+NAME_THRESHOLD = 0.3
 NAME = "bleu widgit"
 MISSPELLED = ["bleu widget", "wigdet", "stel gear", "small rring", "redbolt", "gizzmo"]
 
