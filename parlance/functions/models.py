@@ -7,20 +7,21 @@ make no claim to the quality, or the scores, of a trained model.
 from __future__ import annotations
 
 import hashlib
-import re
 import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.functions.tokens import Tokens, from_lists, tokenise
+
 EmbedFn = Callable[[list[str]], np.ndarray]
 ModelFn = Callable[[list[str]], list[str]]
 
 DIMENSIONS = 64
-_WORD = re.compile(r"[^\W_]+")
 _MAX_CELLS = 500_000
 
 
@@ -36,26 +37,27 @@ class _Cells(dict):
 _cells = _Cells()
 
 
-def word_features(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def word_features(texts: list[str]) -> Tokens:
+    return tokenise(pa.array(texts, type=pa.string()))
 
 
-def trigram_features(text: str) -> list[str]:
+def trigram_features(texts: list[str]) -> Tokens:
     """Character trigrams of the lower-case text with one space around it; close spellings share many."""
-    padded = f" {text.lower()} "
-    return [padded[i:i + 3] for i in range(len(padded) - 2)]
+    padded = [f" {text.lower()} " for text in texts]
+    return from_lists([[p[i:i + 3] for i in range(len(p) - 2)] for p in padded])
 
 
-def embed_batch(texts: list[str], features: Callable[[str], list[str]] = word_features) -> np.ndarray:
+def embed_batch(texts: list[str], features: Callable[[list[str]], Tokens] = word_features) -> np.ndarray:
     """Feature hashing: md5 of a feature gives its dimension and sign; rows are scaled to unit length."""
     if len(_cells) > _MAX_CELLS:
         _cells.clear()
-    out = np.zeros((len(texts), DIMENSIONS))
-    for row, text in enumerate(texts):
-        codes = [_cells[f] for f in features(text)]
-        if codes:
-            counts = np.bincount(codes, minlength=2 * DIMENSIONS)
-            out[row] = counts[:DIMENSIONS] - counts[DIMENSIONS:]
+    tokens = features(texts)
+    coded = tokens.flat.dictionary_encode()
+    cells = np.array([_cells[f] for f in coded.dictionary.to_pylist()], dtype=np.int64)
+    width = 2 * DIMENSIONS
+    places = tokens.owner * width + cells[coded.indices.to_numpy(zero_copy_only=False)]
+    counts = np.bincount(places, minlength=len(texts) * width).reshape(len(texts), width)
+    out = (counts[:, :DIMENSIONS] - counts[:, DIMENSIONS:]).astype(float)
     sizes = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, sizes, out=out, where=sizes > 0)
 

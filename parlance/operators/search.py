@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import words
+from parlance.functions.tokens import tokenise
 from parlance.operators.blocks import BLOCK_ROWS, MAX_QUERIES, arrow_schema, score_join, sql_type
-from parlance.operators.vectors import TopK, cosines, plain, rounded, tiles, to_table, unit_rows, vector_topk, with_vector
+from parlance.operators.vectors import TopK, cosines, rounded, tiles, to_table, unit_rows, vector_topk, with_vector
 from parlance.session import shared_dir
 from parlance.sizing import is_small, small_side, top_n
 
@@ -24,38 +24,70 @@ K1, B, RRF = 1.2, 0.75, 60
 NO_DOCUMENTS = "No relevant documents found."
 
 
-def _tokenised(corpus: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    return corpus.where(F.col(text_col).isNotNull()).select(id_col, words(F.col(text_col)).alias("tokens"), *more)
+def _texts(corpus: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    return corpus.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text"), *more)
 
 
-def _weighted_queries(
-    queries: DataFrame, tokenised: DataFrame, query_id: str, query_text: str, *more: str
-) -> DataFrame:
-    """Per query: its distinct terms and their idf, and the average document length, from one corpus pass.
+def _term_counts(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """term, df, total: the documents that hold each query term, and the sum of their lengths.
 
-    Counts are kept for query terms only: before the first shuffle when those are few, else after
-    counting, so that a frequent term is always combined within its tasks first.
-    An empty term stands for "any document" and yields the corpus totals in the same pass.
+    The empty term stands for "any document", so corpus totals come from the same pass.  Each task
+    counts its batches before the shuffle, so a frequent term costs no more than a rare one.
     """
-    terms = queries.where(F.col(query_text).isNotNull()).select(
-        query_id, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), words(F.col(query_text))))).alias("term")
-    )
-    shared_dir(queries.sparkSession)
-    vocabulary = terms.select("term").distinct().checkpoint()
-    seen = tokenised.select(
-        F.size("tokens").alias("length"),
-        F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("term"),
-    )
-    totals = [F.count("*").alias("df"), F.avg("length").alias("mean")]
+    schema = "term string, df bigint, total bigint"
+    wanted = None
     if is_small(vocabulary):
-        counts = seen.join(F.broadcast(vocabulary), "term").groupBy("term").agg(*totals)
-    else:
-        counts = seen.groupBy("term").agg(*totals).join(vocabulary, "term")
-    known = terms.join(counts, "term")
-    weighted = known.groupBy(query_id).agg(
+        wanted = texts.sparkSession.sparkContext.broadcast(vocabulary.toArrow().column(0).combine_chunks())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = tokenise(batch.column("text"))
+            lengths = tokens.lengths()
+            if wanted is None:
+                coded = tokens.flat.dictionary_encode()
+                names, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            else:
+                names = wanted.value
+                codes = pc.index_in(tokens.flat, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            width = max(len(names), 1)
+            docs, terms = np.divmod(np.unique((tokens.owner * width + codes)[codes >= 0]), width)
+            df = np.bincount(terms, minlength=len(names))
+            total = np.bincount(terms, weights=lengths[docs], minlength=len(names)).astype(np.int64)
+            seen = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([pa.array([""]), names.take(pa.array(seen)).cast(pa.string())]),
+                pa.array(np.append(batch.num_rows, df[seen])), pa.array(np.append(lengths.sum(), total[seen])),
+            ], names=["term", "df", "total"])
+
+    counts = texts.select("text").mapInArrow(count, schema).groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("total").alias("total"))
+    if wanted is not None:
+        return counts
+    return counts.join(vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([("",)], "term string")), "term")
+
+
+def _weighted_queries(queries: DataFrame, texts: DataFrame, query_id: str, query_text: str, *more: str) -> DataFrame:
+    """Per query: its distinct terms and their idf, and the average document length."""
+    id_type = sql_type(queries, query_id)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = tokenise(batch.column(1))
+            ids = batch.column(0)
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([ids, ids.take(pa.array(tokens.owner))]),
+                pa.concat_arrays([pa.array([""] * len(ids), type=pa.string()), tokens.flat.cast(pa.string())]),
+            ], names=[query_id, "term"])
+
+    shared_dir(queries.sparkSession)
+    asked = queries.where(F.col(query_text).isNotNull()).select(query_id, query_text)
+    terms = asked.mapInArrow(split, f"{query_id} {id_type}, term string").distinct().checkpoint()
+    counts = _term_counts(texts, terms.select("term").where("term <> ''").distinct().checkpoint())
+    # The empty term is in every query and has its totals; it is not part of the vocabulary.
+    weighted = terms.join(counts, "term").groupBy(query_id).agg(
         F.collect_list(F.when(F.col("term") != "", F.struct("term", "df"))).alias("found"),
         F.max(F.when(F.col("term") == "", F.col("df"))).alias("docs"),
-        F.max(F.when(F.col("term") == "", F.col("mean"))).alias("mean_length"),
+        F.max(F.when(F.col("term") == "", F.col("total") / F.col("df"))).alias("mean_length"),
     )
     idf = lambda t: F.log(1 + (F.col("docs") - t["df"] + 0.5) / (t["df"] + 0.5))
     prepared = weighted.select(
@@ -97,14 +129,13 @@ class _Keywords:
         means = [m for m in asked.column("mean_length").to_pylist() if m]
         self.mean_length = means[0] if means else 1.0
 
-    def match(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def match(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, saturated frequency) of every query term in every document, by document."""
         width = max(len(self.vocabulary), 1)
-        lengths = np.diff(tokens.offsets.to_numpy())
-        flat = pc.index_in(tokens.flatten(), value_set=self.vocabulary)
-        codes = flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        pairs, counts = np.unique((owner * width + codes)[codes >= 0], return_counts=True)
+        tokens = tokenise(texts)
+        lengths = tokens.lengths()
+        codes = pc.index_in(tokens.flat, value_set=self.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs, counts = np.unique((tokens.owner * width + codes)[codes >= 0], return_counts=True)
         docs, terms = np.divmod(pairs, width)
         return docs, terms, counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[docs] / self.mean_length))
 
@@ -136,8 +167,8 @@ def keyword_topk(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """BM25 top ``k`` per query: query id, id, score, rank.  Only documents that share a term are results."""
-    tokenised = _tokenised(corpus, corpus_id, corpus_text)
-    prepared = _weighted_queries(queries, tokenised, query_id, query_text)
+    texts = _texts(corpus, corpus_id, corpus_text)
+    prepared = _weighted_queries(queries, texts, query_id, query_text)
     schema = f"{query_id} {sql_type(queries, query_id)}, {corpus_id} {sql_type(corpus, corpus_id)}, score double"
     target = arrow_schema(schema)
 
@@ -148,7 +179,7 @@ def keyword_topk(
             self.top = TopK(len(self.names), k)
 
         def feed(self, batch):
-            ids, matched = batch.column(corpus_id).to_pylist(), self.keywords.match(plain(batch.column("tokens")))
+            ids, matched = batch.column(corpus_id).to_pylist(), self.keywords.match(batch.column("text"))
             for tile in tiles(len(ids), len(self.names)):
                 self.top.add(None, ids[tile], self.keywords.scores(matched, tile))
             return ()
@@ -156,7 +187,7 @@ def keyword_topk(
         def finish(self):
             yield to_table([(self.names[q], key, s) for _, q, key, s, _ in self.top.rows()], target)
 
-    partial = score_join(prepared, tokenised, query_id, corpus_id, Search, schema, max_queries, block_rows)
+    partial = score_join(prepared, texts, query_id, corpus_id, Search, schema, max_queries, block_rows)
     return top_n(partial, [query_id], [F.col("score").desc(), F.col(corpus_id)], k)
 
 
@@ -180,10 +211,10 @@ def hybrid_topk(
     winner is missing.  The second pass counts how many documents beat each kept one in either
     ranking, which gives its exact ranks without ever ranking the whole corpus.
     """
-    docs = _tokenised(corpus, corpus_id, corpus_text, corpus_vector)
+    docs = _texts(corpus, corpus_id, corpus_text, corpus_vector)
     shared_dir(queries.sparkSession)
     asked = _weighted_queries(
-        queries, docs.select(corpus_id, "tokens"), query_id, query_text, query_vector
+        queries, docs, query_id, query_text, query_vector
     ).checkpoint()  # both passes use it
     qtype, itype = sql_type(queries, query_id), sql_type(corpus, corpus_id)
     depth = 2 * k + RRF
@@ -198,7 +229,7 @@ def hybrid_topk(
         if not batch.num_rows or not len(vectors):
             return
         ids, rows = batch.column(corpus_id).to_pylist(), unit_rows(batch.column(corpus_vector))
-        matched = keywords.match(plain(batch.column("tokens")))
+        matched = keywords.match(batch.column("text"))
         for tile in tiles(len(ids), len(vectors)):
             yield ids[tile], keywords.scores(matched, tile), rounded(cosines(rows[tile], vectors))
 
