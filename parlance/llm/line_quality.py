@@ -10,51 +10,58 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import BLANKS, has_word, query, table, words
+from parlance.llm.common import BLANKS, WORD, has_word, query, table
 
 # Phrases of navigation and of boilerplate.
 NAVIGATION = ["click here", "read more", "next page", "previous page", "back to top", "skip to content", "sign in", "log in", "main menu"]
 BOILERPLATE = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies",
                "enable javascript", "lorem ipsum", "powered by"]
 SYMBOLS = "#*$%&|<>"
+SEPARATORS = "|»›•"
+ENDS = ".!?:;…。！？"
+CLOSERS = ")]}\"'’”»" + BLANKS + " "
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """Bounds of the rules; all shares are of the line's characters outside white space."""
+    """Bounds of the rules; all shares are of characters."""
 
     max_symbol_share: float = 0.1
     max_separators: int = 2
-    max_shouts_per_word: float = 0.5
+    max_shout_share: float = 0.05
     long_line_chars: int = 200
     min_kept_share: float = 0.5
     min_words: int = 10
     max_repeat_percent: int = 20
 
 
-def solid(text: Column) -> Column:
-    """Number of characters outside white space."""
-    return F.char_length(F.translate(text, BLANKS + " ", ""))
+def count_of(text: Column, characters: str) -> Column:
+    """How many of these characters a text holds."""
+    rest = text
+    for c in characters:
+        rest = F.replace(rest, F.lit(c), F.lit(""))
+    return F.char_length(text) - F.char_length(rest)
 
 
-def count_of(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+def any_of(text: Column, phrases: list[str]) -> Column:
+    found = F.contains(text, F.lit(phrases[0]))
+    for phrase in phrases[1:]:
+        found = found | F.contains(text, F.lit(phrase))
+    return found
 
 
-def line_passes(line: Column, rules: LineRules) -> Column:
-    """Punctuation, navigation and boilerplate rules for one line that has a word.
+def line_passes(line: Column, low: Column, rules: LineRules) -> Column:
+    """Punctuation, navigation and boilerplate rules for one line that has a word; ``low`` is the line in lower case.
 
-    A line passes if it holds few symbols and few ``!!``, ends a sentence or is long, is no list of
+    A line passes if it holds few symbols and few ``!``, ends a sentence or is long, is no list of
     separated entries, and names none of the phrases.
     """
-    size, low = solid(line), F.lower(line)
-    punctuated = (count_of(line, SYMBOLS) <= rules.max_symbol_share * size) & (
-        line.rlike(r"""[.!?:;…。！？][)\]}"'’”»\x20\x09-\x0D]*$""") | (F.char_length(line) >= rules.long_line_chars)
-    )
-    gaps = F.char_length(F.translate(line, BLANKS, " " * len(BLANKS))) - size + 1
-    calm = count_of(line, "!") <= rules.max_shouts_per_word * gaps
-    navigation = (count_of(line, "|»›•") > rules.max_separators) | low.rlike("|".join(NAVIGATION))
-    return punctuated & calm & ~navigation & ~low.rlike("|".join(BOILERPLATE))
+    size = F.char_length(line)
+    last = F.substring(F.rtrim(line, F.lit(CLOSERS)), -1, 1)
+    punctuated = last.isin(*ENDS) | (size >= rules.long_line_chars)
+    calm = (count_of(line, SYMBOLS) <= rules.max_symbol_share * size) & (count_of(line, "!") <= rules.max_shout_share * size)
+    navigation = (count_of(line, SEPARATORS) > rules.max_separators) | any_of(low, NAVIGATION)
+    return punctuated & calm & ~navigation & ~any_of(low, BOILERPLATE)
 
 
 def repeat_starts() -> Column:
@@ -80,25 +87,28 @@ def clean_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = Line
     ``__`` are internal.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns({"__t": text}).withColumns({"__w": words(F.col("__t")), "__l": F.filter(F.split("__t", "\n"), has_word)})
+    out = docs.withColumns({"__t": text}).withColumns({
+        "__w": F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)), "__l": F.split("__t", "\n"), "__low": F.split(F.lower("__t"), "\n")})
     n = F.size("__w")
     hashes = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get("__w", i + k) for k in range(5)]))
     out = out.withColumns({
+        "__lw": F.filter("__l", has_word),
         "n_words": n.cast("long"),
-        "word_chars": solid(F.col("__t")).cast("long"),
-        "n_symbols": count_of(F.col("__t"), SYMBOLS).cast("long"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
+        "word_chars": F.char_length(F.array_join("__w", "")).cast("long"),
+        "n_symbols": F.regexp_count("__t", F.lit(f"[{SYMBOLS}]")).cast("long"),
         "__h": F.when(n >= 5, hashes).otherwise(F.array().cast("array<bigint>")),
-        "clean_text": F.concat_ws("\n", F.filter("__l", lambda line: line_passes(line, rules))),
+        "clean_text": F.array_join(F.filter(
+            "__l", lambda line, i: has_word(line) & line_passes(line, F.get("__low", i), rules)), "\n"),
     })
+    out = out.withColumn("n_dup_lines", (F.size("__lw") - F.size(F.array_distinct("__lw"))).cast("long"))
     placed = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("__p", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), placed))
     out = out.withColumn("__s", F.when(F.col("__p").isNotNull(), repeat_starts()))
     out = out.withColumn("n_repeat_words", F.when(F.col("__s").isNotNull(), covered_words()).otherwise(F.lit(0).cast("long")))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (solid(F.col("clean_text")) >= rules.min_kept_share * F.col("word_chars"))
-    ).drop("__t", "__w", "__l", "__h", "__p", "__s")
+        "kept", ~F.col("base_failed") & (F.char_length("clean_text") >= rules.min_kept_share * F.char_length("__t"))
+    ).drop("__t", "__w", "__l", "__low", "__lw", "__h", "__p", "__s")
 
 
 _BLANK = r"[\x20\x09-\x0D]"
@@ -111,10 +121,11 @@ def _sql(rules: LineRules = LineRules()) -> str:
     def of(x: str, chars: str) -> str:
         return f"(length({x}) - length(translate({x}, '{chars}', '')))"
 
-    passes = f"""({of('l', SYMBOLS)} <= {rules.max_symbol_share}::DOUBLE * {solid_sql('l')}
-        AND (regexp_matches(l, '[.!?:;…。！？][)\\]}}"''’”»\\x20\\x09-\\x0D]*$') OR length(l) >= {rules.long_line_chars})
-        AND {of('l', '!')} <= {rules.max_shouts_per_word}::DOUBLE * (length(l) - {solid_sql('l')} + 1)
-        AND {of('l', '|»›•')} <= {rules.max_separators}
+    tail = "".join("\\" + c if c in ")]}" else c for c in CLOSERS.strip()).replace("'", "''")
+    passes = f"""({of('l', SYMBOLS)} <= {rules.max_symbol_share}::DOUBLE * length(l)
+        AND (regexp_matches(l, '[{ENDS}][{tail}\\x20\\x09-\\x0D]*$') OR length(l) >= {rules.long_line_chars})
+        AND {of('l', '!')} <= {rules.max_shout_share}::DOUBLE * length(l)
+        AND {of('l', SEPARATORS)} <= {rules.max_separators}
         AND NOT regexp_matches(lower(l), '{"|".join(NAVIGATION)}') AND NOT regexp_matches(lower(l), '{"|".join(BOILERPLATE)}'))"""
     return f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
@@ -131,7 +142,7 @@ def _sql(rules: LineRules = LineRules()) -> str:
             FROM w LEFT JOIN n USING (r)),
         f AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-            NOT base_failed AND {solid_sql('clean')} >= {rules.min_kept_share} * word_chars AS kept,
+            NOT base_failed AND length(clean) >= {rules.min_kept_share}::DOUBLE * length(t) AS kept,
             length(clean)::BIGINT AS clean_chars FROM f"""
 
 
