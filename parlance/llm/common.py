@@ -37,6 +37,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def prepare(spark: SparkSession) -> None:
     """Sends the package to the workers and makes the shared folder known."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts may be long
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     shared_dir(spark)
     ship_package(spark)
 

@@ -1,4 +1,4 @@
 """Imports every operator module so that its queries are registered."""
 
-from parlance.llm import line_quality  # noqa: F401
+from parlance.llm import centroid_lang, cost_packing, golay, hash_tree, line_quality, quotes, token_counts  # noqa: F401
 from parlance.llm.common import ORACLES, QUERIES  # noqa: F401
