@@ -140,7 +140,7 @@ class _Keywords:
         return docs, terms, counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[docs] / self.mean_length))
 
     def scores(self, matched: tuple[np.ndarray, np.ndarray, np.ndarray], rows: slice) -> np.ndarray:
-        """Rounded scores of a range of documents; -inf where no query term occurs."""
+        """Scores of a range of documents; -inf where no query term occurs."""
         docs, terms, grown = matched
         out = np.empty((rows.stop - rows.start, self.queries))
         for start in range(rows.start, rows.stop, self.ROWS):
@@ -308,8 +308,7 @@ def hybrid_topk(
         .agg(F.sum("keyword_ahead").alias("k_ahead"), F.sum("vector_ahead").alias("v_ahead"))
         .withColumn("keyword_rank", F.when(F.col("keyword_score") > infinite, F.col("k_ahead") + 1))
         .withColumn("vector_rank", F.col("v_ahead") + 1)
-        .withColumn("score", F.round(
-            F.coalesce(1 / (RRF + F.col("keyword_rank")), F.lit(0.0)) + 1 / (RRF + F.col("vector_rank")), 6))
+        .withColumn("score", F.coalesce(1 / (RRF + F.col("keyword_rank")), F.lit(0.0)) + 1 / (RRF + F.col("vector_rank")))
         .select(query_id, corpus_id, "keyword_rank", "vector_rank", "score")
     )
     return top_n(fused, [query_id], [F.col("score").desc(), F.col(corpus_id)], k)

@@ -16,7 +16,8 @@ from parlance.operators.blocks import BLOCK_ROWS, MAX_QUERIES, arrow_schema, blo
 from parlance.session import shared_dir
 from parlance.sizing import top_n
 
-SCORE_DIGITS = 4
+# Scores are compared to this many digits, so that the order of summation inside a product decides nothing.
+SCORE_DIGITS = 10
 _TILE = 1024
 _CELLS = 2_000_000
 
@@ -113,7 +114,7 @@ def vector_topk(
 ) -> DataFrame:
     """The ``k`` most similar index rows per query (and per group): query id, [group], id, score, rank.
 
-    Ties are broken by id after rounding the score.  Each task hands on at most k rows per query.
+    Ties are broken by id.  Each task hands on at most k rows per query.
     """
     groups = [group_col] if group_col else []
     index = index.select(index_id, index_vector, *groups)

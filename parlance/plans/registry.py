@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parlance.session import shared_dir, ship_package
 
@@ -44,6 +45,11 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
     return register
 
 
+def shown(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Scores rounded for display only, after the ranking."""
+    return df.withColumn("score", F.round("score", digits))
+
+
 # SQL for the hashed embeddings of the local default model.
 SQL_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 

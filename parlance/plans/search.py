@@ -11,7 +11,7 @@ from parlance.operators.evaluate import is_cited
 from parlance.operators.index import content_hashes, read_index, snapshot_changes, sync_index
 from parlance.operators.infer import embed_text
 from parlance.operators.vectors import vector_topk
-from parlance.plans.registry import SQL_WORDS, Tables, query, sql_cells, sql_trigrams
+from parlance.plans.registry import SQL_WORDS, Tables, query, shown, sql_cells, sql_trigrams
 from parlance.session import run_dir
 from parlance.sizing import spread
 from parlance.sources.pages import ingest_pages
@@ -93,14 +93,14 @@ _BM25 = f"""
     qt AS (SELECT DISTINCT item_id AS query_id, unnest({_QUERY_WORDS}) AS term FROM benchmark),
     kw AS (
         SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
-               / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 4) AS score
+               / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 10) AS score
         FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY ALL),
     kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kw)"""
 
 
-@query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM kr WHERE rank <= 5")
+@query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM kr WHERE rank <= 5")
 def keyword_topk(t: Tables) -> DataFrame:
-    return ops.keyword_topk(_queries(t), spread(t.documents), 5, corpus_id="doc_id")
+    return shown(ops.keyword_topk(_queries(t), t.documents, 5, corpus_id="doc_id"))
 
 
 def _sql_cosine(table: str, key: str, words: str) -> str:
@@ -109,21 +109,21 @@ def _sql_cosine(table: str, key: str, words: str) -> str:
     qc AS ({sql_cells('benchmark', 'item_id', _QUERY_WORDS)}),
     dc AS ({sql_cells(table, key, words)}),
     hit AS (SELECT qc.key AS q, dc.key AS d, sum(qc.value * dc.value) AS raw FROM qc JOIN dc USING (dim) GROUP BY ALL),
-    v AS (SELECT item_id AS query_id, {key}, round(coalesce(raw, 0), 4) + 0 AS score
+    v AS (SELECT item_id AS query_id, {key}, round(coalesce(raw, 0), 10) + 0 AS score
           FROM benchmark CROSS JOIN {table} LEFT JOIN hit ON hit.q = item_id AND hit.d = {key})"""
 
 
 _FUSED = """
     vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v),
     f AS (SELECT query_id, doc_id, coalesce(kr.rank, 0) AS keyword_rank, vr.rank AS vector_rank,
-                 round(coalesce(1.0 / (60 + kr.rank), 0) + 1.0 / (60 + vr.rank), 6) AS score
+                 coalesce(1.0 / (60 + kr.rank), 0) + 1.0 / (60 + vr.rank) AS score
           FROM vr LEFT JOIN kr USING (query_id, doc_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)"""
 
 
 @query(f"""
     WITH {_BM25}, {_sql_cosine('documents', 'doc_id', _DOC_WORDS)}, {_FUSED}
-    SELECT query_id, doc_id, keyword_rank, vector_rank, score, rank FROM r WHERE rank <= 5""")
+    SELECT query_id, doc_id, keyword_rank, vector_rank, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def hybrid_topk(t: Tables) -> DataFrame:
     """Texts are embedded once into a table; both passes of the search read that table."""
     table = f"{scratch_schema(t.spark, 'hybrid')}.documents"
@@ -134,7 +134,7 @@ def hybrid_topk(t: Tables) -> DataFrame:
 
 def _ranked(hits: DataFrame) -> DataFrame:
     """Keyword rank 0 where no word matched."""
-    return hits.withColumn("keyword_rank", F.coalesce("keyword_rank", F.lit(0)))
+    return shown(hits, 6).withColumn("keyword_rank", F.coalesce("keyword_rank", F.lit(0)))
 
 
 @query(f"""
@@ -142,10 +142,10 @@ def _ranked(hits: DataFrame) -> DataFrame:
     r AS (SELECT query_id, lang, doc_id, score,
                  row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id) AS rank
           FROM v JOIN documents USING (doc_id))
-    SELECT query_id, lang, doc_id, score, rank FROM r WHERE rank <= CASE lang WHEN 'en' THEN 3 ELSE 2 END""")
+    SELECT query_id, lang, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= CASE lang WHEN 'en' THEN 3 ELSE 2 END""")
 def kb_topk(t: Tables) -> DataFrame:
     corpus = embed_text(spread(t.documents.select("doc_id", "lang", "text")), "text")
-    return ops.base_topk(_vector_queries(t), corpus, "lang", 2, {"en": 3}, index_id="doc_id")
+    return shown(ops.base_topk(_vector_queries(t), corpus, "lang", 2, {"en": 3}, index_id="doc_id"))
 
 
 UPDATED = "2024-02-01 12:00:00"
@@ -209,14 +209,14 @@ def kb_citations(t: Tables) -> DataFrame:
     k AS (SELECT *, base || id AS bid FROM d), {_sql_cosine('k', 'bid', _DOC_WORDS)},
     r AS (SELECT query_id, base, id, score, document, row_number() OVER (PARTITION BY query_id, base ORDER BY score DESC, id) AS rank
           FROM v JOIN k USING (bid))
-    SELECT * FROM r WHERE rank <= CASE base WHEN 'pages' THEN 2 ELSE 3 END""")
+    SELECT query_id, base, id, round(score, 4) AS score, document, rank FROM r WHERE rank <= CASE base WHEN 'pages' THEN 2 ELSE 3 END""")
 def kb_search(t: Tables) -> DataFrame:
     """Two knowledge bases, each with its own number of results and its own columns."""
     documents = embed_text(spread(t.documents.select("doc_id", "text")), "text")
     pages = embed_text(_pages(t), "content")
-    return ops.search_bases(_vector_queries(t), [
+    return shown(ops.search_bases(_vector_queries(t), [
         ops.KnowledgeBase("documents", documents, "doc_id", k=3, content="text"),
-        ops.KnowledgeBase("pages", pages, "page_id", k=2, title="title", source_url="source_url")])
+        ops.KnowledgeBase("pages", pages, "page_id", k=2, title="title", source_url="source_url")]))
 
 
 _NAMES = ["bleu widget", "red wigdet", "steel gear", "small rring", "redbolt", "gizzmo"]
@@ -228,9 +228,9 @@ _NAME_TRIGRAMS = sql_trigrams("text")
     documents AS (SELECT DISTINCT p_name AS doc_id, p_name AS text FROM part), {_BM25},
     qc AS ({sql_cells('benchmark', 'item_id', _NAME_TRIGRAMS)}), dc AS ({sql_cells('documents', 'doc_id', _NAME_TRIGRAMS)}),
     hit AS (SELECT qc.key AS q, dc.key AS d, sum(qc.value * dc.value) AS raw FROM qc JOIN dc USING (dim) GROUP BY ALL),
-    v AS (SELECT item_id AS query_id, doc_id, round(coalesce(raw, 0), 4) + 0 AS score
+    v AS (SELECT item_id AS query_id, doc_id, round(coalesce(raw, 0), 10) + 0 AS score
           FROM benchmark CROSS JOIN documents LEFT JOIN hit ON hit.q = item_id AND hit.d = doc_id), {_FUSED}
-    SELECT query_id, doc_id AS p_name, keyword_rank, vector_rank, score, rank FROM r WHERE rank <= 5""")
+    SELECT query_id, doc_id AS p_name, keyword_rank, vector_rank, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def name_hybrid_search(t: Tables) -> DataFrame:
     """The test set of misspelled names in hybrid mode: whole words by keyword, close spellings by trigram."""
     names = t.part.select("p_name", F.col("p_name").alias("text")).distinct()

@@ -9,7 +9,7 @@ from parlance.functions.models import embed_names
 from parlance.functions.vectors import norm
 from parlance.operators.infer import embed_distinct, embed_text as embed_column, nonzero_cells
 from parlance.operators.vectors import similarity_self_join, vector_threshold, vector_topk
-from parlance.plans.registry import SQL_WORDS, Tables, query, sql_cells, sql_trigrams
+from parlance.plans.registry import SQL_WORDS, Tables, query, shown, sql_cells, sql_trigrams
 from parlance.sources.tables import overwrite_table, scratch_schema
 
 THRESHOLD = 0.3
@@ -39,16 +39,16 @@ _SCORED = f"""
 
 @query(f"""{_SCORED},
     r AS (SELECT query_id, vec_id, round(raw, 4) AS score,
-                 row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 4) DESC, vec_id) AS rank FROM s)
+                 row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 10) DESC, vec_id) AS rank FROM s)
     SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5""")
 def semantic_topk(t: Tables) -> DataFrame:
-    return vector_topk(centroids(t.embeddings), t.embeddings, 5, index_id="vec_id")
+    return shown(vector_topk(centroids(t.embeddings), t.embeddings, 5, index_id="vec_id"))
 
 
 @query(f"{_SCORED} SELECT query_id, vec_id, round(raw, 4) AS score FROM s WHERE raw > {THRESHOLD}")
 def semantic_threshold(t: Tables) -> DataFrame:
     hits = vector_threshold(centroids(t.embeddings), t.embeddings, THRESHOLD, index_id="vec_id")
-    return hits.orderBy(F.col("score").desc(), "query_id", "vec_id")
+    return shown(hits).orderBy(F.col("score").desc(), "query_id", "vec_id")
 
 
 _PAIRS = f"""
@@ -60,12 +60,12 @@ _PAIRS = f"""
 
 @query(_PAIRS)
 def semantic_self_join(t: Tables) -> DataFrame:
-    return similarity_self_join(t.embeddings, THRESHOLD, "vec_id")
+    return shown(similarity_self_join(t.embeddings, THRESHOLD, "vec_id"))
 
 
 @query(_PAIRS)
 def lsh_self_join(t: Tables) -> DataFrame:
-    return similarity_self_join(t.embeddings, THRESHOLD, "vec_id", cells="projections")
+    return shown(similarity_self_join(t.embeddings, THRESHOLD, "vec_id", cells="projections"))
 
 
 @query("""
@@ -107,21 +107,21 @@ def _sql_names(names: list[str]) -> str:
 @query(f"{_sql_names([NAME])} SELECT query_id, p_name, round(raw, 4) AS score FROM s WHERE raw > {NAME_THRESHOLD}")
 def name_similarity(t: Tables) -> DataFrame:
     hits = vector_threshold(_name_queries(t, [NAME]), embed_distinct(t.part, "p_name", embed_names), NAME_THRESHOLD, index_id="p_name")
-    return hits.orderBy(F.col("score").desc(), "p_name")
+    return shown(hits).orderBy(F.col("score").desc(), "p_name")
 
 
 _TOP_NAMES = """,
     r AS (SELECT query_id, p_name, round(raw, 4) AS score,
-                 row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 4) DESC, p_name) AS rank FROM s)
+                 row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 10) DESC, p_name) AS rank FROM s)
     SELECT query_id, p_name, score, rank FROM r WHERE rank <= 5"""
 
 
 @query(_sql_names([NAME]) + _TOP_NAMES)
 def name_similarity_topk(t: Tables) -> DataFrame:
-    return vector_topk(_name_queries(t, [NAME]), embed_distinct(t.part, "p_name", embed_names), 5, index_id="p_name")
+    return shown(vector_topk(_name_queries(t, [NAME]), embed_distinct(t.part, "p_name", embed_names), 5, index_id="p_name"))
 
 
 @query(_sql_names(MISSPELLED) + _TOP_NAMES)
 def name_search_batch(t: Tables) -> DataFrame:
     """A set of misspelled names at once; every hit carries the name it answers."""
-    return vector_topk(_name_queries(t, MISSPELLED), embed_distinct(t.part, "p_name", embed_names), 5, index_id="p_name")
+    return shown(vector_topk(_name_queries(t, MISSPELLED), embed_distinct(t.part, "p_name", embed_names), 5, index_id="p_name"))
