@@ -1,4 +1,4 @@
-"""Times the headline queries and prints one JSON line.
+"""Times all queries and prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3).
 Every query is run once to warm up and then BENCH_RUNS times; the median counts.  Results are
@@ -15,16 +15,6 @@ import time
 from parlance.plans import QUERIES
 from parlance.session import build_session
 
-HEADLINE = [
-    "semantic_topk", "semantic_threshold", "semantic_self_join", "lsh_self_join", "name_similarity_topk", "fuzzy_correct",
-    "embed_text", "keyword_topk", "hybrid_topk", "kb_topk", "kb_citations", "page_text", "index_changes", "index_sync",
-    "profile_lookup", "billing_history", "ticket_history", "lookup_missing", "sentiment_label", "safe_infer",
-    "opinion_explode", "opinion_summary", "opinion_mv_refresh", "eval_questions", "eval_scores", "run_compare",
-    "chat_normalize", "chat_last_n", "chat_system_prompt", "chat_outputs", "feedback_sentiment", "feedback_summary",
-    "feedback_review_queue", "feedback_trend", "feedback_stream",
-]
-
-
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -32,7 +22,7 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
-    names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
+    names = os.environ.get("BENCH_QUERIES", "").split() or list(QUERIES)
     seconds = {}
     for name in names:
         times = []

@@ -21,6 +21,8 @@ from parlance.functions.tokens import Tokens, from_lists, tokenise
 EmbedFn = Callable[[list[str]], np.ndarray]
 ModelFn = Callable[[list[str]], list[str]]
 
+REQUEST_SIZE = 32
+
 DIMENSIONS = 64
 _MAX_CELLS = 500_000
 
@@ -90,36 +92,45 @@ RESULT_TYPE = T.StructType([
 ])
 
 
-def safe_call_udf(model: ModelFn):
-    """``string -> struct(result, errorMessage, seconds)``; a failing text never fails its batch.
+def safe_call_udf(model: ModelFn, request_size: int = REQUEST_SIZE):
+    """``string -> struct(result, errorMessage, seconds)``; a failing text never fails the others.
 
-    The batch is tried whole, since models are fastest that way; only if it fails is each text
-    tried alone.  ``seconds`` is the wall time of the call that answered the row.
+    Texts go to the model in requests of ``request_size``.  A model may put an exception in the place of an
+    answer; if it raises instead, only the texts of that request are tried again, one by one.  ``seconds``
+    is the wall time of the call that answered the row, shared among its texts.
     """
 
     def one(text: str) -> tuple[str | None, str | None, float]:
         start = time.perf_counter()
         try:
-            answer, error = model([text])[0], None
+            answer, error = outcome(model([text])[0])
         except Exception as problem:  # the error belongs in the row
-            answer, error = None, str(problem) or type(problem).__name__
+            answer, error = outcome(problem)
         return answer, error, time.perf_counter() - start
 
+    def outcome(answer: str | Exception) -> tuple[str | None, str | None]:
+        if isinstance(answer, Exception):
+            return None, str(answer) or type(answer).__name__
+        return answer, None
+
+    def request(asked: list[str]) -> list[tuple[str | None, str | None, float]]:
+        start = time.perf_counter()
+        try:
+            answers = model(asked)
+            if len(answers) != len(asked):
+                raise ValueError("the model must return one answer per text")
+        except Exception:
+            return [one(t) for t in asked]
+        spent = (time.perf_counter() - start) / len(asked)
+        return [(*outcome(a), spent) for a in answers]
+
     @F.pandas_udf(RESULT_TYPE)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             known = texts.notna().to_numpy()
             rows: list[tuple] = [(None, None, None)] * len(texts)
             asked = texts[known].tolist()
-            start = time.perf_counter()
-            try:
-                answers = model(asked) if asked else []
-                if len(answers) != len(asked):
-                    raise ValueError("the model must return one answer per text")
-                spent = (time.perf_counter() - start) / max(len(asked), 1)
-                found = [(a, None, spent) for a in answers]
-            except Exception:
-                found = [one(t) for t in asked]
+            found = [row for k in range(0, len(asked), request_size) for row in request(asked[k:k + request_size])]
             for position, row in zip(np.flatnonzero(known), found):
                 rows[position] = row
             yield pd.DataFrame(rows, columns=RESULT_TYPE.names).astype({"seconds": "float64"})

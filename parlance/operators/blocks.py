@@ -3,7 +3,7 @@
 Two shapes, both without a cross join:
 
 * ``score_join``: a bounded query side is sent to every scan task and the other side never moves.
-  The bound is measured; above it the work goes to ``block_join``.
+  The bound is measured; more queries go in slices of that size, one scan for each.
 * ``block_join``: both sides carry a ``cell`` column and only rows that share a cell can match.  Each
   cell is cut into a grid of blocks of bounded size, so a cell that holds a third of all rows becomes
   many equal tasks instead of one, and a task hands on only its results.
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from parlance.session import shared_dir
-from parlance.sizing import is_small
+from parlance.session import run_dir, shared_dir
+from parlance.sizing import is_small, number_rows
 
 BLOCK_ROWS = 8192
 MAX_QUERIES = 4096
@@ -86,19 +86,22 @@ def score_join(
     queries: DataFrame,
     rows: DataFrame,
     query_id: str,
-    row_id: str,
     scorer: Callable[[pa.Table], Scorer],
     schema: str,
     max_queries: int = MAX_QUERIES,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Everything ``scorer`` finds between the queries and the rows (partial results per task)."""
+    """Everything ``scorer`` finds between the queries and the rows (partial results per task).
+
+    Queries beyond ``max_queries`` are numbered and go through in slices; the partial results of a slice are
+    written before the next one is sent, so driver and tasks hold one slice at a time and the rows are
+    never shuffled.
+    """
     spark: SparkSession = rows.sparkSession
     shared_dir(spark)
-    target = arrow_schema(schema)
     queries = queries.checkpoint()  # measured and used without being computed twice
-    if is_small(queries, max_queries):
-        asked = spark.sparkContext.broadcast(queries.toArrow())
+
+    def scan_for(part: DataFrame) -> DataFrame:
+        asked = spark.sparkContext.broadcast(part.toArrow())
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state = scorer(asked.value)
@@ -111,14 +114,11 @@ def score_join(
 
         return rows.mapInArrow(scan, schema)
 
-    def kernel(block: pa.Table, asked: pa.Table) -> pa.Table:
-        state = scorer(asked)
-        found = [target.empty_table()]
-        if block.num_rows and asked.num_rows:
-            found += state.feed(block)
-        found += state.finish()
-        return pa.concat_tables(found)
-
-    # Only the row counts are needed for the grid, so counting reads no wide column.
-    home, probe = (df.withColumn("cell", F.lit(0)) for df in (rows, queries))
-    return block_join(home, probe, row_id, query_id, kernel, schema, 1, block_rows)
+    if is_small(queries, max_queries):
+        return scan_for(queries)
+    path = run_dir(spark, "slices")
+    numbered = number_rows(queries, [F.col(query_id)], number_col="__n").checkpoint()
+    for start in range(0, numbered.count(), max_queries):
+        part = numbered.where(F.col("__n").between(start, start + max_queries - 1)).drop("__n")
+        scan_for(part).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from parlance.sizing import top_n
 
+# Type names of the chat protocol.
+FUNCTION_CALL, FUNCTION_OUTPUT, MESSAGE = "function_call", "function_call_output", "message"
+FUNCTION, TOOL_CALL, ITEM_DONE = "function", "tool_call", "response.output_item.done"
+
 CALL = "struct<id:string, type:string, function:struct<arguments:string, name:string>>"
 ROW = f"struct<role:string, content:string, name:string, tool_calls:array<{CALL}>, tool_call_id:string>"
 MESSAGES = (
@@ -37,17 +41,17 @@ def normalize(messages: DataFrame) -> DataFrame:
     a message that has none of them.
     """
     call = F.struct(
-        F.col("call_id").alias("id"), F.lit("function").alias("type"),
+        F.col("call_id").alias("id"), F.lit(FUNCTION).alias("type"),
         F.struct(F.col("arguments").alias("arguments"), F.col("name").alias("name")).alias("function"),
     )
     fields = ["role", "content", "name", "tool_calls", "tool_call_id"]
     nothing = F.expr(" AND ".join(f"{f} IS NULL" for f in fields))
     rows = (
-        F.when(F.col("type") == "function_call",
-               F.array(_row(F.lit("assistant"), F.lit("tool_call"), calls=F.array(call))))
-        .when((F.col("type") == "message") & F.col("parts").isNotNull(),
+        F.when(F.col("type") == FUNCTION_CALL,
+               F.array(_row(F.lit("assistant"), F.lit(TOOL_CALL), calls=F.array(call))))
+        .when((F.col("type") == MESSAGE) & F.col("parts").isNotNull(),
               F.transform("parts", lambda text: _row(F.col("role"), text)))
-        .when(F.col("type") == "function_call_output",
+        .when(F.col("type") == FUNCTION_OUTPUT,
               F.array(_row(F.lit("tool"), F.col("output"), call_id=F.col("call_id"))))
         .when(~nothing, F.array(_row(*[F.col(f) for f in fields])))
     )
@@ -81,7 +85,7 @@ def with_system_prompt(rows: DataFrame, prompt: str | None) -> DataFrame:
 def with_overrides(messages: DataFrame, overrides: DataFrame) -> DataFrame:
     """A system message in front of each conversation that has a prompt of its own (conv_id, prompt)."""
     system = overrides.where(F.col("prompt").isNotNull()).select(
-        "conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("message").alias("type"), F.lit("system").alias("role"),
+        "conv_id", F.lit(-1).cast("long").alias("turn"), F.lit(MESSAGE).alias("type"), F.lit("system").alias("role"),
         F.col("prompt").alias("content"))
     return messages.unionByName(system, allowMissingColumns=True)
 
@@ -101,18 +105,21 @@ def output_items(updates: DataFrame) -> DataFrame:
     item = "struct<type:string, text:string, name:string, call_id:string, arguments:string>"
     none = F.lit(None)
     calls = F.transform("tool_calls", lambda c: F.struct(
-        F.lit("function_call"), none, c["function"]["name"], c["id"], c["function"]["arguments"]).cast(item))
+        F.lit(FUNCTION_CALL), none, c["function"]["name"], c["id"], c["function"]["arguments"]).cast(item))
     items = (
         F.when(is_ai & has_calls, calls)
-        .when(is_ai, F.array(F.struct(F.lit("message"), text, none, none, none).cast(item)))
-        .otherwise(F.array(F.struct(F.lit("function_call_output"), F.col("content"), none, F.col("tool_call_id"), none)
+        .when(is_ai, F.array(F.struct(F.lit(MESSAGE), text, none, none, none).cast(item)))
+        .otherwise(F.array(F.struct(F.lit(FUNCTION_OUTPUT), F.col("content"), none, F.col("tool_call_id"), none)
                            .cast(item)))
     )
     return first.select("conv_id", "step", F.posexplode(items).alias("item", "o")).select(
         "conv_id", "step", F.col("item").cast("long").alias("item"), "o.*")
 
 
-def final_text(events: DataFrame, done: str = "response.output_item.done") -> DataFrame:
-    """conv_id and the text of the last finished item: its content, or for list content its last part."""
+def final_text(events: DataFrame, done: str = ITEM_DONE, order: tuple[str, ...] = ("turn",)) -> DataFrame:
+    """conv_id and the text of the last finished item: its content, or for list content its last part.
+
+    ``order`` names the columns that order the events, for instance turn and item; equal ones are ordered by text.
+    """
     text = F.coalesce(F.element_at(F.when(F.size("parts") > 0, F.col("parts")), -1), F.col("content"))
-    return events.where(F.col("event") == done).groupBy("conv_id").agg(F.max_by(text, F.col("turn")).alias("final_text"))
+    return events.where(F.col("event") == done).groupBy("conv_id").agg(F.max_by(text, F.struct(*order, text)).alias("final_text"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.functions.models import ModelFn
 from parlance.functions.text import count_in, fill_template, words
+from parlance.operators.infer import safe_infer
 from parlance.sizing import number_rows
 
 
@@ -45,7 +47,8 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, key: str, order: lis
     latest = incoming.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(key, "__row.*")
     if existing is None:
         return latest
-    return existing.join(latest.select(key), key, "left_anti").unionByName(latest)
+    known = latest.select(F.col(key).alias("__key"))
+    return existing.join(known, F.col(key).eqNullSafe(F.col("__key")), "left_anti").unionByName(latest)
 
 
 def _shared(tokens: Column, others: Column) -> Column:
@@ -80,6 +83,13 @@ def lexical_scores(
     )
 
 
+def judged_scores(records: DataFrame, judge: ModelFn, prompt: Column, score: str) -> DataFrame:
+    """Adds the score that a judging model gives each record; NULL where it fails or answers no number."""
+    named = records.withColumn("__prompt", prompt)
+    called = safe_infer(named, "__prompt", judge, keep=records.columns)
+    return called.select(*records.columns, F.expr("try_cast(response AS DOUBLE)").alias(score))
+
+
 def is_cited(text: Column, marker: str, host: str) -> Column:
     return F.contains(text, F.lit(marker)) & F.contains(text, F.lit(host))
 
@@ -91,7 +101,12 @@ def run_metrics(scored: DataFrame, scorers: list[str], run_col: str = "run") ->
 
 
 def compare_runs(metrics: DataFrame, first: str, second: str, run_col: str = "run") -> DataFrame:
-    """Metrics of the first run next to those of the second; a metric the second lacks counts as 0."""
+    """Metrics of the first run next to those of the second; a metric the second lacks counts as 0.
+
+    Values that are text are compared if they read as numbers, and left out otherwise.
+    """
+    metrics = numeric_only(metrics)
+
     def value(run: str) -> Column:
         return F.max(F.when(F.col(run_col) == run, F.col("value")))
 

@@ -49,6 +49,13 @@ def from_reaction_lists(messages: DataFrame, reactions_col: str = "reactions", t
     )
 
 
+def with_reactions(messages: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Messages with their counts and sentiment; those without any reaction are neutral, with counts of 0."""
+    counts = ["negative_count", "positive_count", "total_reactions"]
+    return messages.join(judged, keys, "left").withColumns({
+        **{c: F.coalesce(c, F.lit(0)).cast("long") for c in counts}, "sentiment": F.coalesce("sentiment", F.lit("neutral"))})
+
+
 def agent_messages(messages: DataFrame, body_col: str = "body", markers: list[str] = AGENT_MARKERS) -> DataFrame:
     return messages.where(contains_any(F.col(body_col), markers))
 
@@ -77,11 +84,17 @@ def review_queue(judged: DataFrame, tracked: DataFrame, key: str, body_col: str,
     }).drop("__q", "__r", "__t")
 
 
-def as_record(key: str) -> Column:
-    """The nested feedback record as JSON text."""
+RECORD_SCHEMA = (
+    "{}, query string, response string, sentiment struct<sentiment: string, negative_count: bigint, positive_count: bigint, "
+    "total_reactions: bigint>, timestamp string, {}"
+)
+
+
+def as_record(key: str, *more: str) -> Column:
+    """The nested feedback record as JSON text, with further columns behind it."""
     counts = ["sentiment", "negative_count", "positive_count", "total_reactions"]
     return F.to_json(F.struct(key, "query", "response", F.struct(*counts).alias("sentiment"),
-                              F.col("recorded_at").alias("timestamp")))
+                              F.col("recorded_at").alias("timestamp"), *more))
 
 
 def alerts(summaries: DataFrame, threshold: int = 0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.models import EmbedFn, embed_batch
@@ -11,9 +11,14 @@ from parlance.sizing import small_side, top_n
 from parlance.sources.tables import overwrite_table, quoted, recover_table, table_or_none
 
 
+def text_hash(text: Column) -> Column:
+    """md5 of a text; NULL has a value of its own, so that NULL and empty text are told apart."""
+    return F.coalesce(F.md5(text), F.lit("null"))
+
+
 def content_hashes(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """Key and md5 of the text: all that a snapshot comparison has to shuffle."""
-    return df.select(key, F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("content_hash"))
+    return df.select(key, text_hash(F.col(text_col)).alias("content_hash"))
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -30,7 +35,7 @@ def snapshot_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def build_index(source: DataFrame, key: str, text_col: str, embed: EmbedFn = embed_batch) -> DataFrame:
     """key, content_hash, embedding"""
-    hashed = source.select(key, text_col, F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("content_hash"))
+    hashed = source.select(key, text_col, text_hash(F.col(text_col)).alias("content_hash"))
     return embed_text(hashed, text_col, embed).select(key, "content_hash", "embedding")
 
 
@@ -61,23 +66,26 @@ def _changes(name: str) -> str:
 
 def sync_index(
     source: DataFrame, index_table: str, key: str, text_col: str, embed: EmbedFn = embed_batch, partial: bool = False,
-    compact_above: float = 0.1,
+    compact_above: float = 0.1, deleted: DataFrame | None = None,
 ) -> bool:
     """Creates the index table, or brings it up to date; True if anything was written.
 
     ``key`` is unique in the source.  Only new and changed texts are embedded, and only they are
     written; the base is rewritten once changes exceed its share ``compact_above``.  Running a sync
     again changes nothing.  With ``partial`` the source holds changed rows only, so keys it lacks are
-    kept and only its own keys are compared.
+    kept and only its own keys are compared; ``deleted`` then names the keys that go.
     """
     spark = source.sparkSession
     recover_table(spark, index_table)
+    if deleted is not None:
+        source = source.join(deleted.select(key), key, "left_anti")
     if table_or_none(spark, index_table) is None:
         overwrite_table(build_index(source, key, text_col, embed), index_table)
         return True
     old, new = read_index(spark, index_table).select(key, "content_hash"), content_hashes(source, key, text_col)
     if partial:
-        old = old.join(small_side(new.select(key)), key, "left_semi")
+        named = new.select(key) if deleted is None else new.select(key).union(deleted.select(key))
+        old = old.join(small_side(named), key, "left_semi")
     changes = snapshot_changes(old, new, key).checkpoint()
     if changes.isEmpty():
         return False

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.models import EmbedFn, ModelFn, embed_batch, safe_call_udf, text_embedding_udf
+from parlance.functions.models import REQUEST_SIZE, EmbedFn, ModelFn, embed_batch, safe_call_udf, text_embedding_udf
 
 
 def safe_infer(
     df: DataFrame, text_col: str, model: ModelFn, limit: int | None = None, order: list[Column] | None = None,
-    keep: list[str] | None = None, error_text: bool = False,
+    keep: list[str] | None = None, error_text: bool = False, request_size: int = REQUEST_SIZE,
 ) -> DataFrame:
     """``input``, ``response`` and ``error`` per row; exactly one of the last two is set for non-NULL text.
 
@@ -19,7 +19,7 @@ def safe_infer(
     """
     if limit is not None:
         df = (df.orderBy(*order) if order else df).limit(limit)
-    called = df.select(*(keep or []), F.col(text_col).alias("input")).withColumn("__call", safe_call_udf(model)("input"))
+    called = df.select(*(keep or []), F.col(text_col).alias("input")).withColumn("__call", safe_call_udf(model, request_size)("input"))
     response, error = F.col("__call.result"), F.col("__call.errorMessage")
     if error_text:
         response = F.coalesce(response, F.concat(F.lit("Error: "), error))

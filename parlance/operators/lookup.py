@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.sizing import number_rows, split_hot
+from parlance.sizing import number_rows, small_side, split_hot
 
 LINES_PER_PAGE = 1000
 
@@ -56,7 +56,8 @@ def one_per_key(customers: DataFrame, key: str, id_col: str) -> DataFrame:
 
 def profile_lookup(requests: DataFrame, customers: DataFrame, key: str, id_col: str, line: Column) -> DataFrame:
     """request key -> profile text, or the sentence that names the unknown key."""
-    found = one_per_key(customers, key, id_col).select(key, line.alias("__line"), F.lit(True).alias("__known"))
+    asked = small_side(requests.select(key).distinct())
+    found = one_per_key(customers.join(asked, key, "left_semi"), key, id_col).select(key, line.alias("__line"), F.lit(True).alias("__known"))
     answer = F.when(F.col("__known"), F.col("__line")).otherwise(fill(NO_CUSTOMER, F.col(key).cast("string")))
     return requests.join(found, key, "left").select(*requests.columns, answer.alias("profile"))
 
@@ -76,7 +77,7 @@ def history_pages(
     names = [f"__o{i}" for i in range(len(order))]
 
     def pages(rows: DataFrame) -> DataFrame:
-        sort = F.array_sort(F.collect_list(F.struct(*names, "__line")))
+        sort = F.array_sort(F.collect_list(F.struct(*names, "__line")))  # the line makes the order total
         return rows.groupBy(customer_id, "page").agg(F.count("*").alias("n_records"), sort.alias("__rows")).select(
             customer_id, "page", "n_records",
             F.array_join(F.transform("__rows", lambda r: r["__line"]), "\n").alias("history"))
@@ -85,7 +86,7 @@ def history_pages(
     shaped = [df.select(customer_id, *marks, line.alias("__line")) for df in (small, large) if df is not None]
     result = pages(shaped[0].withColumn("page", F.lit(0).cast("long")))
     if len(shaped) == 2:
-        numbered = number_rows(shaped[1], [F.col(n) for n in names], [customer_id], "__row")
+        numbered = number_rows(shaped[1], [*[F.col(n) for n in names], F.col("__line")], [customer_id], "__row")
         page = F.floor(F.col("__row") / lines_per_page).cast("long")
         result = result.unionByName(pages(numbered.withColumn("page", page)))
     return result
@@ -109,10 +110,12 @@ def history_lookup(
 ) -> DataFrame:
     """request key -> history pages, or why there are none: unknown customer, or known without records.
 
-    All customers that share the key count, as they do for a lookup by email.
+    All customers that share the key count, as they do for a lookup by email.  Requests narrow the customers and these the
+    records before anything is grouped, so one request does not build every history.
     """
-    owners = customers.select(key, id_col)
-    keyed = records.join(owners, id_col)
+    asked = small_side(requests.select(key).distinct())
+    owners = customers.select(key, id_col).join(asked, key, "left_semi")
+    keyed = records.join(small_side(owners), id_col)
     pages = history_pages(keyed, key, line, order, lines_per_page)
     known = owners.select(key).distinct().withColumn("__known", F.lit(True))
     answer = (

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import clean_name
-from parlance.operators.blocks import BLOCK_ROWS, arrow_schema, score_join
-from parlance.sizing import MAX_BROADCAST_ROWS, small_side, top_n
+from parlance.operators.blocks import arrow_schema, score_join
+from parlance.sizing import small_side, top_n
+
+# Entries that a task holds at a time, with a count for each of their letters; larger dictionaries go in slices.
+MAX_ENTRIES = 20_000
 
 
 def union_names(*sources: tuple[DataFrame, str]) -> DataFrame:
@@ -102,8 +105,7 @@ def best_entries(
     words: DataFrame,
     dictionary: DataFrame,
     threshold: int = 70,
-    max_entries: int = MAX_BROADCAST_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """For each distinct ``word``: the ``entry`` with the highest ratio strictly above the threshold.
 
@@ -115,9 +117,7 @@ def best_entries(
     dictionary = dictionary.select(F.col("position").cast("long").alias("position"), "entry").where(F.col("entry").isNotNull())
     unique = words.select("word").where(F.col("word").isNotNull()).distinct()
     partial = score_join(
-        dictionary, unique, "position", "word", lambda asked: _Dictionary(asked, threshold, target), schema,
-        max_entries, block_rows,
-    )
+        dictionary, unique, "position", lambda asked: _Dictionary(asked, threshold, target), schema, max_entries)
     return top_n(partial, ["word"], [F.col("ratio").desc(), F.col("position")], 1).drop("rank", "position")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import count_in, has_any, words
-from parlance.operators.index import content_hashes
+from parlance.operators.index import content_hashes, text_hash
 from parlance.sizing import small_side
 from parlance.sources.tables import quoted, table_or_none
 
@@ -85,10 +85,14 @@ def opinion_rejects(df: DataFrame, answer_col: str = "extracted_opinions", allow
 
 
 def opinion_summary(opinions: DataFrame) -> DataFrame:
-    """Counts by class and sentiment with subtotals; ``ALL`` marks a total."""
-    return opinions.rollup("classification", "sentiment").agg(F.count("*").alias("n_opinions")).select(
-        F.coalesce("classification", F.lit("ALL")).alias("classification"),
-        F.coalesce("sentiment", F.lit("ALL")).alias("sentiment"), "n_opinions")
+    """Counts by class and sentiment with subtotals; ``ALL`` marks a total, ``UNKNOWN`` a missing value."""
+    def label(column: str) -> Column:
+        return F.when(F.col(f"__{column}") == 1, "ALL").otherwise(F.coalesce(column, F.lit("UNKNOWN"))).alias(column)
+
+    counted = opinions.rollup("classification", "sentiment").agg(
+        F.count("*").alias("n_opinions"), F.grouping("classification").alias("__classification"),
+        F.grouping("sentiment").alias("__sentiment"))
+    return counted.select(label("classification"), label("sentiment"), "n_opinions")
 
 
 def refresh_answers(
@@ -102,7 +106,7 @@ def refresh_answers(
     they lie, instead of being shuffled.
     """
     spark = source.sparkSession
-    wanted = source.withColumn("content_hash", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    wanted = source.withColumn("content_hash", text_hash(F.col(text_col)))
     known = table_or_none(spark, answers_table)
     if known is not None:
         # Keys and hashes are compared first; whole texts are shuffled only if much is new.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.tokens import tokenise
-from parlance.operators.blocks import BLOCK_ROWS, MAX_QUERIES, arrow_schema, score_join, sql_type
+from parlance.operators.blocks import MAX_QUERIES, arrow_schema, score_join, sql_type
 from parlance.operators.vectors import TopK, cosines, rounded, tiles, to_table, unit_rows, vector_topk, with_vector
 from parlance.session import shared_dir
 from parlance.sizing import is_small, small_side, top_n
@@ -164,7 +164,6 @@ def keyword_topk(
     corpus_id: str = "id",
     corpus_text: str = "text",
     max_queries: int = MAX_QUERIES,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """BM25 top ``k`` per query: query id, id, score, rank.  Only documents that share a term are results."""
     texts = _texts(corpus, corpus_id, corpus_text)
@@ -187,7 +186,7 @@ def keyword_topk(
         def finish(self):
             yield to_table([(self.names[q], key, s) for _, q, key, s, _ in self.top.rows()], target)
 
-    partial = score_join(prepared, texts, query_id, corpus_id, Search, schema, max_queries, block_rows)
+    partial = score_join(prepared, texts, query_id, Search, schema, max_queries)
     return top_n(partial, [query_id], [F.col("score").desc(), F.col(corpus_id)], k)
 
 
@@ -202,7 +201,6 @@ def hybrid_topk(
     corpus_text: str = "text",
     corpus_vector: str = "embedding",
     max_queries: int = MAX_QUERIES,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Reciprocal rank fusion of the full keyword ranking and the full vector ranking.
 
@@ -253,7 +251,7 @@ def hybrid_topk(
             rows += [(self.names[q], key, o, s, False) for _, q, key, s, o in self.by_vector.rows()]
             yield to_table(rows, first_target)
 
-    found = score_join(asked, docs, query_id, corpus_id, Candidates, first_schema, max_queries, block_rows)
+    found = score_join(asked, docs, query_id, Candidates, first_schema, max_queries)
     own = F.when(F.col("by_keyword"), F.col("keyword_score")).otherwise(F.col("vector_score"))
     kept = top_n(found, [query_id, "by_keyword"], [own.desc(), F.col(corpus_id)], depth)
     candidates = kept.groupBy(query_id).agg(
@@ -300,7 +298,7 @@ def hybrid_topk(
             ], second_target)
 
     counted = score_join(
-        asked.join(candidates, query_id), docs, query_id, corpus_id, Ahead, second_schema, max_queries, block_rows
+        asked.join(candidates, query_id), docs, query_id, Ahead, second_schema, max_queries
     )
     infinite = F.lit(float("-inf"))
     fused = (

@@ -110,7 +110,6 @@ def vector_topk(
     index_vector: str = "embedding",
     group_col: str | None = None,
     max_queries: int = MAX_QUERIES,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar index rows per query (and per group): query id, [group], id, score, rank.
 
@@ -153,7 +152,7 @@ def vector_topk(
             else:
                 yield to_table([(self.names[q], key, s) for _, q, key, s, _ in found], target)
 
-    partial = score_join(queries, index, query_id, index_id, Search, schema, max_queries, block_rows)
+    partial = score_join(queries, index, query_id, Search, schema, max_queries)
     return top_n(partial, [query_id, *groups], [F.col("score").desc(), F.col(index_id)], k)
 
 
@@ -166,7 +165,6 @@ def vector_threshold(
     index_id: str = "id",
     index_vector: str = "embedding",
     max_queries: int = MAX_QUERIES,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Every index row whose similarity to a query is strictly above the threshold; scored once per pair."""
     index, queries = index.select(index_id, index_vector), queries.select(query_id, query_vector)
@@ -196,7 +194,7 @@ def vector_threshold(
         def finish(self):
             return ()
 
-    return score_join(queries, index, query_id, index_id, Above, schema, max_queries, block_rows)
+    return score_join(queries, index, query_id, Above, schema, max_queries)
 
 
 def distinct_vectors(index: DataFrame, index_id: str = "id", index_vector: str = "embedding") -> DataFrame:

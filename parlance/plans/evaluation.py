@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.operators import evaluate
+from parlance.operators import evaluate, infer
 from parlance.plans.opinions import _sql_count, _sql_list
 from parlance.plans.registry import SQL_WORDS, Tables, query
 from parlance.sources.tables import overwrite_table, scratch_schema
@@ -41,15 +43,25 @@ def eval_prompts(t: Tables) -> DataFrame:
     return asked.select("c_custkey", evaluate.judge_prompt(record, F.col("question"), OPENING, TASK).alias("prompt"))
 
 
+def state_facts(prompts: list[str]) -> list[str]:
+    """A small local model: repeats the record in its prompt as facts, and declines for one segment."""
+    answers = []
+    for prompt in prompts:
+        segment, name = prompt.removeprefix(OPENING + " ").split(f" {TASK}")[0].split(", ")
+        answers.append("I cannot say" if segment == "BUILDING" else json.dumps([f"Segment: {segment}", f"Name: {name}"]))
+    return answers
+
+
 @query(f"""
     WITH {_NUMBERED}
     SELECT question, '' AS predictions, CASE c_mktsegment WHEN 'BUILDING' THEN 0 ELSE 2 END AS n_facts,
            CASE WHEN c_mktsegment <> 'BUILDING' THEN 'Segment: ' || c_mktsegment END AS first_fact FROM q""")
 def eval_records(t: Tables) -> DataFrame:
-    """Facts come as JSON text; some answers are no JSON and have no facts."""
-    facts = F.to_json(F.array(F.concat(F.lit("Segment: "), F.col("c_mktsegment")), F.concat(F.lit("Key: "), F.col("c_custkey").cast("string"))))
-    answer = F.when(F.col("c_mktsegment") == "BUILDING", "I cannot say").otherwise(facts)
-    answered = _questions(t).select("question", evaluate.expected_facts(answer).alias("expected_facts"))
+    """A model answers each prompt with facts as JSON text; some answers are no JSON and have no facts."""
+    record = [F.col("c_mktsegment"), F.col("c_name")]
+    asked = _questions(t).select("question", evaluate.judge_prompt(record, F.col("question"), OPENING, TASK).alias("prompt"))
+    answers = infer.safe_infer(asked, "prompt", state_facts, keep=["question"])
+    answered = answers.select("question", evaluate.expected_facts(F.col("response")).alias("expected_facts"))
     records, found = evaluate.eval_records(answered), F.col("expectations.expected_facts")
     return records.select(
         F.col("inputs.question").alias("question"), "predictions",
@@ -101,12 +113,15 @@ _SCORES = f"""
 
 
 def _scored(t: Tables) -> DataFrame:
-    turns = t.conversations
-    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    earlier = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
-    records = asked.join(replies, ["conv_id", "turn"]).join(earlier, ["conv_id", "turn"], "left")
-    records = records.withColumn("context", F.coalesce("context", F.lit("")))
+    # Each turn looks at the ones before and behind it, so one shuffle serves question, answer and context.
+    turns = Window.partitionBy("conv_id").orderBy("turn")
+    near = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("question"), *[
+        column.over(turns).alias(name) for name, column in (
+            ("answer", F.lead("text")), ("next_role", F.lead("role")), ("next_turn", F.lead("turn")), ("context", F.lag("text")),
+            ("last_turn", F.lag("turn")))])
+    records = near.where("role = 'user' AND next_role = 'assistant' AND next_turn = turn + 1").select(
+        "conv_id", "turn", "question", "answer",
+        F.coalesce(F.when(F.col("last_turn") == F.col("turn") - 1, F.col("context")), F.lit("")).alias("context"))
     # Both runs come from one joined row, so the joins run once.
     runs = F.explode(F.array(
         F.struct(F.lit("reply").alias("run"), F.col("answer").alias("answer")),
@@ -126,6 +141,25 @@ def eval_scores(t: Tables) -> DataFrame:
         "safety", "guidelines")
 
 
+def judge_length(prompts: list[str]) -> list[str]:
+    """A small local judge: 1 for an answer that is longer than its question, and no number for short questions."""
+    answers = []
+    for prompt in prompts:
+        question, answer = prompt.split("\x1f")
+        answers.append("unsure" if len(question) < 100 else str(int(len(answer) > len(question))))
+    return answers
+
+
+@query(f"""
+    WITH {_SCORES}
+    SELECT run, conv_id, turn, CASE WHEN length(question) >= 100 THEN (length(answer) > length(question))::INT::DOUBLE END AS judged
+    FROM s JOIN (SELECT run, conv_id, turn, question, answer FROM r) USING (run, conv_id, turn)""")
+def eval_judge(t: Tables) -> DataFrame:
+    """A judging model next to the lexical scorers."""
+    prompt = F.concat_ws("\x1f", "question", "answer")
+    return evaluate.judged_scores(_scored(t), judge_length, prompt, "judged").select("run", "conv_id", "turn", "judged")
+
+
 @query(f"""
     WITH {_SCORES}
     SELECT a.metric, round(a.value, 4) AS value_1, round(coalesce(b.value, 0), 4) AS value_2,
@@ -133,8 +167,10 @@ def eval_scores(t: Tables) -> DataFrame:
            printf('%.3f', coalesce(b.value, 0)) AS shown_2, printf('%+.3f', a.value - coalesce(b.value, 0)) AS shown_difference
     FROM metrics a LEFT JOIN (SELECT * FROM metrics WHERE run = 'echo' AND metric <> 'safety') b USING (metric) WHERE a.run = 'reply'""")
 def run_compare(t: Tables) -> DataFrame:
-    """The second run lacks one metric, which then counts as 0."""
-    metrics = evaluate.run_metrics(_scored(t), SCORERS)
+    """The second run lacks one metric, which then counts as 0.  A metric that is no number is left out."""
+    metrics = evaluate.run_metrics(_scored(t), SCORERS).withColumn("value", F.col("value").cast("string"))
+    names = metrics.select("run").distinct().select("run", F.lit("model").alias("metric"), F.lit("local rules").alias("value"))
+    metrics = metrics.unionByName(names)
     kept = metrics.where(~((F.col("run") == "echo") & (F.col("metric") == "safety")))
     numbers = [F.round(c, 4).alias(c) for c in ("value_1", "value_2", "difference")]
     return evaluate.compare_runs(kept, "reply", "echo").select("metric", *numbers, "shown_1", "shown_2", "shown_difference")

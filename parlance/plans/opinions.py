@@ -69,6 +69,17 @@ def safe_infer(t: Tables) -> DataFrame:
     return infer.safe_infer(t.documents, "text", count_lines, keep=["doc_id"]).drop("input")
 
 
+@query(f"""
+    SELECT doc_id, CASE WHEN length(text) <= {LONGEST} THEN
+               (length(text) - length(replace(text, chr(10), '')) + 1) || ' lines'
+           ELSE 'Error: text has ' || length(text) || ' characters' END AS response FROM (
+        SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100)""")
+def safe_infer_limited(t: Tables) -> DataFrame:
+    """A trial run: the limit lies below the model, and errors are shown as text in the one answer column."""
+    tried = infer.safe_infer(t.documents, "text", count_lines, limit=100, order=[F.col("doc_id")], keep=["doc_id"], error_text=True)
+    return tried.select("doc_id", "response")
+
+
 def _answer() -> Column:
     return opinions.mine_opinions(F.col("text"), TOPICS, POSITIVE, NEGATIVE)
 
@@ -91,8 +102,8 @@ def opinion_explode(t: Tables) -> DataFrame:
 
 
 @query(f"""{_OPINIONS}
-    SELECT coalesce(classification, 'ALL') AS classification, coalesce(sentiment, 'ALL') AS sentiment,
-           count(*) AS n_opinions FROM opinions GROUP BY ROLLUP (classification, sentiment)""")
+    SELECT CASE WHEN grouping(classification) = 1 THEN 'ALL' ELSE coalesce(classification, 'UNKNOWN') END AS classification,
+           CASE WHEN grouping(sentiment) = 1 THEN 'ALL' ELSE coalesce(sentiment, 'UNKNOWN') END AS sentiment, count(*) AS n_opinions FROM opinions GROUP BY ROLLUP (classification, sentiment)""")
 def opinion_summary(t: Tables) -> DataFrame:
     answered = spread(t.documents).select(_answer().alias("extracted_opinions"))
     return opinions.opinion_summary(opinions.explode_opinions(answered))
@@ -130,9 +141,9 @@ def opinion_stream(t: Tables) -> DataFrame:
     folder, checkpoint = run_dir(t.spark, "opinion_stream_in"), run_dir(t.spark, "opinion_stream_state")
     table = f"{scratch_schema(t.spark, 'opinion_stream')}.answers"
     documents = t.documents.select("doc_id", "text")
-    for delivery in (_older(t), documents):
-        delivery.write.mode("append").parquet(folder)
-        stream = read_stream(t.spark, folder, "doc_id bigint, text string")
-        answers_stream(stream, table, "doc_id", "text", _answer(), checkpoint).awaitTermination()
+    for number, delivery in enumerate((_older(t), documents)):
+        delivery.withColumn("delivery", F.lit(number)).write.mode("append").parquet(folder)
+        stream = read_stream(t.spark, folder, "doc_id bigint, text string, delivery int")
+        answers_stream(stream, table, "doc_id", "text", _answer(), checkpoint, F.struct("delivery", "text")).awaitTermination()
     found = opinions.current_opinions(documents, table, "doc_id", "text")
     return found.select("doc_id", "classification", "comment", "sentiment")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from parlance.operators import feedback
 from parlance.plans.registry import Tables, query
 from parlance.session import run_dir
-from parlance.sources.tables import write_json
-from parlance.streaming.jobs import append_to, polarity_stream, read_stream
+from parlance.streaming.jobs import append_to, polarity_stream, read_table_stream
 
 POSITIVE, NEGATIVE = ["purchase", "signup"], ["error"]
 MARKERS = ["BUILDING", "MACHINERY"]
@@ -23,7 +22,9 @@ _JUDGED = """
     j AS (SELECT *, negative_count + positive_count AS total_reactions,
                  CASE WHEN negative_count > positive_count THEN 'negative' WHEN positive_count > negative_count THEN 'positive'
                       ELSE 'neutral' END AS sentiment FROM c)"""
-_BODY = "b AS (SELECT j.*, c_name || ' / ' || c_mktsegment AS body FROM j JOIN customer ON user_id = c_custkey)"
+_BODY = """b AS (SELECT c_custkey AS user_id, day, coalesce(negative_count, 0) AS negative_count, coalesce(positive_count, 0) AS positive_count,
+    coalesce(total_reactions, 0) AS total_reactions, coalesce(sentiment, 'neutral') AS sentiment, c_name || ' / ' || c_mktsegment AS body
+    FROM customer LEFT JOIN j ON user_id = c_custkey)"""
 _AGENT = "(contains(body, 'BUILDING') OR contains(body, 'MACHINERY'))"
 _COUNTS = """count(*) AS total_checked, count(*) FILTER (sentiment = 'negative') AS negative_feedback,
     count(*) FILTER (sentiment = 'positive') AS positive_feedback, count(*) FILTER (sentiment = 'neutral') AS neutral_feedback"""
@@ -37,8 +38,8 @@ def _judged(t: Tables) -> DataFrame:
 def _agent_messages(t: Tables) -> DataFrame:
     customers = t.customer.select(
         F.col("c_custkey").alias("user_id"), F.concat_ws(" / ", "c_name", "c_mktsegment").alias("body"))
-    # The marker filter runs on the customers, before the join.
-    return _judged(t).join(feedback.agent_messages(customers, markers=MARKERS), "user_id")
+    # The marker filter runs on the customers, before the join.  Customers without reactions are messages too.
+    return feedback.with_reactions(feedback.agent_messages(customers, markers=MARKERS), _judged(t), ["user_id"])
 
 
 @query(f"WITH {_JUDGED} SELECT user_id, day, negative_count, positive_count, total_reactions, sentiment FROM j")
@@ -58,14 +59,15 @@ def feedback_summary(t: Tables) -> DataFrame:
            '2024-02-01T00:00:00' AS recorded_at
     FROM b LEFT JOIN benchmark ON item_id = user_id WHERE {_AGENT} AND sentiment <> 'neutral'""")
 def feedback_review_queue(t: Tables) -> DataFrame:
-    """The queue is written as JSON records and read back."""
+    """The queue is written as nested JSON records and read back."""
     tracked = t.benchmark.select(
         F.col("item_id").alias("user_id"), F.col("text").alias("query"),
         F.concat(F.lit("Answer "), F.col("item_id").cast("string")).alias("response"))
     queue = feedback.review_queue(_agent_messages(t), tracked, "user_id", "body", F.lit(RECORDED_AT).cast("timestamp"))
     path = run_dir(t.spark, "review_queue")
-    write_json(queue.drop("body"), path)
-    return t.spark.read.schema(queue.drop("body").schema).json(path)
+    queue.select(feedback.as_record("user_id", "day", "requires_review").alias("value")).write.text(path)
+    read = t.spark.read.schema(feedback.RECORD_SCHEMA.format("user_id bigint", "day string, requires_review boolean")).json(path)
+    return read.select("user_id", "day", "query", "response", "sentiment.*", "requires_review", F.col("timestamp").alias("recorded_at"))
 
 
 @query(f"""
@@ -88,7 +90,7 @@ def feedback_trend(t: Tables) -> DataFrame:
 def feedback_stream(t: Tables) -> DataFrame:
     """Daily counts from a stream; the last day stays open because its watermark has not passed."""
     out, state = run_dir(t.spark, "feedback_stream_out"), run_dir(t.spark, "feedback_stream_state")
-    events = read_stream(t.spark, t.folder, t.events.schema, "events.parquet")
+    events = read_table_stream(t.spark, f"{t.folder}/events.parquet")
     counts = polarity_stream(events, "ts", ["user_id"], positive=POSITIVE, negative=NEGATIVE, reaction_col="event_type")
     append_to(counts, out, state).awaitTermination()
     return t.spark.read.schema(counts.schema).parquet(out)

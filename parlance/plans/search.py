@@ -63,16 +63,17 @@ def index_sync(t: Tables) -> DataFrame:
     return _index_rows(read_index(t.spark, table))
 
 
-@query(_sql_index("SELECT doc_id, text FROM documents"))
+@query(_sql_index("SELECT doc_id, text FROM documents WHERE lang <> 'fr'"))
 def index_sync_stream(t: Tables) -> DataFrame:
-    """Two deliveries of the documents pass through the triggered stream form."""
+    """Two deliveries of the documents pass through the triggered stream form; the second deletes the French ones."""
     folder, checkpoint = run_dir(t.spark, "index_stream_in"), run_dir(t.spark, "index_stream_state")
     table = f"{scratch_schema(t.spark, 'index_stream')}.documents_index"
     old, _ = _snapshots(t)
-    for delivery in (old, t.documents.select("doc_id", "text")):
-        delivery.write.mode("append").parquet(folder)
-        stream = read_stream(t.spark, folder, "doc_id bigint, text string")
-        index_stream(stream, table, "doc_id", "text", checkpoint).awaitTermination()
+    new = t.documents.select("doc_id", "text", (F.col("lang") == "fr").alias("deleted"))
+    for number, delivery in enumerate((old.withColumn("deleted", F.lit(False)), new)):
+        delivery.withColumn("delivery", F.lit(number)).write.mode("append").parquet(folder)
+        stream = read_stream(t.spark, folder, "doc_id bigint, text string, deleted boolean, delivery int")
+        index_stream(stream, table, "doc_id", "text", checkpoint, F.struct("delivery", "text"), deleted=F.col("deleted")).awaitTermination()
     return _index_rows(read_index(t.spark, table))
 
 

@@ -100,17 +100,41 @@ def lookup_missing(t: Tables) -> DataFrame:
     return lookup.history_lookup(_everyone(t), t.customer, tickets, "c_name", "c_custkey", *_tickets(), lookup.NO_TICKETS)
 
 
-@query("""
-    WITH req AS (SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier)
+@query(f"""
+    WITH req AS (SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier),
+    n AS (SELECT c_name, (row_number() OVER (PARTITION BY c_name ORDER BY o_orderdate::DATE DESC, o_orderkey) - 1) // 1000 AS page,
+                 o_orderdate, o_orderkey, {_BILL} AS line FROM orders JOIN customer ON o_custkey = c_custkey),
+    h AS (SELECT c_name, page, string_agg(line, chr(10) ORDER BY o_orderdate::DATE DESC, o_orderkey) AS history FROM n GROUP BY ALL)
+    SELECT req.c_name, coalesce(h.page, 0) AS page, CASE
+        WHEN c.c_name IS NULL THEN 'No customer found with email: ' || req.c_name
+        WHEN h.c_name IS NULL THEN 'No billing records found for customer: ' || req.c_name ELSE history END AS history
+    FROM req LEFT JOIN customer c ON c.c_name = req.c_name LEFT JOIN h ON h.c_name = req.c_name""")
+def billing_lookup(t: Tables) -> DataFrame:
+    """Bills by customer name: bills, a customer without bills, and an unknown customer."""
+    bills = t.orders.withColumnRenamed("o_custkey", "c_custkey")
+    return lookup.history_lookup(_everyone(t), t.customer, bills, "c_name", "c_custkey", *_bills(), lookup.NO_BILLS)
+
+
+@query(f"""
+    WITH req AS (SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier),
+    bills AS (SELECT c_name, string_agg({_BILL}, chr(10) ORDER BY o_orderdate::DATE DESC, o_orderkey::VARCHAR) AS text
+              FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name),
+    tickets AS (SELECT c_name, string_agg('Ticket ' || event_id || ': ' || event_type || ' - ' || props || ' (Status: open)', chr(10)
+                ORDER BY ts::DATE DESC, event_id::VARCHAR) AS text FROM events JOIN customer ON user_id = c_custkey GROUP BY c_name)
     SELECT req.c_name, CASE WHEN c_custkey IS NULL THEN 'No customer found with email: ' || req.c_name ELSE
         'Customer ID: ' || c_custkey || ', Name: ' || c.c_name || ', Phone: -, Status: ' || c_mktsegment
-        || ', Address: -, -, - -' END AS profile
-    FROM req LEFT JOIN customer c ON c.c_name = req.c_name""")
+        || ', Address: -, -, - -' END AS profile,
+        CASE WHEN c_custkey IS NULL THEN 'No customer found with email: ' || req.c_name
+             ELSE coalesce(bills.text, 'No billing records found for customer: ' || req.c_name) END AS bills,
+        CASE WHEN c_custkey IS NULL THEN 'No customer found with email: ' || req.c_name
+             ELSE coalesce(tickets.text, 'No support tickets found for customer: ' || req.c_name) END AS tickets
+    FROM req LEFT JOIN customer c ON c.c_name = req.c_name LEFT JOIN bills ON bills.c_name = req.c_name
+    LEFT JOIN tickets ON tickets.c_name = req.c_name""")
 def sql_function_lookup(t: Tables) -> DataFrame:
-    """The SQL function form, called with a column.
+    """The three SQL functions, called with a column.
 
-    The list functions answer single requests: their one text per customer has no bound, so whole
-    tables of requests go through ``lookup_missing`` and its pages.
+    The list functions give one text per customer, however long; ``lookup_missing`` and ``billing_lookup`` give
+    the same in pages.
     """
     text = lambda name: F.col(name).cast("string")
     t.customer.select(
@@ -131,4 +155,6 @@ def sql_function_lookup(t: Tables) -> DataFrame:
     ).createOrReplaceTempView("parlance_tickets")
     _everyone(t).createOrReplaceTempView("parlance_requests")
     lookup.register_lookups(t.spark, "parlance_customers", "parlance_billing", "parlance_tickets")
-    return t.spark.sql("SELECT c_name, get_customer_info(c_name) AS profile FROM parlance_requests")
+    return t.spark.sql(
+        "SELECT c_name, get_customer_info(c_name) AS profile, get_billing_info(c_name) AS bills, "
+        "get_support_tickets(c_name) AS tickets FROM parlance_requests")

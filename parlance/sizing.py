@@ -10,6 +10,7 @@ from parlance.session import shared_dir
 
 MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 << 20
+FEW_SPLITS = 8
 
 
 def _byte_size(field: T.StructField) -> Column:
@@ -44,13 +45,14 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Uses every core when the input comes in fewer pieces than there are cores.
+    """Uses more cores when a table is so small that it comes in a few pieces.
 
-    For work that is heavy per row over one or two file splits.  Large inputs have more splits than
-    cores and are returned as they are, without a shuffle.
+    For work that is heavy per row.  The bound is a number of file splits (about 1 GB) and does not depend on the size of
+    the cluster, so anything larger is returned as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, 4 * FEW_SPLITS)
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank_col: str = "rank") -> DataFrame:
@@ -98,7 +100,7 @@ def split_hot(df: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame
 
     The key must not be NULL.
     """
-    hot = df.groupBy(key).count().where(F.col("count") > limit).select(key)
+    hot = small_side(df.groupBy(key).count().where(F.col("count") > limit).select(key))  # counted once
     if hot.isEmpty():
         return df, None
     return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")

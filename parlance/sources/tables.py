@@ -49,9 +49,19 @@ def insert_rows(spark: SparkSession, name: str, rows: list[tuple]) -> None:
     spark.createDataFrame(rows, spark.table(quoted(name)).schema).write.mode("append").insertInto(quoted(name))
 
 
-def overwrite_table(df: DataFrame, name: str) -> None:
+def own_properties(spark: SparkSession, name: str) -> dict[str, str]:
+    """Properties that users set on a table; nothing for a table that does not exist."""
+    if not spark.catalog.tableExists(quoted(name)):
+        return {}
+    rows = spark.sql(f"SHOW TBLPROPERTIES {quoted(name)}").collect()
+    return {r["key"]: r["value"] for r in rows if not r["key"].startswith(("spark.sql.", "transient_", "option."))}
+
+
+def overwrite_table(df: DataFrame, name: str, like: str | None = None) -> None:
     """Replaces a table, its schema included, also when ``df`` reads the table itself.
 
+    Properties are those the table had, or those of the table ``like``.
+
     The result is written next to the table first and then swapped in by renames.  A run that
     was cut short between the renames is completed by the next one.
     """
@@ -59,7 +69,11 @@ def overwrite_table(df: DataFrame, name: str) -> None:
     stage, old = f"{name}__stage", f"{name}__old"
     recover_table(spark, name)
     spark.sql(f"DROP TABLE IF EXISTS {quoted(stage)}")
+    properties = own_properties(spark, like or name)
     df.write.format("parquet").saveAsTable(quoted(stage))
+    if properties:
+        listed = ", ".join(f"'{k}' = '{v}'" for k, v in properties.items())
+        spark.sql(f"ALTER TABLE {quoted(stage)} SET TBLPROPERTIES ({listed})")
     if spark.catalog.tableExists(quoted(name)):
         spark.sql(f"ALTER TABLE {quoted(name)} RENAME TO {quoted(old)}")
     spark.sql(f"ALTER TABLE {quoted(stage)} RENAME TO {quoted(name)}")
@@ -93,7 +107,7 @@ def copy_tables(spark: SparkSession, source: str, target: str, skip_prefix: str
         elif spark.catalog.tableExists(quoted(f"{target}.{table}")):
             done.append((table, "exists"))
         else:
-            overwrite_table(spark.table(quoted(f"{source}.{table}")), f"{target}.{table}")
+            overwrite_table(spark.table(quoted(f"{source}.{table}")), f"{target}.{table}", f"{source}.{table}")
             done.append((table, "copied"))
     return done
 

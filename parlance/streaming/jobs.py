@@ -14,6 +14,17 @@ from parlance.operators.index import sync_index
 from parlance.operators.opinions import refresh_answers
 
 
+def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream over a Parquet table, stored as a folder of files or as one file; raises if there is nothing to read."""
+    table = spark.read.parquet(path)
+    files = table.inputFiles()
+    if not files:
+        raise FileNotFoundError(path)
+    alone = len(files) == 1 and files[0].rstrip("/").endswith(path.rstrip("/").rsplit("/", 1)[-1])
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    return read_stream(spark, folder, table.schema, name) if alone else read_stream(spark, path, table.schema)
+
+
 def read_stream(spark: SparkSession, folder: str, schema: str, file_glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
@@ -28,25 +39,31 @@ def _run(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], N
     )
 
 
-def _latest(batch: DataFrame, key: str, order: Column | None) -> DataFrame:
+def _latest(batch: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per key: the last by ``order``."""
-    if order is None:
-        return batch.dropDuplicates([key])
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))
     return batch.withColumn("__r", rank).where(F.col("__r") == 1).drop("__r")
 
 
-def index_stream(stream: DataFrame, index_table: str, key: str, text_col: str, checkpoint: str,
-                 embed: EmbedFn = embed_batch, order: Column | None = None) -> StreamingQuery:
-    """Triggered index sync.  A batch that is replayed finds equal content hashes and writes nothing."""
+def index_stream(stream: DataFrame, index_table: str, key: str, text_col: str, checkpoint: str, order: Column,
+                 embed: EmbedFn = embed_batch, deleted: Column | None = None) -> StreamingQuery:
+    """Triggered index sync.  A batch that is replayed finds equal content hashes and writes nothing.
+
+    Of several rows of a key the last by ``order`` counts.  Where ``deleted`` holds for it, the key leaves the index.
+    """
     def batch(rows: DataFrame, _: int) -> None:
-        sync_index(_latest(rows, key, order), index_table, key, text_col, embed, partial=True)
+        last = _latest(rows, key, order)
+        if deleted is None:
+            sync_index(last, index_table, key, text_col, embed, partial=True)
+        else:
+            gone = F.coalesce(deleted, F.lit(False))
+            sync_index(last.where(~gone), index_table, key, text_col, embed, partial=True, deleted=last.where(gone).select(key))
 
     return _run(stream, checkpoint, batch)
 
 
 def answers_stream(stream: DataFrame, answers_table: str, key: str, text_col: str, answer: Column,
-                   checkpoint: str, order: Column | None = None) -> StreamingQuery:
+                   checkpoint: str, order: Column) -> StreamingQuery:
     """Incremental model answers; keys and text hashes already answered are left alone."""
     def batch(rows: DataFrame, _: int) -> None:
         refresh_answers(_latest(rows, key, order), answers_table, key, text_col, answer, partial=True)

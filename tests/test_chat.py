@@ -83,3 +83,10 @@ def test_final_text(spark):
         (1, 0, done, "early", None), (1, 1, done, None, ["p", "last part"]), (1, 2, "response.created", "no", None),
         (2, 0, "response.created", "x", None)], "conv_id bigint, turn bigint, event string, content string, parts array<string>")
     assert [tuple(r) for r in chat.final_text(events).collect()] == [(1, "last part")]
+
+
+def test_final_text_of_a_turn_with_several_items(spark):
+    rows = [(1, 1, 2, "b"), (1, 1, 1, "z"), (1, 0, 9, "y")]
+    events = spark.createDataFrame(rows, "conv_id bigint, turn bigint, item bigint, content string").selectExpr(
+        "*", "cast(null as array<string>) parts", f"'{chat.ITEM_DONE}' event")
+    assert chat.final_text(events, order=("turn", "item")).first().final_text == "b"

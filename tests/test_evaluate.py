@@ -69,3 +69,26 @@ def test_metrics_and_comparison(spark):
 def test_numeric_only(spark):
     df = spark.createDataFrame([("a", "1.5"), ("b", "high"), ("c", None)], "metric string, value string")
     assert [tuple(r) for r in evaluate.numeric_only(df).collect()] == [("a", 1.5)]
+
+
+def test_upsert_replaces_null_keys(spark):
+    from parlance.operators.evaluate import upsert
+
+    rows = spark.createDataFrame([(None, 1), ("a", 1)], "k string, v bigint")
+    for _ in range(2):
+        assert sorted((str(r.k), r.v) for r in upsert(rows, rows, "k", [F.col("v")]).collect()) == [("None", 1), ("a", 1)]
+
+
+def test_compare_leaves_text_metrics_out(spark):
+    from parlance.operators.evaluate import compare_runs
+
+    rows = spark.createDataFrame([("a", "m", "0.5"), ("b", "m", "0.25"), ("a", "model", "x"), ("b", "model", "x")], "run string, metric string, value string")
+    assert [(r.metric, r.difference) for r in compare_runs(rows, "a", "b").collect()] == [("m", 0.25)]
+
+
+def test_judge(spark):
+    from parlance.operators.evaluate import judged_scores
+
+    rows = spark.createDataFrame([("a", "yes"), ("b", "no")], "q string, a string")
+    got = judged_scores(rows, lambda ps: ["1" if "yes" in p else "unsure" for p in ps], F.concat_ws(" ", "q", "a"), "s")
+    assert {r.q: r.s for r in got.collect()} == {"a": 1.0, "b": None}

@@ -75,3 +75,24 @@ def test_stream_of_closed_windows_equals_batch(spark, tmp_path):
     want = {tuple(r) for r in batch.where(F.col("day") <= last_closed).collect()}
     got = [tuple(r)[:4] for r in spark.read.parquet(out).select("day", "who", "negative_count", "positive_count").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_stream_reads_tables_of_one_and_of_several_files(spark, data, tmp_path):
+    import shutil
+
+    from parlance.plans import QUERIES
+
+    one, several = tmp_path / "one", tmp_path / "several"
+    one.mkdir()
+    several.mkdir()
+    shutil.copy(f"{data}/events.parquet", one / "events.parquet")
+    spark.read.parquet(f"{data}/events.parquet").repartition(5).write.parquet(str(several / "events.parquet"))
+    got = [sorted(map(tuple, QUERIES["feedback_stream"](spark, str(f)).collect())) for f in (one, several)]
+    assert got[0] and got[0] == got[1]
+
+
+def test_messages_without_reactions_are_neutral(spark):
+    messages = spark.createDataFrame([("m1",), ("m2",)], "message_id string")
+    judged = feedback.message_sentiment(spark.createDataFrame([("m1", "like")], "message_id string, reaction string"), ["message_id"])
+    got = {r.message_id: (r.sentiment, r.total_reactions) for r in feedback.with_reactions(messages, judged, ["message_id"]).collect()}
+    assert got == {"m1": ("positive", 1), "m2": ("neutral", 0)}

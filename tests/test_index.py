@@ -93,3 +93,19 @@ def test_stream_reaches_the_batch_state(spark, schema_name, tmp_path):
 def test_missing_database_is_an_error(spark):
     with pytest.raises(Exception):
         sync_index(docs(spark, [(1, "a")]), "no_such_schema.idx", "id", "text")
+
+
+def test_null_and_empty_text_differ(spark, schema_name):
+    table = f"{schema_name}.idx"
+    sync_index(docs(spark, [(1, None), (2, "")]), table, "id", "text")
+    assert sync_index(docs(spark, [(1, ""), (2, None)]), table, "id", "text")
+    assert state(read_index(spark, table)) == state(build_index(docs(spark, [(1, ""), (2, None)]), "id", "text"))
+
+
+def test_stream_deletes(spark, schema_name, tmp_path):
+    table, folder, checkpoint = f"{schema_name}.idx", str(tmp_path / "in"), str(tmp_path / "state")
+    schema = "id bigint, text string, v bigint, gone boolean"
+    for rows in ([(1, "a", 1, False), (2, "b", 1, None), (3, "c", 1, False)], [(1, None, 2, True), (3, "x", 2, True), (3, "c", 3, False), (9, "", 2, True)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+        index_stream(read_stream(spark, folder, schema), table, "id", "text", checkpoint, F.col("v"), deleted=F.col("gone")).awaitTermination()
+    assert sorted(r.id for r in read_index(spark, table).collect()) == [2, 3]

@@ -66,3 +66,26 @@ def test_embeddings(spark, rows):
     assert got[3] is None and abs(sum(x * x for x in got[1]) - 1) < 1e-9
     twice = rows.unionByName(rows)
     assert embed_distinct(twice, "text").count() == 3
+
+
+def test_a_bad_text_repeats_only_its_own_request(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def model(texts):
+        with open(log, "a") as file:
+            file.write("x" * len(texts))
+        if "bad" in texts:
+            raise ValueError("bad text")
+        return [t.upper() for t in texts]
+
+    rows = spark.createDataFrame([(f"t{i}" if i else "bad",) for i in range(1000)], "text string").coalesce(1)
+    got = safe_infer(rows, "text", model, request_size=20).collect()
+    assert sum(r.error is not None for r in got) == 1 and len(got) == 1000
+    with open(log) as file:
+        assert len(file.read()) <= 1020
+
+
+def test_a_model_may_return_errors(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "text string")
+    got = {r.input: (r.response, r.error) for r in safe_infer(rows, "text", lambda ts: [ValueError("no") if t == "a" else t for t in ts]).collect()}
+    assert got == {"a": (None, "no"), "b": ("b", None)}

@@ -127,3 +127,24 @@ def test_number_rows(spark, keys):
         groups.setdefault((-1 if k is None else k) if keys else None, []).append(v)
     want = sorted((k, v, n) for k, vs in groups.items() for n, v in enumerate(sorted(vs)))
     assert got == want
+
+
+def test_order_is_total_on_both_paths(spark):
+    rows = spark.createDataFrame([("c", f"line{i}", "2024-01-01") for i in range(6)], "c string, l string, d string")
+    date = [lookup.newest_first(F.col("d").cast("date"))]
+    small = lookup.history_pages(rows, "c", F.col("l"), date).collect()
+    large = lookup.history_pages(rows.repartition(5), "c", F.col("l"), date, lines_per_page=3).orderBy("page").collect()
+    assert small[0].history == "\n".join(r.history for r in large) == "\n".join(f"line{i}" for i in range(6))
+
+
+def test_requests_narrow_the_records_before_grouping(spark):
+    from parlance.operators.lookup import history_lookup
+
+    customers = spark.range(100).selectExpr("id as cid", "concat('n', id) as name")
+    records = spark.range(1000).selectExpr("id % 100 as cid", "concat('r', id) as l", "date'2024-01-01' as d")
+    asked = spark.createDataFrame([("n5",)], "name string")
+    out = history_lookup(asked, customers, records, "name", "cid", F.col("l"), [lookup.newest_first(F.col("d"))], "none {}")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first().history.count("\n") == 9
+    grouped = plan[plan.index("collect_list"):]
+    assert "Join" in grouped  # the semi-joined owners lie below the grouping

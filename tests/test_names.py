@@ -37,7 +37,7 @@ def test_spelling_example(spark):
     assert got == {"bercelona": "Barcelona", "emstrdam": "Amsterdam", "Praga": "Prague", "Zzz": None, None: None}
 
 
-@pytest.mark.parametrize("bounds", [{}, {"max_entries": 3, "block_rows": 7}])
+@pytest.mark.parametrize("bounds", [{}, {"max_entries": 3}])
 def test_best_entry_equals_brute_force(spark, bounds):
     names = [r.p_name for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_name").distinct().collect()]
     entries = sorted(names)

@@ -84,3 +84,11 @@ def test_pages(spark):
     assert one(spark, html_title(F.lit(html))) == "A &lt; B"
     assert one(spark, html_text(F.lit(html))) == "Top 1 < 2 bold"
     assert one(spark, url_host(F.lit("https://a.example.org:80/x?y#z"))) == "a.example.org"
+
+
+def test_summary_tells_missing_values_from_totals(spark):
+    from parlance.operators.opinions import opinion_summary
+
+    rows = spark.createDataFrame([("QUALITY", None), ("QUALITY", "Positive")], "classification string, sentiment string")
+    got = {(r.classification, r.sentiment): r.n_opinions for r in opinion_summary(rows).collect()}
+    assert got == {("QUALITY", "UNKNOWN"): 1, ("QUALITY", "Positive"): 1, ("QUALITY", "ALL"): 2, ("ALL", "ALL"): 2}

@@ -79,3 +79,13 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == named and run_dir(spark, "x").startswith(named)
     assert spark.sparkContext.getCheckpointDir().startswith("file:" + named) or named in spark.sparkContext.getCheckpointDir()
     assert build_session().sparkContext is spark.sparkContext
+
+
+def test_rewrites_keep_properties(spark, schema_name):
+    from parlance.sources.tables import overwrite_table, own_properties
+
+    name = f"{schema_name}.noted"
+    spark.range(6).write.format("parquet").saveAsTable(name)
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('owner_note' = 'x')")
+    overwrite_table(spark.table(name).where("id > 1"), name)
+    assert own_properties(spark, name)["owner_note"] == "x" and spark.table(name).count() == 4
