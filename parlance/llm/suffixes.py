@@ -33,7 +33,7 @@ from parlance.session import run_dir
 WIDTH = 50
 GRAM = 16
 WINDOW = WIDTH - GRAM + 1
-TILE = 1 << 18
+TILE = 1 << 15
 PART_BYTES = 2 << 20
 HOT_ANCHOR = 20_000
 SORT_SYMBOLS = 1 << 20
@@ -42,20 +42,18 @@ LAST = (1 << 63) - 1
 _U = np.uint64
 
 
-def _join(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of strings of twice the width from those of their halves."""
-    x = a[:-width] * _U(0x9E3779B97F4A7C15) + b[width:]
-    x ^= x >> _U(29)
-    x *= _U(0xBF58476D1CE4E5B9)
-    x ^= x >> _U(32)
-    return x
-
-
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 16 bytes that begin at each position."""
-    h = (data.astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)
+    """Hash of the 16 bytes that begin at each position, from hashes of 1, 2, 4 and 8 bytes."""
+    h = data.astype(_U)
+    h += _U(1)
+    h *= _U(0xD6E8FEB86659FD93)
     for width in (1, 2, 4, 8):
-        h = _join(h, h, width)
+        x = h[:-width] * _U(0x9E3779B97F4A7C15)
+        x += h[width:]
+        x ^= x >> _U(29)
+        x *= _U(0xBF58476D1CE4E5B9)
+        h = x
+    h ^= h >> _U(32)
     return h
 
 
@@ -70,38 +68,47 @@ class Strings:
         n = len(self.data)
         self.grams = np.empty(max(n - GRAM + 1, 0), _U)
         anchors = np.empty(max(n - WIDTH + 1, 0), np.int64)
+        places = np.arange(TILE + WIDTH, dtype=_U)
         for at in range(0, n - WIDTH + 1, TILE):
             piece = self.data[at:at + TILE + WIDTH - 1]
             h = gram_hashes(piece)
             self.grams[at:at + len(h)] = h
             # The position in the low bits breaks ties to the left and comes out with the minimum.
-            low = (h & ~_U(2 * TILE - 1)) | np.arange(len(h), dtype=_U)
-            for step in (1, 2, 4, 8, 16):
+            low = h & ~_U(2 * TILE - 1)
+            low |= places[:len(h)]
+            for step in (1, 2, 4, 8, 16, 3):
                 low = np.minimum(low[:-step], low[step:])
-            low = np.minimum(low[:-3], low[3:])
-            anchors[at:at + len(low)] = (low & _U(2 * TILE - 1)).astype(np.int64) + at
-        self.doc = np.repeat(np.arange(len(texts)), lengths)
-        inside = np.arange(len(anchors)) + WIDTH <= np.repeat(self.ends, lengths)[:len(anchors)]
-        self.valid = np.flatnonzero(inside)  # where strings begin
+            low &= _U(2 * TILE - 1)
+            anchors[at:at + len(low)] = low
+            anchors[at:at + len(low)] += at
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        inside = np.zeros(n + 1, np.int8)  # where strings begin
+        long_enough = lengths >= WIDTH
+        inside[self.starts[long_enough]] = 1
+        inside[self.ends[long_enough] - WIDTH + 1] -= 1
+        self.valid = np.flatnonzero(np.cumsum(inside[:len(anchors)], dtype=np.int8))
         self.anchor = anchors[self.valid]
-        self.positions = np.unique(self.anchor)
+        fresh = np.ones(len(self.anchor), bool)
+        np.not_equal(self.anchor[1:], self.anchor[:-1], out=fresh[1:])
+        self.positions = self.anchor[fresh]  # of the anchors, in order
+        self.place = np.cumsum(fresh) - 1  # of each string's anchor among them
 
     def anchor_counts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Different anchor hashes in order, and in how many documents of the part each occurs."""
-        pairs = np.empty(len(self.positions), [("h", _U), ("d", np.int64)])
-        pairs["h"], pairs["d"] = self.grams[self.positions], ids[self.doc[self.positions]]
-        order = np.lexsort((pairs["d"], pairs["h"]))
-        pairs = pairs[order]
-        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
-        return np.unique(pairs["h"], return_counts=True)
+        """Different anchor hashes in order; twice how often each occurs, plus 1 if in several documents."""
+        h, own = self.grams[self.positions], ids[self.doc[self.positions]]
+        order = np.argsort(h, kind="stable")
+        h, own = h[order], own[order]
+        heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        count = np.diff(np.concatenate([heads, [len(h)]]))
+        several = np.minimum.reduceat(own, heads) < np.maximum.reduceat(own, heads) if len(h) else count > 0
+        return h[heads], 2 * np.minimum(count, 32_000) + several
 
     def runs(self, repeated: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first string, number of strings, bucket hash) for runs of strings with the same repeated anchor."""
         h = self.grams[self.positions]
-        place = np.searchsorted(self.positions, self.anchor)
-        fine = _among(h, repeated)[place]
+        fine = np.flatnonzero(_among(h, repeated)[self.place])
         first, anchor = self.valid[fine], self.anchor[fine]
-        whole = ~_among(h, hot)[place[fine]]
+        whole = ~_among(h, hot)[self.place[fine]]
         if not len(first):
             return first, first, np.zeros(0, _U)
         begins = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1] + 1)]) | ~whole
@@ -126,79 +133,108 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
-def _dense(*columns: np.ndarray) -> np.ndarray:
-    """Names from 1 in the order of the rows of several columns; equal rows have equal names."""
-    key = columns[0]
-    for column in columns[1:]:
-        top = int(column.max(initial=0)) + 1
-        if int(key.max(initial=0)) >= (1 << 62) // top:
-            key = np.unique(key, return_inverse=True)[1]
-        key = key * top + column
-    return np.unique(key, return_inverse=True)[1] + 1
+def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Names from 1 in the order of triples; equal triples have equal names."""
+    top = int(max(x.max(initial=0) for x in (a, b, c))) + 1
+    if top <= 128:  # a table of all triples is smaller than a sort
+        key = (a * top + b) * top + c
+        seen = np.zeros(top**3, bool)
+        seen[key] = True
+        return np.cumsum(seen)[key]
+    if top < 1 << 21:
+        return _ordinal((a << 42) | (b << 21) | c)
+    return _ordinal(_ordinal(a * top + b) * top + c)
+
+
+def _ordinal(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    ordered = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(key) else ordered
+    return out
 
 
-def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places (from 1) of all suffixes of an array of symbols (0 and up), told apart by ``depth`` symbols at least.
+def suffix_places(text: np.ndarray) -> np.ndarray:
+    """Places (from 0) of all suffixes of an array of positive integers, by the difference cover modulo 3.
 
-    Suffixes that agree further are neighbours in some order.
+    Suffixes at positions 1 and 2 modulo 3 are the sample.  Their triples are sorted and named; if names repeat, the
+    string of the names is sorted in the same way.  The remaining suffixes are one symbol and a sampled suffix each, so
+    one sort orders them, and two searches merge them in.
     """
     n = len(text)
     t = np.concatenate([text, np.zeros(3, np.int64)])
     zero, one, two = (np.arange(k, n, 3) for k in range(3))
     sample = np.concatenate([one, two])
-    names = _dense(t[sample], t[sample + 1], t[sample + 2])
-    if depth > 3 and len(sample) and names.max() < len(sample):
-        # Recurse on the names: those of positions 1 mod 3, a separator, those of positions 2 mod 3.
-        below = suffix_ranks(np.concatenate([names[:len(one)], [0], names[len(one):]]), -(-depth // 3))
+    m = len(sample)
+    names = _names(t[sample], t[sample + 1], t[sample + 2])
+    if m and names.max() < m:
+        # The names of positions 1 mod 3, a separator below all of them, and the names of positions 2 mod 3.
+        below = suffix_places(np.concatenate([names[:len(one)], [0], names[len(one):]]) + 1)
+        gap = below[len(one)]
         names = np.concatenate([below[:len(one)], below[len(one) + 1:]])
+        names = names + (names < gap)  # places from 1 without the separator's
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names
-    # Remaining suffixes: one symbol and a sampled suffix against positions 1 mod 3, two symbols and one against 2 mod 3.
-    by_one = _dense(np.concatenate([t[zero], t[one]]), rank[np.concatenate([zero, one]) + 1])
-    rest = np.concatenate([zero, two])
-    by_two = _dense(t[rest], t[rest + 1], rank[rest + 2])
-    zero_one, one_one = by_one[:len(zero)], by_one[len(zero):]
-    zero_two, two_two = by_two[:len(zero)], by_two[len(zero):]
+    ordered = np.empty(m, np.int64)
+    ordered[names - 1] = sample
+    by_one = t[zero] * (m + 1) + rank[zero + 1]
+    order = np.argsort(by_one)
+    rest, by_one = zero[order], by_one[order]
+    # A suffix at 1 mod 3 is compared by one symbol and a sampled suffix, one at 2 mod 3 by two symbols and one.
+    is_one = ordered % 3 == 1
+    smaller = np.empty(m, np.int64)
+    first, second = ordered[is_one], ordered[~is_one]
+    smaller[is_one] = np.searchsorted(by_one, t[first] * (m + 1) + rank[first + 1])
+    both = np.concatenate([rest, second])
+    pair = t[both] * (int(t.max(initial=0)) + 1) + t[both + 1]
+    if int(pair.max(initial=0)) >= (1 << 62) // (m + 1):
+        pair = _ordinal(pair)
+    by_two = pair * (m + 1) + rank[both + 2]
+    smaller[~is_one] = np.searchsorted(by_two[:len(rest)], by_two[len(rest):])
     place = np.empty(n, np.int64)
-    place[zero] = _places(zero_one) + np.searchsorted(np.sort(one_one), zero_one) + np.searchsorted(np.sort(two_two), zero_two)
-    sampled = _places(names)
-    place[one] = sampled[:len(one)] + np.searchsorted(np.sort(zero_one), one_one)
-    place[two] = sampled[len(one):] + np.searchsorted(np.sort(zero_two), two_two)
-    return _places(place) + 1
-
-
-def _places(keys: np.ndarray) -> np.ndarray:
-    out = np.empty(len(keys), np.int64)
-    out[np.argsort(keys, kind="stable")] = np.arange(len(keys))
-    return out
-
-
-def earlier_strings(bodies: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For records of concatenated bytes a bit mask each: which of their strings also lie in a record of a smaller id."""
+    taken = np.arange(m) + smaller
+    place[ordered] = taken
+    free = np.ones(n, bool)
+    free[taken] = False
+    place[rest] = np.flatnonzero(free)
+    return place
+
+
+def earlier_strings(records: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For records (rows of bytes, padded) a bit mask each: which of their strings also lie in a record of a smaller id."""
+    n, width = records.shape
+    inside = np.arange(width)[None, :] < lengths[:, None]
+    used = np.zeros(256, np.int64)
+    used[records[inside]] = 1
+    symbol = np.cumsum(used) + 1  # 1 parts the records
     ends = np.cumsum(lengths + 1)
     starts = ends - lengths - 1
-    text = np.zeros(int(ends[-1]) + WIDTH, np.int64)  # 0 parts the records
-    inside = np.ones(len(text), bool)
-    inside[ends - 1] = False
-    inside[ends[-1]:] = False
-    text[inside] = bodies.astype(np.int64) + 1
-    rank = suffix_ranks(text, WIDTH)
+    text = np.ones(int(ends[-1]), np.int64)
+    body = np.ones(len(text), bool)
+    body[ends - 1] = False
+    text[body] = symbol[records[inside]]
+    raw = np.zeros(len(text) + 8, np.uint8)
+    raw[:len(text)][body] = records[inside]
+    place = suffix_places(text)
     count = lengths - WIDTH + 1
-    record = np.repeat(np.arange(len(lengths)), count)
+    record = np.repeat(np.arange(n), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    string = np.full(len(text), -1, np.int64)
+    string[place[starts[record] + offset]] = np.arange(len(record))  # in suffix order
+    string = string[string >= 0]
+    record, offset = record[string], offset[string]
     begin = starts[record] + offset
-    order = np.argsort(rank[begin], kind="stable")
-    begin, record, offset = begin[order], record[order], offset[order]
     # Neighbours in suffix order are one class if their first 50 bytes agree.
-    shown = np.lib.stride_tricks.sliding_window_view(text.astype(np.int16), WIDTH)
+    eight = np.ndarray(len(text), "<u8", raw, 0, (1,))
+    same = np.arange(1, len(begin))
+    for k in (0, 8, 16, 24, 32, 40, WIDTH - 8):
+        same = same[eight[begin[same] + k] == eight[begin[same - 1] + k]]
     fresh = np.ones(len(begin), bool)
-    for k in range(1, len(begin), 1 << 16):
-        stop = min(k + (1 << 16), len(begin))
-        fresh[k:stop] = (shown[begin[k:stop]] != shown[begin[k - 1:stop - 1]]).any(axis=1)
+    fresh[same] = False
     heads = np.flatnonzero(fresh)
     lowest = np.minimum.reduceat(ids[record], heads)
     earlier = lowest[np.cumsum(fresh) - 1] < ids[record]
-    masks = np.zeros(len(lengths), np.int64)
+    masks = np.zeros(n, np.int64)
     np.bitwise_or.at(masks, record[earlier], np.int64(1) << offset[earlier])
     return masks
 
@@ -229,7 +265,7 @@ def _send_anchors(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
         ids, texts, _ = _texts(rows)
         hashes, counts = Strings(texts).anchor_counts(ids)
         order, cuts = _by_bucket(hashes, buckets)
-        hashes, counts = hashes[order], np.minimum(counts[order], 65535)
+        hashes, counts = hashes[order], counts[order]
         return pa.table({
             "bucket": pa.array([c[0] for c in cuts], pa.int64()), "part": pa.array([key[0].as_py()] * len(cuts), pa.int64()),
             "hashes": pa.array([_raw(hashes[a:b], "<u8") for _, a, b in cuts], pa.binary()),
@@ -245,8 +281,8 @@ def _repeated_anchors(key: tuple, rows: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x, "<u8") for x in rows["hashes"].to_pylist()]
     counts = np.concatenate([np.frombuffer(x, "<u2") for x in rows["counts"].to_pylist()]).astype(np.int64)
     hashes, name = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(name, weights=counts)
-    again, hot, at, out = total > 1, total > HOT_ANCHOR, 0, []
+    again = (np.bincount(name) > 1) | (np.bincount(name, weights=counts & 1) > 0)
+    hot, at, out = np.bincount(name, weights=counts >> 1) > HOT_ANCHOR, 0, []
     for part, own in zip(rows["part"].to_pylist(), parts):
         names = name[at:at + len(own)]
         at += len(own)
@@ -319,6 +355,26 @@ def _fold(part: int, strings: Strings, ids: np.ndarray, lo: np.ndarray, length:
 MARKS = "part long, records binary, masks binary"
 
 
+def _padded(body: np.ndarray, length: np.ndarray) -> np.ndarray:
+    rows = np.zeros((len(length), WIDTH + WINDOW - 1), np.uint8)
+    rows[np.arange(rows.shape[1])[None, :] < length[:, None]] = body
+    return rows
+
+
+def _fold_records(rows: np.ndarray, length: np.ndarray, where: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each record the name of its bytes; for each name the smallest id and a record."""
+    powers = np.cumprod(np.full(rows.shape[1], _U(0x9E3779B97F4A7C15)))
+    look = np.zeros(len(rows), _U)
+    for k in range(rows.shape[1]):
+        look += rows[:, k] * powers[k]
+    order = np.lexsort((length, look, where))
+    fresh = np.concatenate([[True], (look[order][1:] != look[order][:-1]) | (where[order][1:] != where[order][:-1])])
+    fresh[1:] |= (rows[order[1:]] != rows[order[:-1]]).any(axis=1) | (length[order[1:]] != length[order[:-1]])
+    name = np.empty(len(rows), np.int64)
+    name[order] = np.cumsum(fresh) - 1
+    return name, np.minimum.reduceat(ids[order], np.flatnonzero(fresh)), order[fresh]
+
+
 def _mark_bucket(key: tuple, rows: pa.Table) -> pa.Table:
     part, length, ids, where, record, body = [], [], [], [], [], []
     for row in rows.select(["part", "n", "ids", "keys", "body"]).to_pylist():
@@ -330,20 +386,25 @@ def _mark_bucket(key: tuple, rows: pa.Table) -> pa.Table:
         record.append(np.frombuffer(row["keys"], "<u4"))
         body.append(np.frombuffer(row["body"], np.uint8))
     part, length, ids, where, record, body = (np.concatenate(x) for x in (part, length, ids, where, record, body))
-    begin = np.cumsum(length) - length
-    # Records of one anchor stay together; slices of them bound the memory of a sort.
-    order = np.argsort(where, kind="stable")
-    group = np.concatenate([[True], where[order][1:] != where[order][:-1]])
-    sizes = np.cumsum(length[order] + 1)
-    masks = np.zeros(len(length), np.int64)
-    done, heads = 0, np.concatenate([np.flatnonzero(group), [len(order)]])
-    while done < len(order):
-        limit = (sizes[done - 1] if done else 0) + SORT_SYMBOLS
-        stop = int(heads[max(np.searchsorted(heads, done, "right"), np.searchsorted(heads, np.searchsorted(sizes, limit, "right"), "right") - 1)])
-        take = order[done:stop]
-        bytes_at = np.repeat(begin[take] - (np.cumsum(length[take]) - length[take]), length[take]) + np.arange(length[take].sum())
-        masks[take] = earlier_strings(body[bytes_at], length[take], ids[take])
+    rows = _padded(body, length)
+    name, lowest, heads = _fold_records(rows, length, where, ids)
+    masks = np.zeros(len(heads), np.int64)
+    # Only an anchor with different surroundings needs an order.  Its records stay together; slices bound the memory.
+    anchor = where[heads]
+    _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
+    many = np.flatnonzero(size[group] > 1)
+    many = many[np.argsort(anchor[many], kind="stable")]
+    cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], anchor[many][1:] != anchor[many][:-1]])), [len(many)]]) if len(many) else [0]
+    sizes = np.concatenate([[0], np.cumsum(length[heads[many]] + 1)])
+    done = 0
+    while done < len(many):
+        fitting = int(np.searchsorted(sizes, sizes[done] + SORT_SYMBOLS, "right")) - 1
+        stop = int(cuts[max(np.searchsorted(cuts, done, "right"), np.searchsorted(cuts, fitting, "right") - 1)])
+        take = many[done:stop]
+        masks[take] = earlier_strings(rows[heads[take]], length[heads[take]], lowest[take])
         done = stop
+    # A record of a larger id than another with the same bytes repeats it as a whole.
+    masks = np.where(ids > lowest[name], (np.int64(1) << (length - WIDTH + 1)) - 1, masks[name])
     hit = np.flatnonzero(masks)
     hit = hit[np.argsort(part[hit], kind="stable")]
     cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], part[hit][1:] != part[hit][:-1]])), [len(hit)]]) if len(hit) else np.zeros(1, int)
@@ -379,7 +440,7 @@ def _cut(with_text: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
             spans.append(int(own[0]) + int((own[1:] & ~own[:-1]).sum()))
             rest = data[end:end + n][~own].tobytes()
             digests.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest.decode("utf-8", "ignore") if with_text else None)
+            kept.append(rest.decode("utf-8", "ignore") if with_text and removed[-1] else None)
             end += n
         return pa.table({"id": pa.array(ids), "hash": rows["hash"].combine_chunks(), "n_removed": pa.array(removed, pa.int64()),
                          "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
@@ -430,8 +491,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Removes every byte covered by a 50-byte string that also begins in a document with a smaller id.
 
     One row per row of ``docs``: id, hash (of the text), n_bytes, n_removed, n_spans, kept_sha256, and kept_text if
-    asked for (bytes of characters that were cut apart are left out of it, not of the hash).  A NULL text is
-    empty.  A NULL id counts as larger than any other.  Rows of the same id do not remove each other's
+    asked for: NULL where nothing was removed, and for copies of earlier texts; bytes of characters that were cut
+    apart are left out of it, not of the hash.  A NULL text is empty.  A NULL id counts as larger than any other.  Rows of the same id do not remove each other's
     strings, so repeated rows get equal results.  Texts below 50 bytes are kept.  Texts may be of any length:
     hashing goes by tiles, and a text belongs to one part.
     """
@@ -449,8 +510,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = records.where("kind = 0").groupBy("bucket").applyInArrow(_mark_bucket, MARKS)
     found = stored(marks.select(F.lit(3).alias("kind"), "part", F.col("records").alias("n"), F.col("masks").alias("keys")), "suffix-marks")
     everything = records.where("kind > 0").select("kind", "part", "n", "keys").union(found)
-    cut = stored(texts.with_rows(everything, _cut(with_text), RESULT).dropDuplicates(["id", "hash"]), "suffix-result")
+    cut = stored(texts.with_rows(everything, _cut(with_text), RESULT), "suffix-result")
     texts.drop()
+    if not sized.groupBy("id", "hash").count().where("count > 1").isEmpty():
+        cut = cut.dropDuplicates(["id", "hash"])
     out = sized.join(cut, ["id", "hash"], "left")
     copy = (F.col("n_bytes") >= WIDTH) & F.col("n_removed").isNull()
     columns = [
