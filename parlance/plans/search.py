@@ -10,10 +10,11 @@ from parlance.operators import search as ops
 from parlance.operators.evaluate import is_cited
 from parlance.operators.index import content_hashes, read_index, snapshot_changes, sync_index
 from parlance.operators.infer import embed_text
+from parlance.operators.postings import postings_topk, sync_postings
 from parlance.operators.vectors import vector_topk
 from parlance.plans.registry import SQL_WORDS, Tables, query, shown, sql_cells, sql_trigrams
 from parlance.session import run_dir
-from parlance.sizing import spread
+from parlance.sizing import small_side, spread
 from parlance.sources.pages import ingest_pages
 from parlance.sources.tables import overwrite_table, scratch_schema
 from parlance.streaming.jobs import index_stream, read_stream
@@ -104,6 +105,24 @@ def keyword_topk(t: Tables) -> DataFrame:
     return shown(ops.keyword_topk(_queries(t), t.documents, 5, corpus_id="doc_id"))
 
 
+@query(f"""
+    WITH documents AS (SELECT * FROM documents WHERE lang <> 'fr'), {_BM25}
+    SELECT query_id, doc_id, round(score, 4) AS score, rank FROM kr WHERE rank <= 5""")
+def keyword_index_topk(t: Tables) -> DataFrame:
+    """The stored postings follow two states of the documents; the second sync tokenises what differs only."""
+    table = f"{scratch_schema(t.spark, 'postings')}.documents"
+    for snapshot in _snapshots(t):
+        sync_postings(snapshot, table, "doc_id", "text")
+    return shown(postings_topk(_queries(t), table, 5, "doc_id"))
+
+
+def _index_of(t: Tables, source: DataFrame, key: str, text_col: str) -> DataFrame:
+    """key and embedding, from an index that a sync has built: searches read stored vectors."""
+    table = f"{scratch_schema(t.spark, 'kb')}.base"
+    sync_index(source.select(key, text_col), table, key, text_col)
+    return read_index(t.spark, table).drop("content_hash")
+
+
 def _sql_cosine(table: str, key: str, words: str) -> str:
     """v: query_id, doc key, rounded score for every pair."""
     return f"""
@@ -145,7 +164,7 @@ def _ranked(hits: DataFrame) -> DataFrame:
           FROM v JOIN documents USING (doc_id))
     SELECT query_id, lang, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= CASE lang WHEN 'en' THEN 3 ELSE 2 END""")
 def kb_topk(t: Tables) -> DataFrame:
-    corpus = embed_text(spread(t.documents.select("doc_id", "lang", "text")), "text")
+    corpus = _index_of(t, spread(t.documents), "doc_id", "text").join(t.documents.select("doc_id", "lang"), "doc_id")
     return shown(ops.base_topk(_vector_queries(t), corpus, "lang", 2, {"en": 3}, index_id="doc_id"))
 
 
@@ -196,8 +215,10 @@ def page_text(t: Tables) -> DataFrame:
     FROM r JOIN p USING (page_id) WHERE rank <= 2 GROUP BY query_id)""")
 def kb_citations(t: Tables) -> DataFrame:
     pages, queries = _pages(t), _vector_queries(t)
-    hits = vector_topk(queries, embed_text(pages, "content"), 2, index_id="page_id")
-    cited = ops.with_columns(hits, pages, "page_id", ["title", "content", "source_url"])
+    hits = small_side(vector_topk(queries, _index_of(t, pages, "page_id", "content"), 2, index_id="page_id"))
+    # The raw pages meet the few hits first, and only those are parsed again.
+    raw = t.pages.join(small_side(hits.select("page_id").distinct()), "page_id", "left_semi")
+    cited = ops.with_columns(hits, ingest_pages(raw, F.lit(UPDATED).cast("timestamp")), "page_id", ["title", "content", "source_url"])
     answers = ops.cited_answers(queries, cited)
     return answers.withColumn("cited", is_cited(F.col("answer"), "[SOURCE URL:", "example.com"))
 
