@@ -197,6 +197,19 @@ def vector_threshold(
     return score_join(queries, index, query_id, Above, schema, max_queries)
 
 
+def nearest_rows(index: DataFrame, queries: DataFrame, k: int, index_id: str = "id", index_vector: str = "embedding") -> DataFrame:
+    """The ``k`` rows most similar to each chosen row, itself left out: query id, id, score, rank.
+
+    ``queries`` holds ids of the index.  The result has at most k rows per query, whatever the threshold of a
+    join would let through.
+    """
+    asked = index.join(queries.select(index_id), index_id, "left_semi").select(
+        F.col(index_id).alias("query_id"), F.col(index_vector).alias("query_vector"))
+    hits = vector_topk(asked, index, k + 1, index_id=index_id, index_vector=index_vector)
+    others = hits.where(F.col("query_id") != F.col(index_id)).drop("rank")
+    return top_n(others, ["query_id"], [F.col("score").desc(), F.col(index_id)], k)
+
+
 def distinct_vectors(index: DataFrame, index_id: str = "id", index_vector: str = "embedding") -> DataFrame:
     """One row per distinct vector: its smallest id and how many rows hold it.
 
@@ -256,7 +269,7 @@ def similarity_self_join(
     index_id: str = "id",
     index_vector: str = "embedding",
     cells: str = "pivots",
-    n_cells: int = 32,
+    n_cells: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """All pairs of distinct vectors with cosine strictly above the threshold.
@@ -270,6 +283,8 @@ def similarity_self_join(
     radius = float(np.sqrt(max(2 - 2 * threshold, 0))) + 1e-6
     unique = distinct_vectors(index.select(index_id, index_vector), index_id, index_vector).checkpoint()
     unique = unique.where(F.col(index_vector).isNotNull())
+    if n_cells is None:  # more vectors, more cells; a row keeps a flag for each, so their number stays bounded
+        n_cells = int(np.clip(np.sqrt(unique.count()), 16, 1024))
 
     chosen = unique.select(index_vector, index_id).orderBy(F.xxhash64(index_vector), index_id).limit(n_cells).toArrow()
     sample = unit_rows(chosen.column(0)) if chosen.num_rows else np.zeros((1, 1))

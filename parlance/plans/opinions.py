@@ -69,6 +69,16 @@ def safe_infer(t: Tables) -> DataFrame:
     return infer.safe_infer(t.documents, "text", count_lines, keep=["doc_id"]).drop("input")
 
 
+@query(f"""
+    SELECT doc_id, CASE WHEN length(text) <= {LONGEST} THEN
+               (length(text) - length(replace(text, chr(10), '')) + 1) || ' lines' END AS response,
+           length(text) > {LONGEST} AS failed, text IS NOT NULL AS timed FROM documents""")
+def timed_infer(t: Tables) -> DataFrame:
+    """Model answers with the time that each took; only whether there is a time can be compared."""
+    answered = infer.timed_infer(t.documents, "text", count_lines, keep=["doc_id"])
+    return answered.select("doc_id", "response", F.col("error").isNotNull().alias("failed"), (F.col("seconds") >= 0).alias("timed"))
+
+
 @query(f"""
     SELECT doc_id, CASE WHEN length(text) <= {LONGEST} THEN
                (length(text) - length(replace(text, chr(10), '')) + 1) || ' lines'

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.models import embed_names
+from parlance.functions.registry import register_functions
 from parlance.functions.vectors import norm
 from parlance.operators.infer import embed_distinct, embed_text as embed_column, nonzero_cells
-from parlance.operators.vectors import similarity_self_join, vector_threshold, vector_topk
+from parlance.operators.vectors import nearest_rows, similarity_self_join, vector_threshold, vector_topk
 from parlance.plans.registry import SQL_WORDS, Tables, query, shown, sql_cells, sql_trigrams
 from parlance.sources.tables import overwrite_table, scratch_schema
 
@@ -68,6 +69,18 @@ def lsh_self_join(t: Tables) -> DataFrame:
     return shown(similarity_self_join(t.embeddings, THRESHOLD, "vec_id", cells="projections"))
 
 
+@query("""
+    WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS raw
+               FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+    r AS (SELECT query_id, vec_id, round(raw, 4) AS score,
+                 row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 10) DESC, vec_id) AS rank FROM s)
+    SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5""")
+def nearest_vectors(t: Tables) -> DataFrame:
+    """Five neighbours of every twentieth vector, out of all vectors."""
+    asked = t.embeddings.where("vec_id % 20 = 0").select("vec_id")
+    return shown(nearest_rows(t.embeddings, asked, 5, "vec_id"))
+
+
 @query("""
     SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x))), 4) AS l1,
            round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS l2,
@@ -80,6 +93,19 @@ def vector_norms(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", *[F.round(size, 4).alias(name) for name, size in sizes.items()])
 
 
+@query("""
+    SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 4) AS dot,
+           round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS l2,
+           round(list_sum(list_transform(v, lambda x: abs(x))), 4) AS l1
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)""")
+def sql_vector_functions(t: Tables) -> DataFrame:
+    """The vector functions under their SQL names; they stay JVM expressions."""
+    register_functions(t.spark)
+    v = "CAST(embedding AS ARRAY<DOUBLE>)"
+    return t.embeddings.selectExpr(
+        "vec_id", f"round(dot_product({v}, {v}), 4) AS dot", f"round(vector_norm({v}), 4) AS l2", f"round(vector_pnorm({v}, 1D), 4) AS l1")
+
+
 @query(f"SELECT key AS p_partkey, dim, round(value, 6) AS value FROM ({sql_cells('part', 'p_partkey', SQL_WORDS.format('p_name'))})")
 def embed_text(t: Tables) -> DataFrame:
     """Names are stored, then the same table is rewritten with an embedding column."""
