@@ -84,8 +84,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     characters that are used travel.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumns({"hash": F.xxhash64("text"), "n_chars": F.char_length("text").cast("long")})
-    links = neighbours(base.select("id", "hash", "n_chars"))
+    # Both sides below read the same three columns, so their exchange of the texts is one and the same.
+    base = base.withColumn("hash", F.xxhash64("text"))
+    links = neighbours(base.select("id", "hash", F.char_length("text").cast("long").alias("n_chars")))
     same = F.col("base.id").eqNullSafe(F.col("links.id")) & (F.col("base.hash") == F.col("links.hash"))
     own = base.alias("base").join(links.alias("links"), same).select(
         "base.*", "copies", "before_id", "before_hash", "before_chars", "after_id", "after_hash")
@@ -95,8 +96,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not links.where("copies > 1").isEmpty():
         donors = donors.dropDuplicates(["to_id", "to_hash"])
     given = F.col("own.id").eqNullSafe(F.col("donors.to_id")) & (F.col("own.hash") == F.col("donors.to_hash"))
+    n_chars = F.char_length("text").cast("long")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    pairs = own.alias("own").join(donors.drop("copies").alias("donors"), given).select("own.*", "prefix").withColumn(
+    pairs = own.alias("own").join(donors.drop("copies").alias("donors"), given).select("own.*", "prefix").withColumn("n_chars", n_chars).withColumn(
         "edited", F.concat(F.left("text", (F.col("n_chars") - half).cast("int")), F.col("prefix")))
     marked = with_fingerprint(pairs, "text", "fingerprint").select(
         "id", "hash", "n_chars", "copies", "after_id", "after_hash", "edited", "fingerprint")
