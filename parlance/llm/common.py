@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, and not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage that this run has written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` has written, once nothing reads it any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     """Measured size of a text column; decides how many groups the work is cut into."""
     return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

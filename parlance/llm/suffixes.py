@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import pieces, query, stored, table
+from parlance.llm.common import discard, pieces, query, release, remove, stored, table
 from parlance.session import run_dir
 
 WIDTH = 50
@@ -483,8 +483,7 @@ class _Texts:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -503,15 +502,22 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_bytes = first.agg(F.sum("n_bytes")).first()[0] or 0
     parts = buckets = pieces(n_bytes, PART_BYTES)
     folded = given.select("id", "text").withColumn("hash", F.sha2("text", 256)).join(first.select("id", "hash"), ["id", "hash"], "left_semi")
-    texts = _Texts(folded, parts)
+    texts, spark = _Texts(folded, parts), docs.sparkSession
+    release(spark)
     anchors = texts.by_part().applyInArrow(_send_anchors(buckets), ANCHORS)
     replies = stored(anchors.groupBy("bucket").applyInArrow(_repeated_anchors, REPLIES), "suffix-anchors")
+    release(spark)
     records = stored(texts.with_rows(replies, _send_records(buckets), RECORDS), "suffix-records")
+    release(spark)
     marks = records.where("kind = 0").groupBy("bucket").applyInArrow(_mark_bucket, MARKS)
     found = stored(marks.select(F.lit(3).alias("kind"), "part", F.col("records").alias("n"), F.col("masks").alias("keys")), "suffix-marks")
+    release(spark)
     everything = records.where("kind > 0").select("kind", "part", "n", "keys").union(found)
     cut = stored(texts.with_rows(everything, _cut(with_text), RESULT), "suffix-result")
     texts.drop()
+    for used in (replies, records, found):
+        discard(used)
+    release(spark)
     if not sized.groupBy("id", "hash").count().where("count > 1").isEmpty():
         cut = cut.dropDuplicates(["id", "hash"])
     out = sized.join(cut, ["id", "hash"], "left")
