@@ -74,34 +74,37 @@ def link_quotes(messages: DataFrame, id_col: str = "message_id", text_col: str =
     parsed = parse_quotes(messages, text_col)
     forms = {"body": (F.col(text_col),), "pair": (own, first), "own": (own,)}
     wanted = {"body": (F.col("answered"),), "pair": (first, second), "own": (first,)}
-    parsed = parsed.withColumns({f"__{k}": hash_of(keys, *texts) for k, texts in forms.items()})
-    asked = parsed.where((F.col("n_levels") > 0) & F.col(id_col).isNotNull()).select(
-        id_col, *[hash_of(keys, *texts).alias(f"__{k}") for k, texts in wanted.items()])
+    # Texts are parsed once for the look-ups; only ids and hashes are written and shuffled.
+    hashes = stored(parsed.select(
+        id_col, "n_levels", *[hash_of(keys, *texts).alias(f"__{k}") for k, texts in forms.items()],
+        *[hash_of(keys, *texts).alias(f"__to_{k}") for k, texts in wanted.items()]), "quote-hashes")
+    asked = hashes.where((F.col("n_levels") > 0) & F.col(id_col).isNotNull()).select(
+        id_col, *[F.col(f"__to_{k}").alias(f"__{k}") for k in forms])
     for k in forms:
-        known = parsed.where(F.col(f"__{k}").isNotNull()).groupBy(f"__{k}").agg(F.min(id_col).alias(f"__by_{k}"))
+        known = hashes.where(F.col(f"__{k}").isNotNull()).groupBy(f"__{k}").agg(F.min(id_col).alias(f"__by_{k}"))
         asked = asked.join(known, f"__{k}", "left")
     links = asked.groupBy(id_col).agg(F.min(F.coalesce(*[
         F.when(F.col(f"__by_{k}") < F.col(id_col), F.col(f"__by_{k}")) for k in forms])).alias("parent_id"))
-    return parsed.drop("answered", *[f"__{k}" for k in forms]).join(links, id_col, "left")
+    return parsed.drop("answered").join(links, id_col, "left")
 
 
 def build_conversations(linked: DataFrame, id_col: str = "message_id") -> DataFrame:
     """Adds ``conversation_id`` (the root's id), ``depth`` and ``position`` in reply order.
 
     Pointers to ancestors are doubled until all end at a root, so the number of rounds grows with the logarithm
-    of the longest chain.  Messages are ordered by depth, then by id.
+    of the longest chain; messages whose pointer has arrived take no part in further rounds.  Messages are ordered by
+    depth, then by id.
     """
-    at = linked.select(F.col(id_col).alias("__id"), F.coalesce("parent_id", id_col).alias("__up")).where(
-        "__id is not null").distinct().withColumn("__depth", (F.col("__id") != F.col("__up")).cast("long"))
-    at = stored(at, "quote-links")
-    while True:
+    at = linked.select(F.col(id_col).alias("__id"), F.coalesce("parent_id", id_col).alias("__up")).where("__id is not null").distinct()
+    moving = F.col("__id") != F.col("__up")
+    at = stored(at.withColumns({"__depth": moving.cast("long"), "__moving": moving}), "quote-links")
+    while not at.where("__moving").isEmpty():
         upper = at.select(F.col("__id").alias("__up"), F.col("__up").alias("__top"), F.col("__depth").alias("__more"))
-        moved = stored(at.join(upper, "__up", "left").select(
-            "__id", F.coalesce("__top", "__up").alias("__up"), (F.col("__depth") + F.coalesce("__more", F.lit(0))).alias("__depth"),
-            (F.coalesce("__more", F.lit(0)) > 0).alias("__moved")), "quote-links")
-        at = moved.drop("__moved")
-        if moved.where("__moved").isEmpty():
-            break
+        more = F.coalesce("__more", F.lit(0))
+        moved = at.where("__moving").join(upper, "__up", "left").select(
+            "__id", F.coalesce("__top", "__up").alias("__up"), (F.col("__depth") + more).alias("__depth"), (more > 0).alias("__moving"))
+        at = stored(at.where("not __moving").unionByName(moved), "quote-links")
+    at = at.drop("__moving")
     placed = linked.join(at, F.col(id_col) == F.col("__id"), "left").withColumns({
         "conversation_id": F.coalesce("__up", id_col), "depth": F.coalesce("__depth", F.lit(0)).cast("long")})
     return number_rows(placed.drop("__id", "__up", "__depth"), [F.col("depth"), F.col(id_col)], ["conversation_id"], "position")
@@ -115,20 +118,22 @@ def as_mail(conversations: DataFrame, levels: int = 3) -> DataFrame:
         F.max(F.when(F.col("k") == k, F.struct("role", "text", "turn"))).alias(f"m{k}") for k in range(levels + 1)])
     quoted = [F.concat(F.lit(">" * k + " "), F.regexp_replace(F.col(f"m{k}.text"), "\n", "\n" + ">" * k + " ")) for k in range(1, levels + 1)]
     return mails.where("m0 is not null").select(
-        (F.col("conv_id") * 65536 + F.col("n") + 1).alias("message_id"), "conv_id", F.col("m0.turn").alias("turn"),
+        (F.col("conv_id") * 1048576 + F.col("n") + 1).alias("message_id"), "conv_id", F.col("m0.turn").alias("turn"),
         F.col("m0.role").alias("role"), F.concat_ws("\n", F.col("m0.text"), *quoted).alias("text"))
 
 
 SQL = """
     WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations)
-    SELECT conv_id * 65536 + n AS message_id, role, sha256(coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '')) AS own_sha256,
-        least(n - 1, 3)::BIGINT AS n_levels, CASE WHEN n > 1 THEN conv_id * 65536 + n - 1 END AS parent_id,
-        conv_id * 65536 + 1 AS conversation_id, n - 1 AS depth, n - 1 AS position FROM m"""
+    SELECT conv_id * 1048576 + n AS message_id, role, sha256(coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '')) AS own_sha256,
+        least(n - 1, 3)::BIGINT AS n_levels, CASE WHEN n > 1 THEN conv_id * 1048576 + n - 1 END AS parent_id,
+        conv_id * 1048576 + 1 AS conversation_id, n - 1 AS depth, n - 1 AS position FROM m"""
 
 
 @query("op2_chat_formatting", SQL)
 def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """All turns, sent as messages that quote what they answer, put back into conversations."""
-    linked = stored(link_quotes(as_mail(table(spark, folder, "conversations")), within=("conv_id",)), "quotes")
-    return build_conversations(linked).select(
-        "message_id", "role", F.sha2("own_text", 256).alias("own_sha256"), "n_levels", "parent_id", "conversation_id", "depth", "position")
+    mails = stored(as_mail(table(spark, folder, "conversations")), "mails")
+    linked = link_quotes(mails, within=("conv_id",)).select(
+        "message_id", "role", F.sha2("own_text", 256).alias("own_sha256"), "n_levels", "parent_id")
+    return build_conversations(stored(linked, "quotes")).select(
+        "message_id", "role", "own_sha256", "n_levels", "parent_id", "conversation_id", "depth", "position")
