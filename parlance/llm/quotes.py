@@ -111,14 +111,17 @@ def build_conversations(linked: DataFrame, id_col: str = "message_id") -> DataFr
 
 
 def as_mail(conversations: DataFrame, levels: int = 3) -> DataFrame:
-    """Turns as messages that quote the turns before them, the nearest at level 1 and older ones deeper."""
+    """Turns as messages that quote the turns before them, the nearest at level 1 and older ones deeper.
+
+    ``message_id`` is the pair (conv_id, n), so a conversation may have any number of turns and any id.
+    """
     numbered = number_rows(conversations.select("conv_id", "turn", "role", "text"), [F.col("turn"), F.col("text")], ["conv_id"], "n")
     sent = numbered.withColumn("k", F.explode(F.array(*map(F.lit, range(levels + 1))))).withColumn("n", F.col("n") + F.col("k"))
     mails = sent.groupBy("conv_id", "n").agg(*[
         F.max(F.when(F.col("k") == k, F.struct("role", "text", "turn"))).alias(f"m{k}") for k in range(levels + 1)])
     quoted = [F.concat(F.lit(">" * k + " "), F.regexp_replace(F.col(f"m{k}.text"), "\n", "\n" + ">" * k + " ")) for k in range(1, levels + 1)]
     return mails.where("m0 is not null").select(
-        (F.col("conv_id") * 1048576 + F.col("n") + 1).alias("message_id"), "conv_id", F.col("m0.turn").alias("turn"),
+        F.struct("conv_id", (F.col("n") + 1).alias("n")).alias("message_id"), "conv_id", F.col("m0.turn").alias("turn"),
         F.col("m0.role").alias("role"), F.concat_ws("\n", F.col("m0.text"), *quoted).alias("text"))
 
 
@@ -129,6 +132,11 @@ SQL = """
         conv_id * 1048576 + 1 AS conversation_id, n - 1 AS depth, n - 1 AS position FROM m"""
 
 
+def printed_id(column: str) -> Column:
+    """A pair (conv_id, n) as the single number that the SQL twin has for it."""
+    return (F.col(f"{column}.conv_id") * 1048576 + F.col(f"{column}.n")).alias(column)
+
+
 @query("op2_chat_formatting", SQL)
 def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """All turns, sent as messages that quote what they answer, put back into conversations."""
@@ -136,4 +144,4 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     linked = link_quotes(mails, within=("conv_id",)).select(
         "message_id", "role", F.sha2("own_text", 256).alias("own_sha256"), "n_levels", "parent_id")
     return build_conversations(stored(linked, "quotes")).select(
-        "message_id", "role", "own_sha256", "n_levels", "parent_id", "conversation_id", "depth", "position")
+        printed_id("message_id"), "role", "own_sha256", "n_levels", printed_id("parent_id"), printed_id("conversation_id"), "depth", "position")
