@@ -1,6 +1,6 @@
 """Cost-balanced packing of token sequences.
 
-Documents are dealt to groups of bounded size by a hash of their key.  In every group whole sequences are
+Documents are dealt to groups of bounded size by a hash of their key, text and number among equal rows.  In every group whole sequences are
 cut off first; what is left of each document goes, longest first, to the sequence with the lowest estimated
 cost that still has room.  Only if none has room is a document cut again, so a group leaves less than one
 sequence of padding.
@@ -20,6 +20,7 @@ from parlance.llm.common import pieces, query, table, total_bytes
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "cost double")
+CHUNK = 1000  # equal rows that one task unfolds at a time
 END = np.zeros(1, "<u4").tobytes()
 
 
@@ -76,6 +77,18 @@ def _pack_group(group: int, keys: list, texts: list, path: str, capacity: int, l
     })
 
 
+def numbered_repeats(rows: DataFrame) -> DataFrame:
+    """Adds ``repeat``, the number of a row among equal rows (doc_id, text), without a task that holds all of them."""
+    counts = rows.groupBy("doc_id", F.xxhash64("text").alias("own")).count()
+    if counts.where("count > 1").isEmpty():
+        return rows.withColumn("repeat", F.lit(0).cast("long"))
+    folded = rows.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    chunks = folded.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))))
+    chunks = chunks.repartition(F.xxhash64("doc_id", "text", "first"))
+    last = F.least(F.col("n"), F.col("first") + CHUNK) - 1
+    return chunks.select("doc_id", "text", F.explode(F.sequence("first", last)).alias("repeat"))
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, linear: float = 1.0, quadratic: float = 1 / 2048,
          group_bytes: int = 8 << 20) -> DataFrame:
     """One row per piece of every row of ``docs`` (doc_id, text): where it starts, and its sequence and offset.
@@ -85,8 +98,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, linear: float =
     text that one task holds, except that a text is never divided between tasks.
     """
     groups = pieces(total_bytes(docs), group_bytes)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "group", F.pmod(F.xxhash64("doc_id", F.lit("packing")), F.lit(groups)))
+    rows = numbered_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text", "repeat", F.lit("packing")), F.lit(groups))).drop("repeat")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])

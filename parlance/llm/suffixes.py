@@ -502,6 +502,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_bytes = first.agg(F.sum("n_bytes")).first()[0] or 0
     parts = buckets = pieces(n_bytes, PART_BYTES)
     folded = given.select("id", "text").withColumn("hash", F.sha2("text", 256)).join(first.select("id", "hash"), ["id", "hash"], "left_semi")
+    if not sized.groupBy("id", "hash").count().where("count > 1").isEmpty():
+        folded = folded.dropDuplicates(["id", "hash"])  # combined before the shuffle, so repetitions never meet in a part
     texts, spark = _Texts(folded, parts), docs.sparkSession
     release(spark)
     anchors = texts.by_part().applyInArrow(_send_anchors(buckets), ANCHORS)
@@ -518,8 +520,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for used in (replies, records, found):
         discard(used)
     release(spark)
-    if not sized.groupBy("id", "hash").count().where("count > 1").isEmpty():
-        cut = cut.dropDuplicates(["id", "hash"])
     out = sized.join(cut, ["id", "hash"], "left")
     copy = (F.col("n_bytes") >= WIDTH) & F.col("n_removed").isNull()
     columns = [
