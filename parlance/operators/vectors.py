@@ -71,18 +71,20 @@ class TopK:
         self.best: dict[object, list[list[tuple]]] = {}
         self.floor: dict[object, np.ndarray] = {}
 
-    def add(self, group: object, ids: list, scores: np.ndarray, other: np.ndarray | None = None) -> None:
-        """``scores`` has one row per id and one column per query; -inf means no match."""
+    def add(self, group: object, ids: list, scores: np.ndarray, other: np.ndarray | None = None, which: np.ndarray | None = None) -> None:
+        """``scores`` has one row per id and one column per query, or per query in ``which``; -inf means no match."""
         if not len(ids) or not self.queries:
             return
         best = self.best.setdefault(group, [[] for _ in range(self.queries)])
-        bound = floor = self.floor.setdefault(group, np.full(self.queries, -np.inf))
+        floor = self.floor.setdefault(group, np.full(self.queries, -np.inf))
+        bound = floor if which is None else floor[which]
         if len(ids) > self.k:
-            bound = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
+            bound = np.maximum(bound, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
         columns, rows = np.nonzero((scores >= bound).T & np.isfinite(scores.T))
         starts = np.flatnonzero(np.diff(columns, prepend=-1))
-        for q, chosen in zip(columns[starts], np.split(rows, starts[1:])):
-            new = [(-scores[r, q], ids[r], None if other is None else other[r, q]) for r in chosen]
+        for c, chosen in zip(columns[starts], np.split(rows, starts[1:])):
+            q = c if which is None else which[c]
+            new = [(-scores[r, c], ids[r], None if other is None else other[r, c]) for r in chosen]
             best[q] = sorted(best[q] + new, key=lambda item: item[:2])[: self.k]
             if len(best[q]) == self.k:
                 floor[q] = -best[q][-1][0]

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from parlance.functions.models import embed_names
 from parlance.functions.registry import register_functions
 from parlance.functions.vectors import norm
+from parlance.operators.cells import CellIndex
 from parlance.operators.infer import embed_distinct, embed_text as embed_column, nonzero_cells
 from parlance.operators.vectors import nearest_rows, similarity_self_join, vector_threshold, vector_topk
 from parlance.plans.registry import SQL_WORDS, Tables, query, shown, sql_cells, sql_trigrams
+from parlance.session import run_dir
 from parlance.sources.tables import overwrite_table, scratch_schema
 
 THRESHOLD = 0.3
@@ -46,6 +48,35 @@ def semantic_topk(t: Tables) -> DataFrame:
     return shown(vector_topk(centroids(t.embeddings), t.embeddings, 5, index_id="vec_id"))
 
 
+def _cell_index(t: Tables) -> CellIndex:
+    """An index that followed two states of the vectors: fewer of them and some turned round, then all as they are."""
+    index = CellIndex(t.spark, run_dir(t.spark, "cells"), "vec_id")
+    turned = F.when(F.col("label") == 1, F.reverse("embedding")).otherwise(F.col("embedding"))
+    index.sync(t.embeddings.where("label <> 2").select("vec_id", turned.alias("embedding")))
+    index.sync(t.embeddings.select("vec_id", "embedding"))
+    return index
+
+
+@query(f"""{_SCORED},
+    r AS (SELECT query_id, vec_id, round(raw, 4) AS score,
+                 row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 10) DESC, vec_id) AS rank FROM s)
+    SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5""")
+def ann_topk(t: Tables) -> DataFrame:
+    """The results of semantic_topk from stored cells, of which only those that can hold a result are opened."""
+    return shown(_cell_index(t).topk(centroids(t.embeddings), 5))
+
+
+@query("""
+    WITH s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS raw
+               FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    r AS (SELECT vec_id, neighbour, round(raw, 4) AS score,
+                 row_number() OVER (PARTITION BY vec_id ORDER BY round(raw, 10) DESC, neighbour) AS rank FROM s)
+    SELECT vec_id, neighbour, score, rank FROM r WHERE rank <= 3""")
+def knn_graph(t: Tables) -> DataFrame:
+    """The three nearest other vectors of every vector."""
+    return shown(_cell_index(t).neighbours(3))
+
+
 @query(f"{_SCORED} SELECT query_id, vec_id, round(raw, 4) AS score FROM s WHERE raw > {THRESHOLD}")
 def semantic_threshold(t: Tables) -> DataFrame:
     hits = vector_threshold(centroids(t.embeddings), t.embeddings, THRESHOLD, index_id="vec_id")
