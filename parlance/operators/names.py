@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import clean_name
 from parlance.operators.blocks import arrow_schema, score_join
+from parlance.operators.trie import Trie, letter_masks, ratio_of
 from parlance.sizing import small_side, top_n
 
-# Entries that a task holds at a time, with a count for each of their letters; larger dictionaries go in slices.
-MAX_ENTRIES = 20_000
+# Entries that a task holds as a trie (about 100 MB); only larger dictionaries go in slices.
+MAX_ENTRIES = 200_000
 
 
 def union_names(*sources: tuple[DataFrame, str]) -> DataFrame:
@@ -32,15 +30,7 @@ def clean_names(df: DataFrame, name_col: str = "cust_name", id_col: str = "id")
 
 def similarity_ratio(a: str, b: str) -> int:
     """0 to 100: twice the longest common subsequence over the summed lengths, half rounded up."""
-    total = len(a) + len(b)
-    return (400 * common_subsequence(_masks(a), len(a), b) + total) // (2 * total) if total else 100
-
-
-def _masks(a: str) -> dict[str, int]:
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    return masks
+    return ratio_of(common_subsequence(letter_masks(a), len(a), b), len(a) + len(b))
 
 
 def common_subsequence(masks: dict[str, int], length: int, b: str) -> int:
@@ -54,46 +44,20 @@ def common_subsequence(masks: dict[str, int], length: int, b: str) -> int:
 
 
 class _Dictionary:
-    """Best entry per word.  The shared-letter count bounds the ratio from above, so most entries need no alignment."""
+    """Best entry per word from a trie of the entries."""
 
     def __init__(self, asked: pa.Table, threshold: int, target: pa.Schema):
-        entries = sorted(zip(asked.column("position").to_pylist(), asked.column("entry").to_pylist()))
-        self.positions, self.entries = [p for p, _ in entries], [e for _, e in entries]
-        self.letters = {ch: i for i, ch in enumerate(sorted(set("".join(self.entries))))}
-        self.bags = np.array([self._bag(e) for e in self.entries], dtype=np.int32).reshape(len(entries), len(self.letters))
-        self.lengths = np.array([len(e) for e in self.entries], dtype=np.int64)
-        self.by_length = np.argsort(self.lengths, kind="stable")
-        self.sorted_lengths = self.lengths[self.by_length]
+        entries = list(zip(asked.column("entry").to_pylist(), asked.column("position").to_pylist()))
+        self.trie, self.entries = Trie(entries), {position: entry for entry, position in entries}
         self.threshold, self.target = threshold, target
 
-    def _bag(self, text: str) -> np.ndarray:
-        bag = np.zeros(len(self.letters), dtype=np.int32)
-        for ch, n in Counter(text).items():
-            if ch in self.letters:
-                bag[self.letters[ch]] = n
-        return bag
-
-    def best(self, word: str) -> tuple | None:
-        # The shorter text bounds the common part, so only entries of similar length can pass.
-        least = max(self.threshold, 0) / 100
-        lo = np.searchsorted(self.sorted_lengths, np.floor(len(word) * least / (2 - least)), "left")
-        hi = np.searchsorted(self.sorted_lengths, np.ceil(len(word) * (2 - least) / least), "right") if least else None
-        near = np.sort(self.by_length[lo:hi])
-        totals = np.maximum(self.lengths[near] + len(word), 1)
-        bound = (400 * np.minimum(self.bags[near], self._bag(word)).sum(1) + totals) // (2 * totals)
-        masks, found, ratio = _masks(word), None, self.threshold
-        for n in np.argsort(-bound, kind="stable"):
-            if bound[n] < ratio or bound[n] <= self.threshold:
-                break
-            e = near[n]
-            shared = common_subsequence(masks, len(word), self.entries[e])
-            exact = int((400 * shared + totals[n]) // (2 * totals[n]))
-            if exact > ratio or (exact == ratio and found is not None and e < found):
-                found, ratio = e, exact
-        return None if found is None else (word, self.entries[found], ratio, self.positions[found])
-
     def feed(self, batch):
-        hits = [hit for word in batch.column("word").to_pylist() if (hit := self.best(word))]
+        hits = []
+        for word in batch.column("word").to_pylist():
+            found = self.trie.best(word, self.threshold)
+            if found:
+                ratio, position, _ = found
+                hits.append((word, self.entries[position], ratio, position))
         yield pa.Table.from_arrays(
             [pa.array([h[i] for h in hits], type=f.type) for i, f in enumerate(self.target)], schema=self.target)
 

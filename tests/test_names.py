@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import clean_name
 from parlance.operators.names import best_entries, correct_names, similarity_ratio, union_names
+from parlance.operators.trie import Trie
 
 CITIES = ["New York", "Amsterdam", "Barcelona", "Berlin", "Prague"]
 
@@ -68,3 +70,29 @@ def test_clean_name(spark, dirty, clean):
 def test_union_keeps_duplicates(spark):
     a = spark.createDataFrame([("x",), ("x",)], "n string")
     assert union_names((a, "n"), (a, "n"), (a, "n")).count() == 6
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abc", max_size=7), max_size=14), st.text("abcd", max_size=7), st.integers(0, 99))
+def test_trie_finds_the_best_entry(entries, word, threshold):
+    numbered = [(e, n) for n, e in enumerate(entries)]
+    found = Trie(numbered).best(word, threshold)
+    scores = [(plain_ratio(word, e), -n) for e, n in numbered if plain_ratio(word, e) > threshold]
+    assert (found[:2] if found else None) == ((max(scores)[0], -max(scores)[1]) if scores else None)
+
+
+def test_trie_opens_few_nodes():
+    """Misspelled words open a small part of a large dictionary, and a smaller part of a larger one."""
+    rng = np.random.default_rng(4)
+    parts = ["".join(rng.choice(list("abcdefghiklmnoprstuvw"), rng.integers(2, 5))) for _ in range(300)]
+    share = []
+    for size in (2_000, 20_000):
+        entries = sorted({" ".join(rng.choice(parts, 3)) for _ in range(size)})
+        trie = Trie([(e, n) for n, e in enumerate(entries)])
+        opened = []
+        for e in rng.choice(entries, 60):
+            k = rng.integers(1, len(e) - 1)
+            found = trie.best(e[:k] + "x" + e[k + 1:], 70)
+            opened.append(found[2])
+        share.append(np.mean(opened) / len(entries))
+    assert share[1] < 0.04 and share[1] < share[0] / 4
