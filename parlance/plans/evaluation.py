@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators import evaluate, infer
 from parlance.plans.opinions import _sql_count, _sql_list
 from parlance.plans.registry import SQL_WORDS, Tables, query
-from parlance.sources.tables import overwrite_table, scratch_schema
+from parlance.session import run_dir
+from parlance.sources.buckets import BucketTable, merge
 
 TEMPLATES = [
     "Which segment is {name} in?", "What does {name} owe?", "Where does {name} live?", "List the bills of {name}.",
@@ -73,18 +74,15 @@ def eval_records(t: Tables) -> DataFrame:
     SELECT c_name AS question, CASE WHEN c_acctbal < 0 OR c_mktsegment = 'BUILDING' THEN 'new' ELSE 'old' END AS facts,
            CASE WHEN c_acctbal < 0 OR c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS version FROM customer""")
 def eval_upsert(t: Tables) -> DataFrame:
-    """The stored set gets changed and new records; it is created first, then read and rewritten."""
-    table = f"{scratch_schema(t.spark, 'eval_upsert')}.records"
+    """The stored set gets changed and new records; only the buckets of their keys are rewritten."""
+    table = BucketTable(t.spark, run_dir(t.spark, "eval_upsert"))
 
     def records(rows: DataFrame, facts: str, version: int) -> DataFrame:
         return rows.select(F.col("c_name").alias("question"), F.lit(facts).alias("facts"), F.lit(version).cast("long").alias("version"))
 
-    def store(existing: DataFrame | None, incoming: DataFrame) -> None:
-        overwrite_table(evaluate.upsert(existing, incoming, "question", [F.col("version")]), table)
-
-    store(None, records(t.customer.where("c_acctbal >= 0"), "old", 1))
-    store(t.spark.table(table), records(t.customer.where("c_acctbal < 0 OR c_mktsegment = 'BUILDING'"), "new", 2))
-    return t.spark.table(table)
+    for part, facts, version in (("c_acctbal >= 0", "old", 1), ("c_acctbal < 0 OR c_mktsegment = 'BUILDING'", "new", 2)):
+        merge(table, records(t.customer.where(part), facts, version), "question", [F.col("version")], buckets=16)
+    return table.read().drop("bucket")
 
 
 SCORERS = ["groundedness", "relevance", "safety", "guidelines"]
@@ -113,15 +111,13 @@ _SCORES = f"""
 
 
 def _scored(t: Tables) -> DataFrame:
-    # Each turn looks at the ones before and behind it, so one shuffle serves question, answer and context.
-    turns = Window.partitionBy("conv_id").orderBy("turn")
-    near = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("question"), *[
-        column.over(turns).alias(name) for name, column in (
-            ("answer", F.lead("text")), ("next_role", F.lead("role")), ("next_turn", F.lead("turn")), ("context", F.lag("text")),
-            ("last_turn", F.lag("turn")))])
-    records = near.where("role = 'user' AND next_role = 'assistant' AND next_turn = turn + 1").select(
-        "conv_id", "turn", "question", "answer",
-        F.coalesce(F.when(F.col("last_turn") == F.col("turn") - 1, F.col("context")), F.lit("")).alias("context"))
+    # Joins on the conversation and the turn: a repeated turn meets every row beside it, and a long conversation is no task of its own.
+    turns = t.conversations
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    records = asked.join(replies, ["conv_id", "turn"]).join(before, ["conv_id", "turn"], "left").withColumn(
+        "context", F.coalesce("context", F.lit("")))
     # Both runs come from one joined row, so the joins run once.
     runs = F.explode(F.array(
         F.struct(F.lit("reply").alias("run"), F.col("answer").alias("answer")),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.models import embed_names
 from parlance.operators import search as ops
+from parlance.operators.cells import CellIndex
 from parlance.operators.evaluate import is_cited
 from parlance.operators.index import content_hashes, read_index, snapshot_changes, sync_index
 from parlance.operators.infer import embed_text
@@ -78,6 +81,26 @@ def index_sync_stream(t: Tables) -> DataFrame:
     return _index_rows(read_index(t.spark, table))
 
 
+_EVERY = "SELECT doc_id, text FROM documents"
+
+
+@query(f"""
+    WITH a AS ({_OLD}), b AS ({_NEW}), c AS ({_EVERY}),
+    s AS (SELECT 2 AS version, a.doc_id AS o, b.doc_id AS n FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.text IS DISTINCT FROM b.text
+          UNION ALL
+          SELECT 3, b.doc_id, c.doc_id FROM b FULL JOIN c ON b.doc_id = c.doc_id WHERE b.text IS DISTINCT FROM c.text)
+    SELECT version, coalesce(o, n) AS doc_id, CASE WHEN o IS NULL THEN 'insert' WHEN n IS NULL THEN 'delete' ELSE 'update' END AS change FROM s""")
+def index_feed(t: Tables) -> DataFrame:
+    """What each of three syncs of one stored index changed, read from its versions: of two versions only the cells that differ."""
+    index = CellIndex(t.spark, run_dir(t.spark, "feed"), "doc_id")
+    for state in (*_snapshots(t), t.documents.select("doc_id", "text")):
+        index.sync(spread(state), text_col="text")
+    first, *later = index.rows.versions()
+    feed = [index.rows.changes_between(old, new, "doc_id").select(F.lit(new).alias("version"), "doc_id", "change")
+            for old, new in zip([first, *later], later)]
+    return reduce(DataFrame.unionByName, feed)
+
+
 def _queries(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 

@@ -1,6 +1,6 @@
 """Tables in buckets whose changes rewrite only the buckets they touch, committed by versioned manifests.
 
-A folder holds ``data/v=N/<bucket>=B`` with the rows that version N wrote, and ``manifests/v=N``: for every bucket that has rows
+A folder holds ``data/version__=N/<bucket>=B`` with the rows that version N wrote, and ``manifests/v=N``: for every bucket that has rows
 the version that wrote it, its row count and further statistics.  A version counts once its manifest is complete, so a
 run that was cut short leaves the table as it was.  Untouched buckets keep their files; older versions stay readable until
 ``vacuum``.  One writer at a time.
@@ -43,7 +43,7 @@ class BucketTable:
 
     def _schema(self, version: int) -> T.StructType:
         plain = T.StructType.fromJson(json.loads(self.spark.read.text(f"{self.folder}/schemas/v={version}").first()[0]))
-        return plain.add("v", T.IntegerType()).add(self.bucket, T.IntegerType())
+        return plain.add("version__", T.IntegerType()).add(self.bucket, T.IntegerType())
 
     def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
         """The rows of a version, of some buckets only if they are named; None before the first version.
@@ -56,15 +56,15 @@ class BucketTable:
         rows = [r for r in self.manifest(version) if buckets is None or r[self.bucket] in set(buckets)]
         schema = self._schema(version)
         if not rows:
-            return self.spark.createDataFrame([], schema).drop("v")
+            return self.spark.createDataFrame([], schema).drop("version__")
         by_version: dict[int, list[int]] = {}
         for r in rows:
             by_version.setdefault(r["v"], []).append(r[self.bucket])
         wanted = F.lit(False)
         for v, own in sorted(by_version.items()):
-            wanted = wanted | ((F.col("v") == v) & F.col(self.bucket).isin(own))
-        paths = [f"{self.folder}/data/v={v}" for v in sorted(by_version)]
-        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/data").parquet(*paths).where(wanted).drop("v")
+            wanted = wanted | ((F.col("version__") == v) & F.col(self.bucket).isin(own))
+        paths = [f"{self.folder}/data/version__={v}" for v in sorted(by_version)]
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/data").parquet(*paths).where(wanted).drop("version__")
 
     def replace(self, rows: DataFrame, touched: list[int] | None = None) -> int:
         """Commits a version in which the ``touched`` buckets (all by default) hold exactly ``rows``; returns its number.
@@ -73,7 +73,7 @@ class BucketTable:
         """
         before = self.manifest()
         version = (self.version() or 0) + 1
-        path = f"{self.folder}/data/v={version}"
+        path = f"{self.folder}/data/version__={version}"
         rows.hint("rebalance", F.col(self.bucket)).write.mode("overwrite").partitionBy(self.bucket).parquet(path)
         plain = T.StructType([f for f in rows.schema.fields if f.name != self.bucket])
         self.spark.createDataFrame([(json.dumps(plain.jsonValue()),)], "value string").coalesce(1).write.mode("overwrite").text(
@@ -103,7 +103,7 @@ class BucketTable:
         versions = self.versions()
         live = {(r["v"], r[self.bucket]) for v in versions[-keep:] for r in self.manifest(v)}
         gone = []
-        for path in self._glob(f"data/v=*/{self.bucket}=*"):
+        for path in self._glob(f"data/version__=*/{self.bucket}=*"):
             v, b = (int(part.split("=")[1]) for part in path.rsplit("/", 2)[1:])
             if (v, b) not in live:
                 gone.append(path)
