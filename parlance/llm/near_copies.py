@@ -1,8 +1,17 @@
-"""Near-duplicate groups by the resemblance of word shingles: MinHash bands find candidates, the shingles decide.
+"""Near-duplicate groups: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-Two texts are linked if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more.  112 minima in 28
-bands of four give a pair at 0.8 a shared band with a probability of 1 - (1 - 0.8^4)^28, which leaves out one pair in
-2.6 million; more similar pairs are left out less often.  Every candidate is verified on the whole sets.
+Candidates come from two sides and are all verified on the whole sets:
+
+* Golay keys of the SimHash of the shingles: fingerprints at two or fewer differing bits.
+* A prefix filter, because a similarity of 0.8 mostly lies more than two bits apart.  Similar sets share most shingles, so in any
+  common order they share one of their first few: with an overlap of t, one of the first n - ceil(t n) + 1 of n.  The order goes by
+  document frequency, rarest first, so a passage that many texts quote gives no candidates among texts that
+  also have enough words of their own; only texts made of little else meet on it.
+
+Sets of up to 128 shingles are filtered whole, which is exact.  Of larger ones the filter sees the shingles whose hash ends in enough
+zero bits to leave 64 to 128 of them, and asks for an overlap of 0.65 of the sample instead of 0.8 of the set; a text
+near the bound of its level is sampled for the next level as well.  The overlap of two texts at 0.8 is 0.89 of equal sets and
+never below 0.8, so a sample falls short by chance only in about one pair of ten thousand.
 """
 
 from __future__ import annotations
@@ -15,13 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import stored
-from parlance.llm.golay import components
+from parlance.llm.common import discard, stored
+from parlance.llm.golay import components, near_links
 
-BANDS, ROWS = 28, 4
-_DRAW = np.random.default_rng(42)
-_FACTORS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_MIXERS = _DRAW.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+WHOLE = 128  # shingles that are filtered without sampling
+SAMPLED_OVERLAP = 0.65
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -36,15 +43,23 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[width - 1:] - 1).tolist())], np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band of minima."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), 1 << 12):  # bounded memory for very long texts
-        part = hashes[k:k + (1 << 12), None] * _FACTORS
-        low = np.minimum(low, (part ^ (part >> np.uint64(32))).min(axis=0))
-    mixed = (low.reshape(BANDS, ROWS) * _MIXERS).sum(axis=1)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIXERS[:, 0] + np.arange(BANDS, dtype=np.uint64)
-    return mixed.view(np.int64)
+def simhash_of_set(hashes: np.ndarray) -> int:
+    """Majority of each bit over a set of hashes."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
+        total += np.unpackbits(hashes[k:k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+
+
+def samples(hashes: np.ndarray, threshold: float) -> list[tuple[float, np.ndarray]]:
+    """(overlap, keys) of a set's own level, and of the next one if a similar set can belong to it.  Levels have different keys."""
+    level = max(0, int(np.ceil(np.log2(len(hashes) / WHOLE))))
+    levels = [level, level + 1] if len(hashes) > threshold * WHOLE * 2 ** level else [level]
+    out = []
+    for k in levels:
+        own = hashes[hashes & np.uint64((1 << k) - 1) == 0]
+        out.append((threshold if k == 0 else SAMPLED_OVERLAP, (own * np.uint64(2 * k + 1)) ^ np.uint64(k)))
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -52,67 +67,113 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch["set_a"].to_pylist(), batch["set_b"].to_pylist()
             good = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(left, right)):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for k, (x, y) in enumerate(zip(batch["set_a"], batch["set_b"])):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good[k] = both >= threshold * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    first = sets.select(F.col("own").alias("a"), F.col("set").alias("set_a"))
-    second = sets.select(F.col("own").alias("b"), F.col("set").alias("set_b"))
+    first = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+    second = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     return stored(pairs.join(second, "b").join(first, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "near-links")
 
 
+def _prefixes(nodes: DataFrame) -> DataFrame:
+    """(node, key) of the rarest shingles that a similar text has to share; only keys that two texts have."""
+    held = nodes.select("node", F.posexplode("samples").alias("which", "sample")).select(
+        "node", "which", F.explode("sample.keys").alias("key"))
+    common = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = held.join(common, "key").groupBy("node", "which").agg(
+        F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ranked"))  # a sample is bounded
+    sizes = nodes.select("node", F.posexplode("samples").alias("which", "sample")).select(
+        "node", "which", F.size("sample.keys").alias("n"), F.col("sample.overlap").alias("overlap"))
+    # Shingles that no other text has are the rarest: they fill the prefix first.
+    left = F.col("n") - F.ceil(F.col("overlap") * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("ranked"))
+    chosen = ranked.join(sizes, ["node", "which"]).withColumn("left", left).where("left > 0").select(
+        "node", F.explode(F.slice("ranked", F.lit(1), F.col("left"))).alias("first")).select("node", F.col("first.key").alias("key")).distinct()
+    chosen = stored(chosen, "near-prefixes")
+    shared = stored(chosen.join(chosen.groupBy("key").count().where("count > 1").select("key"), "key"), "near-keys")
+    discard(chosen)
+    return shared
+
+
 def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(own, component_id) for every different ``own`` of ``docs`` (doc_id, text, own), where own is a hash of the text.
+    """(own, component_id) for every different ``own`` of ``docs`` (doc_id, text, own), where own identifies the text.
 
-    The component id is the smallest doc_id that links lead to.  Texts without words are alike.  NULL ids lend
-    no id; a component of NULL ids only has component id NULL.
+    The component id is the smallest doc_id that links lead to.  Texts without words are alike.  NULL texts count as empty.  NULL ids
+    lend no id; a component of NULL ids only has component id NULL.  Repeated rows change nothing; an empty table gives no rows.
+    Other columns are ignored.
 
     Texts of a bucket are first compared with one text of it, which connects groups of copies with a row per
     text.  Only texts that are still in different components are then compared pair by pair, so that no link is missed.
     """
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [band_keys(shingle_hashes(t, shingle)) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["own"], pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "own", "keys"])
+            prints, found = [], []
+            for text in batch["text"].to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                prints.append(simhash_of_set(hashes))
+                found.append([{"overlap": o, "keys": k.view(np.int64)} for o, k in samples(hashes, threshold)])
+            kind = pa.list_(pa.struct([("overlap", pa.float64()), ("keys", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["own"], pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(found, kind)],
+                names=["doc_id", "own", "simhash", "samples"])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_hashes(t, shingle).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["own"], pa.array(found, pa.binary())], names=["own", "set"])
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.binary())], names=["node", "set"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "own")
-    sketched = docs.mapInArrow(keys, "doc_id long, own long, keys array<bigint>")
-    nodes = stored(sketched.groupBy("own").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")), "near-nodes")
-    keyed = nodes.select("own", F.explode("keys").alias("key"))
-    shared = stored(keyed.join(keyed.groupBy("key").count().where("count > 1").select("key"), "key"), "near-keys")
-    wanted = shared.select("own").distinct().join(nodes.select("own", "low"), "own")
+    first = docs.groupBy("own").agg(F.min("doc_id").alias("low"))
+    same = (F.col("docs.own") == F.col("first.own")) & F.col("doc_id").eqNullSafe(F.col("low"))
+    sketched = docs.mapInArrow(
+        sketch, "doc_id long, own string, simhash long, samples array<struct<overlap: double, keys: array<bigint>>>")
+    sketched = sketched.alias("docs").join(first.alias("first"), same, "left_semi").dropDuplicates(["own"])
+    # The numbers are fixed by writing them.
+    nodes = stored(sketched.select(F.monotonically_increasing_id().alias("node"), "own", F.col("doc_id").alias("low"), "simhash", "samples"), "near-nodes")
+    shared = _prefixes(nodes)
+    plain = nodes.select("node", "simhash")
+    prints = plain.groupBy("simhash").agg(F.min("node").alias("head"))
+    stars = plain.join(prints, "simhash").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    heads_a, heads_b = (prints.select(F.col("simhash").alias(c), F.col("head").alias(f"head_{c}")) for c in ("a", "b"))
+    golay = near_links(prints.select("simhash")).join(heads_a, "a").join(heads_b, "b").select(
+        F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    golay = stored(stars.union(golay).distinct(), "near-golay")
+
+    wanted = shared.select("node").union(golay.select("a")).union(golay.select("b")).distinct().join(nodes.select("node", "own", "low"), "node")
     same = (F.col("docs.own") == F.col("wanted.own")) & F.col("doc_id").eqNullSafe(F.col("low"))
-    texts = docs.alias("docs").join(wanted.alias("wanted"), same, "left_semi").select("own", "text")
-    sets = stored(texts.mapInArrow(hashes, "own long, set binary").dropDuplicates(["own"]), "near-sets")
-
-    roots = nodes.select(F.col("own").alias("node"), F.col("own").alias("root"))
-    links = None
-    for step in ("one", "hubs", "pairs"):
-        placed = shared.join(roots, F.col("own") == F.col("node")).select("key", "own", "root")
-        hubs = placed.groupBy("key").agg(F.min(F.struct("root", "own")).alias("hub"), F.max("root").alias("most")).where("hub.root <> most")
+    texts = docs.alias("docs").join(wanted.alias("wanted"), same).select("node", "text")
+    sets = stored(texts.mapInArrow(hashes, "node long, set binary").dropDuplicates(["node"]), "near-sets")
+
+    used = [golay, shared, sets]
+    links, roots = None, nodes.select("node", F.col("node").alias("root"))
+    for step in ("golay", "one", "hubs", "pairs"):
+        placed = shared.join(roots, "node").select("key", "node", "root")
+        hubs = placed.groupBy("key").agg(F.min(F.struct("root", "node")).alias("hub"), F.max("root").alias("most")).where("hub.root <> most")
         apart = placed.join(hubs.select("key", "hub"), "key")
-        if step == "pairs":
-            apart = stored(apart.select("key", "own", "root"), "near-apart")
+        if step == "golay":
+            pairs = golay
+        elif step == "pairs":
+            apart = stored(apart.select("key", "node", "root"), "near-apart")
+            used.append(apart)
             a, b = apart.toDF("key", "a", "root_a"), apart.toDF("key", "b", "root_b")
             pairs = a.join(b, "key").where("a < b and root_a <> root_b").select("a", "b").distinct()
         else:
-            others = apart.where("hub.root <> root").select(F.col("hub.own").alias("a"), F.col("own").alias("b"), F.col("hub"))
-            pairs = others.groupBy("b").agg(F.min("hub")["own"].alias("a")).select("a", "b") if step == "one" else others.select("a", "b").distinct()
-        found = _verified(stored(pairs, "near-pairs"), sets, threshold)
+            others = apart.where("hub.root <> root").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub"))
+            pairs = others.groupBy("b").agg(F.min("hub")["node"].alias("a")).select("a", "b") if step == "one" else others.select("a", "b").distinct()
+        tried = stored(pairs, "near-pairs")
+        found = _verified(tried, sets, threshold)
         links = found if links is None else links.union(found)
         joined = components(links)
-        roots = stored(nodes.select("own").join(joined, F.col("own") == F.col("node"), "left").select(
-            F.col("own").alias("node"), F.coalesce("root", "own").alias("root")), "near-roots")
-    named = nodes.select("own", "low").join(roots, F.col("own") == F.col("node")).select("own", "low", "root")
+        roots = stored(nodes.select(F.col("node").alias("own_node")).join(joined, F.col("own_node") == F.col("node"), "left").select(
+            F.col("own_node").alias("node"), F.coalesce("root", "own_node").alias("root")), "near-roots")
+        used += [tried, found, roots]
+    named = nodes.select("own", "low", "node").join(roots, "node").select("own", "low", "root")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return named.join(lowest, "root").select("own", "component_id")
+    out = stored(named.join(lowest, "root").select("own", "component_id"), "near-components")
+    for table in [nodes, *used]:
+        discard(table)
+    return out

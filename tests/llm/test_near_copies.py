@@ -62,3 +62,56 @@ def test_replaced_words(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
     want = brute_heads(*map(list, zip(*rows)))
     assert len(want) < len(rows) - 60 and kept(spark, docs) == want
+
+
+def test_awkward_rows(spark):
+    from pyspark.sql import functions as F
+
+    from parlance.llm.near_copies import similar_documents
+
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, ""), (4, " \t\n"), (5, "A b  c d e f"), (None, "x y z"), (None, "x  y z"),
+            (6, " ".join(f"w{k}" for k in range(40_000))), (7, " ".join(f"w{k}" for k in range(39_000))), (8, "solo text of some words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("own", F.sha2(F.coalesce("text", F.lit("")), 256))
+    for frame in (docs, docs.withColumns({c: F.lit("x") for c in ("node", "key", "a", "b", "low", "samples", "simhash", "root", "set")})):
+        found = {r.own: r.component_id for r in similar_documents(frame).collect()}
+        by_text = {r.text: found[r.own] for r in docs.collect()}
+        assert len(found) == docs.select("own").distinct().count()
+        assert by_text == {"a b c d e f": 1, None: 2, "": 2, " \t\n": 2, "A b  c d e f": 1, "x y z": None, "x  y z": None, rows[9][1]: 6, rows[10][1]: 6, rows[11][1]: 8}
+    assert similar_documents(docs.where("false")).count() == 0
+
+
+def test_a_common_passage_makes_few_candidates(spark):
+    """Texts that quote one passage are no candidates of each other: the filter's keys grow with the copies only."""
+    from pyspark.sql import functions as F
+
+    from parlance.llm import near_copies
+
+    draw = np.random.default_rng(2)
+    passage = " ".join(f"p{k}" for k in range(200))
+    kinds = "doc_id long, own string, simhash long, node long, samples array<struct<overlap: double, keys: array<bigint>>>"
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            hashes = near_copies.shingle_hashes(passage + " " + " ".join(f"w{k}" for k in draw.integers(0, 10 ** 9, 150)), 5)
+            out.append((i, str(i), 0, i, [(o, k.view(np.int64).tolist()) for o, k in near_copies.samples(hashes, 0.8)]))
+        return out
+
+    assert near_copies._prefixes(spark.createDataFrame(rows(150), kinds)).where(F.col("key").isNotNull()).count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    """Long texts, whose filter is sampled: pairs between 0.8 and 0.85 are found."""
+    draw = np.random.default_rng(6)
+    rows, pairs = [], 0
+    for n in range(150):
+        words = [f"w{k}" for k in draw.integers(0, 10 ** 6, int(draw.integers(150, 1500)))]
+        other = list(words)
+        block = int(len(words) * 0.1 * draw.uniform(0.75, 1))  # one replaced block of about a tenth
+        at = int(draw.integers(0, len(words) - block))
+        other[at:at + block] = [f"v{k}" for k in draw.integers(0, 10 ** 6, block)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+        a, b = pair_sets([rows[-2][1], rows[-1][1]])
+        pairs += len(a & b) / len(a | b) >= 0.8
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    assert pairs > 100 and len(rows) - len(kept(spark, docs)) >= 0.99 * pairs
