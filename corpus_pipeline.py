@@ -6,7 +6,8 @@ documents.  Its result is written as Parquet and reread as the docs of the next
 1. language_id: documents whose language the nearest centroids reject go.  The model learns from all documents that
    the stage is given.
 2. simhash_dedup: of each group of near-duplicates (5-word shingles with a similarity of 0.8 or more, linked directly or
-   through others) the document with the smallest doc_id stays.
+   through others) the document with the smallest doc_id stays.  Golay keys of SimHashes and a prefix filter propose, whole
+   sets of shingles decide.
 3. suffix_dedup: passages of 50 bytes or more that an earlier document has are cut out; documents of which nothing
    is left go.
 4. source_mix: documents are repeated or left out so that the sources come to their target weights.
@@ -47,7 +48,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     prepare(spark)
     docs = docs.select(COLUMNS)
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = F.sha2(F.coalesce("text", F.lit("")), 256)
     groups = similar_documents(docs.select("doc_id", "text", own.alias("own")))
     marked = docs.select("doc_id", own.alias("own")).join(groups, "own")
     heads = stored(marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "own").count(), "near-heads")
