@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -137,7 +137,19 @@ class _Keywords:
         codes = pc.index_in(tokens.flat, value_set=self.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         pairs, counts = np.unique((tokens.owner * width + codes)[codes >= 0], return_counts=True)
         docs, terms = np.divmod(pairs, width)
-        return docs, terms, counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[docs] / self.mean_length))
+        return docs, terms, self._grown(counts, lengths[docs])
+
+    def match_counted(self, counted: pa.Array, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for documents that come as lists of (term, tf) with their lengths."""
+        owner = np.repeat(np.arange(len(counted)), pc.list_value_length(counted).fill_null(0).to_numpy(zero_copy_only=False))
+        flat = counted.flatten()
+        codes = pc.index_in(flat.field("term"), value_set=self.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = codes >= 0
+        docs = owner[known]
+        return docs, codes[known], self._grown(flat.field("tf").to_numpy(zero_copy_only=False)[known], lengths[docs])
+
+    def _grown(self, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths / self.mean_length))
 
     def scores(self, matched: tuple[np.ndarray, np.ndarray, np.ndarray], rows: slice) -> np.ndarray:
         """Scores of a range of documents; -inf where no query term occurs."""
@@ -214,6 +226,15 @@ def hybrid_topk(
     asked = _weighted_queries(
         queries, docs, query_id, query_text, query_vector
     ).checkpoint()  # both passes use it
+    return fused_topk(asked, docs, lambda words, batch: words.match(batch.column("text")), k, query_id, query_vector, corpus_id, corpus_vector, max_queries)
+
+
+def fused_topk(
+    asked: DataFrame, docs: DataFrame, match: Callable[[_Keywords, pa.RecordBatch], tuple], k: int, query_id: str, query_vector: str,
+    corpus_id: str, corpus_vector: str, max_queries: int,
+) -> DataFrame:
+    """Both passes of ``hybrid_topk`` over weighted queries; ``match`` finds the query terms of a batch of documents."""
+    corpus, queries = docs, asked
     qtype, itype = sql_type(queries, query_id), sql_type(corpus, corpus_id)
     depth = 2 * k + RRF
 
@@ -227,7 +248,7 @@ def hybrid_topk(
         if not batch.num_rows or not len(vectors):
             return
         ids, rows = batch.column(corpus_id).to_pylist(), unit_rows(batch.column(corpus_vector))
-        matched = keywords.match(batch.column("text"))
+        matched = match(keywords, batch)
         for tile in tiles(len(ids), len(vectors)):
             yield ids[tile], keywords.scores(matched, tile), rounded(cosines(rows[tile], vectors))
 

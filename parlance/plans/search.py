@@ -13,7 +13,7 @@ from parlance.operators.cells import CellIndex
 from parlance.operators.evaluate import is_cited
 from parlance.operators.index import content_hashes, read_index, snapshot_changes, sync_index
 from parlance.operators.infer import embed_text
-from parlance.operators.postings import postings_topk, sync_postings
+from parlance.operators.postings import hybrid_postings_topk, postings_topk, sync_postings
 from parlance.operators.vectors import vector_topk
 from parlance.plans.registry import SQL_WORDS, Tables, query, shown, sql_cells, sql_trigrams
 from parlance.session import run_dir
@@ -175,6 +175,18 @@ def hybrid_topk(t: Tables) -> DataFrame:
     return _ranked(ops.hybrid_topk(_vector_queries(t), corpus, 5, corpus_id="doc_id"))
 
 
+@query(f"""
+    WITH documents AS (SELECT * FROM documents WHERE lang <> 'fr'), {_BM25}, {_sql_cosine('documents', 'doc_id', _DOC_WORDS)}, {_FUSED}
+    SELECT query_id, doc_id, keyword_rank, vector_rank, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def hybrid_index_topk(t: Tables) -> DataFrame:
+    """Postings and vectors that followed two states of the documents; the search reads neither texts nor words."""
+    name = scratch_schema(t.spark, "hybrid_index")
+    for snapshot in _snapshots(t):
+        sync_postings(snapshot, f"{name}.words", "doc_id", "text")
+        sync_index(spread(snapshot), f"{name}.vectors", "doc_id", "text")
+    return _ranked(hybrid_postings_topk(_vector_queries(t), f"{name}.words", read_index(t.spark, f"{name}.vectors"), 5, "doc_id"))
+
+
 def _ranked(hits: DataFrame) -> DataFrame:
     """Keyword rank 0 where no word matched."""
     return shown(hits, 6).withColumn("keyword_rank", F.coalesce("keyword_rank", F.lit(0)))
