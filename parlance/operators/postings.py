@@ -19,9 +19,9 @@ from parlance.functions.text import words
 from parlance.functions.tokens import tokenise
 from parlance.operators.blocks import MAX_QUERIES, sql_type
 from parlance.operators.index import text_hash
-from parlance.operators.search import K1, B, fused_topk
+from parlance.operators.search import fused_topk, words_topk
 from parlance.operators.vectors import plain
-from parlance.sizing import small_side, top_n
+from parlance.sizing import small_side
 from parlance.sources.buckets import bucket_of
 from parlance.sources.tables import overwrite_table, quoted, recover_table, table_or_none
 
@@ -104,7 +104,8 @@ def _found(spark: SparkSession, terms: DataFrame, name: str, key: str) -> tuple[
     live = spark.table(quoted(name))
     total = live.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     found = _read(spark, name, parts).join(vocabulary, "term", "left_semi")
-    return total, found.join(live.select(key, "content_hash"), [key, "content_hash"], "left_semi").select("term", key, "tf", "length").checkpoint()
+    found = found.join(small_side(live.select(key, "content_hash")), [key, "content_hash"], "left_semi")
+    return total, found.select("term", key, "tf", "length").checkpoint()
 
 
 def _weights(found: DataFrame, total: Row) -> DataFrame:
@@ -112,18 +113,37 @@ def _weights(found: DataFrame, total: Row) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + (total["n"] - df + 0.5) / (df + 0.5)).alias("idf"))
 
 
-def postings_topk(queries: DataFrame, name: str, k: int, key: str, query_id: str = "query_id", query_text: str = "query_text") -> DataFrame:
+def _asked(queries: DataFrame, found: DataFrame, total: Row, query_id: str, query_text: str, *more: str) -> DataFrame:
+    """Per query its terms that some document has, with their weights."""
+    terms = queries.select(query_id, F.explode(F.array_distinct(words(F.col(query_text)))).alias("term"))
+    weighted = terms.join(small_side(_weights(found, total)), "term").groupBy(query_id).agg(
+        F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idf"))
+    return queries.select(query_id, *more).join(weighted, query_id, "left").select(
+        query_id, F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.coalesce("idf", F.array().cast("array<double>")).alias("idf"),
+        F.lit(total["mean"]).cast("double").alias("mean_length"), *more)
+
+
+def _by_document(found: DataFrame, key: str) -> DataFrame:
+    """The found postings of each document together: no more than the queries' different terms."""
+    return found.groupBy(key).agg(F.collect_list(F.struct("term", "tf")).alias("counted"), F.max("length").alias("length"))
+
+
+def _match(words_: object, batch: pa.RecordBatch) -> tuple:
+    return words_.match_counted(plain(batch.column("counted")), batch.column("length").to_numpy())
+
+
+def postings_topk(
+    queries: DataFrame, name: str, k: int, key: str, query_id: str = "query_id", query_text: str = "query_text", max_queries: int = MAX_QUERIES,
+) -> DataFrame:
     """BM25 top ``k`` per query from the stored index: query id, key, score, rank.
 
-    Query terms meet the postings on the term; counts of a frequent term combine before their shuffle.
+    The postings of the queries' terms are gathered once per document and scored there for all queries, so rows of
+    queries and documents never multiply.
     """
-    terms = queries.where(F.col(query_text).isNotNull()).select(query_id, F.explode(F.array_distinct(words(F.col(query_text)))).alias("term"))
-    asked = small_side(terms)
-    total, found = _found(queries.sparkSession, asked, name, key)
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(total["mean"])))
-    scored = found.join(small_side(_weights(found, total)), "term").join(asked, "term").groupBy(query_id, key).agg(
-        F.round(F.sum(F.col("idf") * saturated), 10).alias("score"))
-    return top_n(scored, [query_id], [F.col("score").desc(), F.col(key)], k)
+    queries = queries.where(F.col(query_text).isNotNull()).select(query_id, query_text).checkpoint()
+    terms = queries.select(F.explode(words(F.col(query_text))).alias("term"))
+    total, found = _found(queries.sparkSession, terms, name, key)
+    return words_topk(_asked(queries, found, total, query_id, query_text), _by_document(found, key), _match, k, query_id, key, max_queries)
 
 
 def hybrid_postings_topk(
@@ -138,18 +158,10 @@ def hybrid_postings_topk(
     """
     spark = queries.sparkSession
     queries = queries.where(F.col(query_text).isNotNull()).select(query_id, query_text, query_vector).checkpoint()
-    terms = queries.select(query_id, F.explode(F.array_distinct(words(F.col(query_text)))).alias("term"))
     index = index.where(F.col(vector).isNotNull()).select(key, vector)
-    total, found = _found(spark, terms, name, key)
-    weighted = terms.join(small_side(_weights(found, total)), "term").groupBy(query_id).agg(
-        F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idf"))
-    none = F.array().cast("array<string>"), F.array().cast("array<double>")
-    asked = queries.select(query_id, query_vector).join(weighted, query_id, "left").select(
-        query_id, F.coalesce("terms", none[0]).alias("terms"), F.coalesce("idf", none[1]).alias("idf"),
-        F.lit(total["mean"]).cast("double").alias("mean_length"), query_vector).checkpoint()
-    counted = found.groupBy(key).agg(F.collect_list(F.struct("term", "tf")).alias("counted"), F.max("length").alias("length"))
-    docs = index.join(counted, key, "left").select(
+    total, found = _found(spark, queries.select(F.explode(words(F.col(query_text))).alias("term")), name, key)
+    asked = _asked(queries, found, total, query_id, query_text, query_vector).checkpoint()
+    docs = index.join(_by_document(found, key), key, "left").select(
         key, vector, F.coalesce("counted", F.array().cast("array<struct<term: string, tf: bigint>>")).alias("counted"),
         F.coalesce("length", F.lit(0).cast("long")).alias("length")).checkpoint()  # both passes read it
-    return fused_topk(asked, docs, lambda words, batch: words.match_counted(plain(batch.column("counted")), batch.column("length").to_numpy()),
-                      k, query_id, query_vector, key, vector, max_queries)
+    return fused_topk(asked, docs, _match, k, query_id, query_vector, key, vector, max_queries)

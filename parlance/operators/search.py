@@ -180,6 +180,14 @@ def keyword_topk(
     """BM25 top ``k`` per query: query id, id, score, rank.  Only documents that share a term are results."""
     texts = _texts(corpus, corpus_id, corpus_text)
     prepared = _weighted_queries(queries, texts, query_id, query_text)
+    return words_topk(prepared, texts, lambda words, batch: words.match(batch.column("text")), k, query_id, corpus_id, max_queries)
+
+
+def words_topk(
+    prepared: DataFrame, corpus: DataFrame, match: Callable[[_Keywords, pa.RecordBatch], tuple], k: int, query_id: str, corpus_id: str, max_queries: int,
+) -> DataFrame:
+    """BM25 top ``k`` of weighted queries; ``match`` finds the query terms of a batch of documents."""
+    queries = prepared
     schema = f"{query_id} {sql_type(queries, query_id)}, {corpus_id} {sql_type(corpus, corpus_id)}, score double"
     target = arrow_schema(schema)
 
@@ -190,7 +198,7 @@ def keyword_topk(
             self.top = TopK(len(self.names), k)
 
         def feed(self, batch):
-            ids, matched = batch.column(corpus_id).to_pylist(), self.keywords.match(batch.column("text"))
+            ids, matched = batch.column(corpus_id).to_pylist(), match(self.keywords, batch)
             for tile in tiles(len(ids), len(self.names)):
                 self.top.add(None, ids[tile], self.keywords.scores(matched, tile))
             return ()
@@ -198,7 +206,7 @@ def keyword_topk(
         def finish(self):
             yield to_table([(self.names[q], key, s) for _, q, key, s, _ in self.top.rows()], target)
 
-    partial = score_join(prepared, texts, query_id, Search, schema, max_queries)
+    partial = score_join(prepared, corpus, query_id, Search, schema, max_queries)
     return top_n(partial, [query_id], [F.col("score").desc(), F.col(corpus_id)], k)
 
 
