@@ -72,7 +72,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[k] = both >= threshold * (len(x) + len(y) - both)
+                    good[k] = both + 1e-9 >= threshold * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     first = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
@@ -81,12 +81,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
-    """(node, key) of the rarest shingles that a similar text has to share; only keys that two texts have."""
+    """(node, key, centre) of the rarest shingles that a similar text has to share; only keys that two texts have.
+
+    ``centre`` is the mean logarithm of the document frequencies of a text's shingles: edits make shingles that no other text
+    has, so of a group of edited copies the original has the highest.
+    """
     held = nodes.select("node", F.posexplode("samples").alias("which", "sample")).select(
         "node", "which", F.explode("sample.keys").alias("key"))
     common = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     ranked = held.join(common, "key").groupBy("node", "which").agg(
         F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ranked"))  # a sample is bounded
+    ranked = stored(ranked.withColumn("total", F.aggregate("ranked", F.lit(0.0), lambda s, x: s + F.log(x["df"]))), "near-ranked")
     sizes = nodes.select("node", F.posexplode("samples").alias("which", "sample")).select(
         "node", "which", F.size("sample.keys").alias("n"), F.col("sample.overlap").alias("overlap"))
     # Shingles that no other text has are the rarest: they fill the prefix first.
@@ -94,11 +99,68 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
     chosen = ranked.join(sizes, ["node", "which"]).withColumn("left", left).where("left > 0").select(
         "node", F.explode(F.slice("ranked", F.lit(1), F.col("left"))).alias("first")).select("node", F.col("first.key").alias("key")).distinct()
     chosen = stored(chosen, "near-prefixes")
-    shared = stored(chosen.join(chosen.groupBy("key").count().where("count > 1").select("key"), "key"), "near-keys")
+    centres = ranked.where("which = 0").join(sizes, ["node", "which"]).select("node", F.round(F.col("total") / F.col("n"), 6).alias("centre"))
+    shared = chosen.join(chosen.groupBy("key").count().where("count > 1").select("key"), "key").join(centres, "node", "left")
+    shared = stored(shared.select("node", "key", F.coalesce("centre", F.lit(0.0)).alias("centre")), "near-keys")
     discard(chosen)
+    discard(ranked)
     return shared
 
 
+def _beyond_hubs(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different roots that may be similar, of ``members`` (hub, node, root) with the same hub.
+
+    Let D be the symmetric difference of a text's set and its hub's set, and c = (1 - t) / (1 + t).  Sets x and y are similar if
+    and only if their own symmetric difference, |Dx| + |Dy| - 2 |Dx and Dy|, is at most c (|x| + |y|).  So the overlap of Dx and Dy
+    has a lower bound.  Where y is not similar to the hub it is more than (1 - c) / 2 of |Dx|; in any case it is at least
+    |Dx| - |x| (1 - t) / t.  What all copies have from the hub is in no D, and edits that only one text has are in one D: the
+    prefix filter over D, rarest first, leaves the pairs that share rare edits.  No pair above the threshold is lost.
+    """
+    c = (1 - threshold) / (1 + threshold)
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, far, found = [], [], []
+            for x, h in zip(batch["own_set"], batch["hub_set"]):
+                x, h = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(h.as_buffer(), "<u8")
+                diff = np.setxor1d(x, h, assume_unique=True)
+                sizes.append(len(x))
+                far.append(len(diff) > c * (len(x) + len(h)) + 1e-9)
+                found.append(diff.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch["hub"], batch["node"], batch["root"], pa.array(sizes, pa.int32()), pa.array(far), pa.array(found, pa.list_(pa.int64()))],
+                names=["hub", "node", "root", "n", "far", "diff"])
+
+    own, hub = (sets.select(F.col("node").alias(c), F.col("set").alias(f"{s}_set")) for c, s in (("node", "own"), ("hub", "hub")))
+    rows = members.where("hub <> node").distinct().join(own, "node").join(hub, "hub").select("hub", "node", "root", "own_set", "hub_set")
+    rows = stored(rows.mapInArrow(differences, "hub long, node long, root long, n int, far boolean, diff array<bigint>"), "near-differences")
+    held = rows.select("hub", "node", F.explode("diff").alias("key"))
+    common = held.groupBy("hub", "key").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = held.join(common, ["hub", "key"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ranked"))
+    d, tiny = F.size("diff"), 1e-9
+    least = F.greatest(F.lit(1), F.ceil(d - F.col("n") * ((1 - threshold) / threshold) - tiny).cast("int"))
+    half = F.floor(d * ((1 - c) / 2) - tiny).cast("int") + 1
+    # Ranks up to which a similar text shares something: one for partners far from the hub, one for partners near it.
+    reach = rows.select("hub", "node", "root", "n", "far", d.alias("d"), (d - F.greatest(least, half) + 1).alias("to_far"),
+                        F.when(F.col("far"), d - least + 1).otherwise(0).alias("to_near"))
+    placed = reach.join(ranked, ["hub", "node"]).select("*", F.posexplode("ranked").alias("at", "first")).select(
+        "hub", "node", "root", "n", "far", "d", "to_far", "to_near", F.col("first.key").alias("key"),
+        (F.col("d") - F.size("ranked") + F.col("at") + 1).alias("rank")).where(F.col("rank") <= F.greatest("to_far", "to_near"))
+    placed = stored(placed, "near-edits")
+    a, b = placed.alias("a"), placed.alias("b")
+    need = (F.col("a.d") + F.col("b.d") - c * (F.col("a.n") + F.col("b.n"))) / 2
+    rest = F.least(F.col("a.d") - F.col("a.rank"), F.col("b.d") - F.col("b.rank")) + 1  # what can still be shared from here on
+    within = F.when(F.col("b.far"), F.col("a.rank") <= F.col("a.to_far")).otherwise(F.col("a.rank") <= F.col("a.to_near")) & F.when(
+        F.col("a.far"), F.col("b.rank") <= F.col("b.to_far")).otherwise(F.col("b.rank") <= F.col("b.to_near"))
+    sizes = F.least("a.n", "b.n") + tiny >= threshold * F.greatest("a.n", "b.n")
+    met = (F.col("a.hub") == F.col("b.hub")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (
+        F.col("a.root") != F.col("b.root")) & within & sizes & (need <= rest + tiny)
+    pairs = stored(a.join(b, met).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "near-pairs")
+    discard(rows)
+    discard(placed)
+    return pairs
+
+
 def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
     """(own, component_id) for every different ``own`` of ``docs`` (doc_id, text, own), where own identifies the text.
 
@@ -106,8 +168,8 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5)
     lend no id; a component of NULL ids only has component id NULL.  Repeated rows change nothing; an empty table gives no rows.
     Other columns are ignored.
 
-    Texts of a bucket are first compared with one text of it, which connects groups of copies with a row per
-    text.  Only texts that are still in different components are then compared pair by pair, so that no link is missed.
+    Texts of a bucket are first compared with its most central text, which connects groups of copies with a row per text.  Buckets that
+    are still in different components are then searched for pairs that share edits of that text, so that no link is missed.
     """
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,20 +213,19 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5)
     used = [golay, shared, sets]
     links, roots = None, nodes.select("node", F.col("node").alias("root"))
     for step in ("golay", "one", "hubs", "pairs"):
-        placed = shared.join(roots, "node").select("key", "node", "root")
-        hubs = placed.groupBy("key").agg(F.min(F.struct("root", "node")).alias("hub"), F.max("root").alias("most")).where("hub.root <> most")
+        placed = shared.join(roots, "node").select("key", "centre", "node", "root")
+        hubs = placed.groupBy("key").agg(
+            F.max(F.struct("centre", (-F.col("node")).alias("minus"), "node", "root")).alias("hub"),
+            F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
         apart = placed.join(hubs.select("key", "hub"), "key")
         if step == "golay":
-            pairs = golay
+            tried = stored(golay, "near-pairs")
         elif step == "pairs":
-            apart = stored(apart.select("key", "node", "root"), "near-apart")
-            used.append(apart)
-            a, b = apart.toDF("key", "a", "root_a"), apart.toDF("key", "b", "root_b")
-            pairs = a.join(b, "key").where("a < b and root_a <> root_b").select("a", "b").distinct()
+            tried = _beyond_hubs(apart.select(F.col("hub.node").alias("hub"), "node", "root"), sets, threshold)
         else:
             others = apart.where("hub.root <> root").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub"))
-            pairs = others.groupBy("b").agg(F.min("hub")["node"].alias("a")).select("a", "b") if step == "one" else others.select("a", "b").distinct()
-        tried = stored(pairs, "near-pairs")
+            pairs = others.groupBy("b").agg(F.max("hub")["node"].alias("a")).select("a", "b") if step == "one" else others.select("a", "b").distinct()
+            tried = stored(pairs, "near-pairs")
         found = _verified(tried, sets, threshold)
         links = found if links is None else links.union(found)
         joined = components(links)

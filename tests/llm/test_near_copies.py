@@ -115,3 +115,28 @@ def test_recall_at_the_threshold(spark):
         pairs += len(a & b) / len(a | b) >= 0.8
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
     assert pairs > 100 and len(rows) - len(kept(spark, docs)) >= 0.99 * pairs
+
+
+def test_edited_copies_of_one_text(spark, monkeypatch):
+    """Copies with many edits meet in every bucket; only those that share edits are compared, and no link is lost."""
+    from parlance.llm import near_copies
+
+    draw = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(words))]
+    for n in range(1, 400):
+        other = list(words)
+        for p in draw.choice(150, int(draw.integers(1, 14)), replace=False):
+            other[p] = f"e{n}x{p}" if draw.random() < 0.7 else ""
+        if n % 5 == 0:  # a copy of a copy with a few more edits
+            other = rows[-1][1].split()
+            for p in draw.choice(len(other), 2, replace=False):
+                other[p] = f"f{n}x{p}"
+        rows.append((n, " ".join(other)))
+    draw.shuffle(rows)
+    rows = [(k, text) for k, (_, text) in enumerate(rows)]
+    tried, beyond = [], near_copies._beyond_hubs
+    monkeypatch.setattr(near_copies, "_beyond_hubs", lambda *given: tried.append(beyond(*given)) or tried[-1].cache())
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    assert kept(spark, docs) == brute_heads(*map(list, zip(*rows)))
+    assert 0 < tried[0].count() < len(rows) * 10  # of 79,800 pairs
