@@ -18,17 +18,18 @@ BOILERPLATE = ["all rights reserved", "terms of use", "terms of service", "priva
                "enable javascript", "lorem ipsum", "powered by"]
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•"
-ENDS = ".!?:;…。！？"
+ENDS = ".!?:;…。！？।॥؟۔።"
 CLOSERS = ")]}\"'’”»" + BLANKS + " "
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """Bounds of the rules; all shares are of characters."""
+    """Bounds of the rules; all shares are of characters outside white space, those of phrases of letters and digits."""
 
     max_symbol_share: float = 0.1
     max_separators: int = 2
     max_shout_share: float = 0.05
+    max_phrase_share: float = 0.2
     long_line_chars: int = 200
     min_kept_share: float = 0.5
     min_words: int = 10
@@ -43,25 +44,31 @@ def count_of(text: Column, characters: str) -> Column:
     return F.char_length(text) - F.char_length(rest)
 
 
-def any_of(text: Column, phrases: list[str]) -> Column:
-    found = F.contains(text, F.lit(phrases[0]))
-    for phrase in phrases[1:]:
-        found = found | F.contains(text, F.lit(phrase))
-    return found
+def solid(text: Column) -> Column:
+    """Number of characters outside white space."""
+    return F.char_length(F.translate(text, BLANKS + " ", ""))
 
 
-def line_passes(line: Column, low: Column, rules: LineRules) -> Column:
-    """Punctuation, navigation and boilerplate rules for one line that has a word; ``low`` is the line in lower case.
+def phrase_pattern() -> str:
+    """Phrases as they stand in plain words: two blanks between words, so that neighbours do not share one."""
+    return "|".join(f" {phrase.replace(' ', '  ')} " for phrase in NAVIGATION + BOILERPLATE)
 
-    A line passes if it holds few symbols and few ``!``, ends a sentence or is long, is no list of
-    separated entries, and names none of the phrases.
+
+def line_passes(line: Column, plain: Column, rules: LineRules) -> Column:
+    """Punctuation, navigation and boilerplate rules for one line that has a word.
+
+    ``plain`` is the line in lower case with two blanks for all that is no letter or digit.  A line passes if it holds few symbols
+    and few ``!``, ends a sentence or is long, is no list of separated entries, and phrases that stand in it as whole words make up
+    little of it: a phrase fails a short line, not a paragraph that mentions it.
     """
-    size = F.char_length(line)
+    size, written = solid(line), F.concat(F.lit(" "), plain, F.lit(" "))
     last = F.substring(F.rtrim(line, F.lit(CLOSERS)), -1, 1)
     punctuated = last.isin(*ENDS) | (size >= rules.long_line_chars)
     calm = (count_of(line, SYMBOLS) <= rules.max_symbol_share * size) & (count_of(line, "!") <= rules.max_shout_share * size)
-    navigation = (count_of(line, SEPARATORS) > rules.max_separators) | any_of(low, NAVIGATION)
-    return punctuated & calm & ~navigation & ~any_of(low, BOILERPLATE)
+    listed = count_of(line, SEPARATORS) > rules.max_separators
+    letters = F.char_length(F.replace(written, F.lit(" "), F.lit("")))
+    left = F.char_length(F.replace(F.regexp_replace(written, phrase_pattern(), ""), F.lit(" "), F.lit("")))
+    return punctuated & calm & ~listed & (letters - left <= rules.max_phrase_share * letters)
 
 
 def repeat_starts() -> Column:
@@ -88,7 +95,8 @@ def clean_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = Line
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumns({"__t": text}).withColumns({
-        "__w": F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)), "__l": F.split("__t", "\n"), "__low": F.split(F.lower("__t"), "\n")})
+        "__w": F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)), "__l": F.split("__t", "\n"),
+        "__plain": F.split(F.regexp_replace(F.lower("__t"), r"[^\p{L}\p{N}\n]+", "  "), "\n")})
     n = F.size("__w")
     hashes = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get("__w", i + k) for k in range(5)]))
     out = out.withColumns({
@@ -98,7 +106,7 @@ def clean_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = Line
         "n_symbols": F.regexp_count("__t", F.lit(f"[{SYMBOLS}]")).cast("long"),
         "__h": F.when(n >= 5, hashes).otherwise(F.array().cast("array<bigint>")),
         "clean_text": F.array_join(F.filter(
-            "__l", lambda line, i: has_word(line) & line_passes(line, F.get("__low", i), rules)), "\n"),
+            "__l", lambda line, i: has_word(line) & line_passes(line, F.get("__plain", i), rules)), "\n"),
     })
     out = out.withColumn("n_dup_lines", (F.size("__lw") - F.size(F.array_distinct("__lw"))).cast("long"))
     placed = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -107,8 +115,8 @@ def clean_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = Line
     out = out.withColumn("n_repeat_words", F.when(F.col("__s").isNotNull(), covered_words()).otherwise(F.lit(0).cast("long")))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.char_length("clean_text") >= rules.min_kept_share * F.char_length("__t"))
-    ).drop("__t", "__w", "__l", "__low", "__lw", "__h", "__p", "__s")
+        "kept", ~F.col("base_failed") & (solid(F.col("clean_text")) >= rules.min_kept_share * solid(F.col("__t")))
+    ).drop("__t", "__w", "__l", "__plain", "__lw", "__h", "__p", "__s")
 
 
 _BLANK = r"[\x20\x09-\x0D]"
@@ -122,11 +130,14 @@ def _sql(rules: LineRules = LineRules()) -> str:
         return f"(length({x}) - length(translate({x}, '{chars}', '')))"
 
     tail = "".join("\\" + c if c in ")]}" else c for c in CLOSERS.strip()).replace("'", "''")
-    passes = f"""({of('l', SYMBOLS)} <= {rules.max_symbol_share}::DOUBLE * length(l)
-        AND (regexp_matches(l, '[{ENDS}][{tail}\\x20\\x09-\\x0D]*$') OR length(l) >= {rules.long_line_chars})
-        AND {of('l', '!')} <= {rules.max_shout_share}::DOUBLE * length(l)
+    written = "concat(' ', regexp_replace(lower(l), '[^\\p{L}\\p{N}]+', '  ', 'g'), ' ')"
+    letters = f"length(replace({written}, ' ', ''))"
+    left = f"length(replace(regexp_replace({written}, '{phrase_pattern()}', '', 'g'), ' ', ''))"
+    passes = f"""({of('l', SYMBOLS)} <= {rules.max_symbol_share}::DOUBLE * {solid_sql('l')}
+        AND (regexp_matches(l, '[{ENDS}][{tail}\\x20\\x09-\\x0D]*$') OR {solid_sql('l')} >= {rules.long_line_chars})
+        AND {of('l', '!')} <= {rules.max_shout_share}::DOUBLE * {solid_sql('l')}
         AND {of('l', SEPARATORS)} <= {rules.max_separators}
-        AND NOT regexp_matches(lower(l), '{"|".join(NAVIGATION)}') AND NOT regexp_matches(lower(l), '{"|".join(BOILERPLATE)}'))"""
+        AND {letters} - {left} <= {rules.max_phrase_share}::DOUBLE * {letters})"""
     return f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
         w AS (SELECT *, list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda x: x <> '') AS w,
@@ -142,7 +153,7 @@ def _sql(rules: LineRules = LineRules()) -> str:
             FROM w LEFT JOIN n USING (r)),
         f AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-            NOT base_failed AND length(clean) >= {rules.min_kept_share}::DOUBLE * length(t) AS kept,
+            NOT base_failed AND {solid_sql('clean')} >= {rules.min_kept_share}::DOUBLE * word_chars AS kept,
             length(clean)::BIGINT AS clean_chars FROM f"""
 
 
