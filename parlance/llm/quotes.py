@@ -18,6 +18,16 @@ MARKS = r"^[\x20\t]*((?:>[\x20\t]?)+)"
 FIRST_MARK = r"^[\x20\t]*>[\x20\t]?"
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns of our own that ``df`` does not have."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        names.append(stem)
+    return names
+
+
 def level_of(line: Column) -> Column:
     """Number of quote marks that begin a line."""
     marks = F.regexp_extract(line, MARKS, 1)
@@ -44,20 +54,21 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     columns replace columns of the same name.
     """
     lines = F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: F.struct(level_of(x).alias("level"), x.alias("line")))
-    out = messages.withColumn("__lines", lines)
-    out = out.withColumn("__levels", F.array_sort(F.array_distinct(F.filter(F.col("__lines.level"), lambda n: n > 0))))
+    line, depth = fresh(messages, "__lines", "__levels")
+    out = messages.withColumn(line, lines)
+    out = out.withColumn(depth, F.array_sort(F.array_distinct(F.filter(F.col(f"{line}.level"), lambda n: n > 0))))
 
     def joined(level: Column) -> Column:
-        rows = F.filter("__lines", lambda x: x["level"] == level)
+        rows = F.filter(line, lambda x: x["level"] == level)
         return F.array_join(F.transform(rows, lambda x: F.regexp_replace(x["line"], MARKS, "")), "\n")
 
-    one_less = F.transform(F.filter("__lines", lambda x: x["level"] > 0), lambda x: F.regexp_replace(x["line"], FIRST_MARK, ""))
+    one_less = F.transform(F.filter(line, lambda x: x["level"] > 0), lambda x: F.regexp_replace(x["line"], FIRST_MARK, ""))
     return out.withColumns({
-        "own_text": F.trim(F.array_join(F.transform(F.filter("__lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), F.lit(" \n\r\t")),
-        "quotes": F.transform("__levels", lambda n: F.struct(n.alias("level"), joined(n).alias("passage"))),
+        "own_text": F.trim(F.array_join(F.transform(F.filter(line, lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), F.lit(" \n\r\t")),
+        "quotes": F.transform(depth, lambda n: F.struct(n.alias("level"), joined(n).alias("passage"))),
         "answered": F.array_join(one_less, "\n"),
-        "n_levels": F.coalesce(F.array_max("__levels"), F.lit(0)).cast("long"),
-    }).drop("__lines", "__levels")
+        "n_levels": F.coalesce(F.array_max(depth), F.lit(0)).cast("long"),
+    }).drop(line, depth)
 
 
 def link_quotes(messages: DataFrame, id_col: str = "message_id", text_col: str = "text", within: tuple[str, ...] = ()) -> DataFrame:
@@ -67,8 +78,9 @@ def link_quotes(messages: DataFrame, id_col: str = "message_id", text_col: str =
     the passage of the first level as its own text and quotes the passage of the second; failing that, the
     smallest with the first alone.  Only smaller ids with equal values in ``within`` (a mailbox, a list)
     qualify, so links cannot form a circle.  NULL ids are kept and neither link nor are linked to.  Rows
-    that repeat an id all get the smallest link.  Columns that begin with ``__`` are internal.
+    that repeat an id all get the smallest link.  An empty table gives no rows.  A column of the name of an added one is replaced.
     """
+    messages = messages.drop("parent_id")
     keys, own = list(within), F.col("own_text")
     first, second = (F.get(F.col("quotes"), k)["passage"] for k in (0, 1))
     parsed = parse_quotes(messages, text_col)
@@ -93,8 +105,11 @@ def build_conversations(linked: DataFrame, id_col: str = "message_id") -> DataFr
 
     Pointers to ancestors are doubled until all end at a root, so the number of rounds grows with the logarithm
     of the longest chain; messages whose pointer has arrived take no part in further rounds.  Messages are ordered by
-    depth, then by id.
+    depth, then by id.  A NULL id is a conversation of its own at depth 0.  Rows that repeat an id take a position each.  Added columns
+    replace columns of the same name; all others are kept.
     """
+    linked = linked.drop("conversation_id", "depth", "position")
+    own_id, own_up, own_depth = fresh(linked, "__id", "__up", "__depth")
     at = linked.select(F.col(id_col).alias("__id"), F.coalesce("parent_id", id_col).alias("__up")).where("__id is not null").distinct()
     moving = F.col("__id") != F.col("__up")
     at = stored(at.withColumns({"__depth": moving.cast("long"), "__moving": moving}), "quote-links")
@@ -104,16 +119,18 @@ def build_conversations(linked: DataFrame, id_col: str = "message_id") -> DataFr
         moved = at.where("__moving").join(upper, "__up", "left").select(
             "__id", F.coalesce("__top", "__up").alias("__up"), (F.col("__depth") + more).alias("__depth"), (more > 0).alias("__moving"))
         at = stored(at.where("not __moving").unionByName(moved), "quote-links")
-    at = at.drop("__moving")
-    placed = linked.join(at, F.col(id_col) == F.col("__id"), "left").withColumns({
-        "conversation_id": F.coalesce("__up", id_col), "depth": F.coalesce("__depth", F.lit(0)).cast("long")})
-    return number_rows(placed.drop("__id", "__up", "__depth"), [F.col("depth"), F.col(id_col)], ["conversation_id"], "position")
+    at = at.select(F.col("__id").alias(own_id), F.col("__up").alias(own_up), F.col("__depth").alias(own_depth))
+    placed = linked.join(at, F.col(id_col) == F.col(own_id), "left").withColumns({
+        "conversation_id": F.coalesce(own_up, id_col), "depth": F.coalesce(own_depth, F.lit(0)).cast("long")})
+    return number_rows(placed.drop(own_id, own_up, own_depth), [F.col("depth"), F.col(id_col)], ["conversation_id"], "position")
 
 
 def as_mail(conversations: DataFrame, levels: int = 3) -> DataFrame:
     """Turns as messages that quote the turns before them, the nearest at level 1 and older ones deeper.
 
     ``message_id`` is the pair (conv_id, n), so a conversation may have any number of turns and any id.
+    Turns are numbered by (turn, text), NULLs first; rows without a conv_id are one conversation.  A turn that repeats is a message of its
+    own, a NULL text an empty message.  An empty table gives no rows.
     """
     numbered = number_rows(conversations.select("conv_id", "turn", "role", "text"), [F.col("turn"), F.col("text")], ["conv_id"], "n")
     sent = numbered.withColumn("k", F.explode(F.array(*map(F.lit, range(levels + 1))))).withColumn("n", F.col("n") + F.col("k"))
@@ -127,14 +144,14 @@ def as_mail(conversations: DataFrame, levels: int = 3) -> DataFrame:
 
 SQL = """
     WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations)
-    SELECT conv_id * 1048576 + n AS message_id, role, sha256(coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '')) AS own_sha256,
-        least(n - 1, 3)::BIGINT AS n_levels, CASE WHEN n > 1 THEN conv_id * 1048576 + n - 1 END AS parent_id,
-        conv_id * 1048576 + 1 AS conversation_id, n - 1 AS depth, n - 1 AS position FROM m"""
+    SELECT concat_ws(':', conv_id, n) AS message_id, role, sha256(coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '')) AS own_sha256,
+        least(n - 1, 3)::BIGINT AS n_levels, CASE WHEN n > 1 THEN concat_ws(':', conv_id, n - 1) END AS parent_id,
+        concat_ws(':', conv_id, 1) AS conversation_id, n - 1 AS depth, n - 1 AS position FROM m"""
 
 
 def printed_id(column: str) -> Column:
-    """A pair (conv_id, n) as the single number that the SQL twin has for it."""
-    return (F.col(f"{column}.conv_id") * 1048576 + F.col(f"{column}.n")).alias(column)
+    """A pair (conv_id, n) as text, NULL without a message: no bound on either number, and no two pairs print alike."""
+    return F.when(F.col(f"{column}.n").isNotNull(), F.concat_ws(":", f"{column}.conv_id", f"{column}.n")).alias(column)
 
 
 @query("op2_chat_formatting", SQL)

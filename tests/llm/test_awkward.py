@@ -130,8 +130,10 @@ def test_quotes(spark, empty):
     rows = [(1, "Hello there"), (2, "Yes\n> Hello there"), (3, None), (4, ""), (5, "> gone\nwhat"), (6, "no\n> Yes\n>> Hello there"),
             (None, "x\n> Hello there"), (7, "> \n>\nempty"), (2, "Yes\n> Hello there"), (8, LONG)]
     frame = spark.createDataFrame(rows, "message_id long, text string").withColumn("level", F.lit("x")).withColumn("parent_id", F.lit(9))
-    linked = link_quotes(frame.drop("parent_id"))
+    extra = ["__id", "__up", "__depth", "__moving", "__lines", "__levels", "__body", "__by_own", "conversation_id", "position", "mine"]
+    linked = link_quotes(frame.withColumns({c: F.lit("x") for c in extra}))
     out = build_conversations(linked).collect()
+    assert {r[c] for r in out for c in ("__id", "__up", "__depth", "__moving", "__lines", "__levels", "__body", "__by_own", "mine", "level")} == {"x"}
     assert len(out) == len(rows)
     got = {(r.message_id, r.parent_id, r.conversation_id, r.depth) for r in out}
     assert {(1, None, 1, 0), (2, 1, 1, 1), (6, 2, 1, 2), (5, None, 5, 0), (None, None, None, 0)} <= got
