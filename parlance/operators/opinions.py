@@ -84,13 +84,16 @@ def opinion_rejects(df: DataFrame, answer_col: str = "extracted_opinions", allow
     )
 
 
-def opinion_summary(opinions: DataFrame) -> DataFrame:
-    """Counts by class and sentiment with subtotals; ``ALL`` marks a total, ``UNKNOWN`` a missing value."""
+def opinion_summary(opinions: DataFrame, count: Column | None = None) -> DataFrame:
+    """Counts by class and sentiment with subtotals; ``ALL`` marks a total, ``UNKNOWN`` a missing value.
+
+    ``count`` is the aggregate to show, by default the number of rows.
+    """
     def label(column: str) -> Column:
         return F.when(F.col(f"__{column}") == 1, "ALL").otherwise(F.coalesce(column, F.lit("UNKNOWN"))).alias(column)
 
     counted = opinions.rollup("classification", "sentiment").agg(
-        F.count("*").alias("n_opinions"), F.grouping("classification").alias("__classification"),
+        (F.count("*") if count is None else count).alias("n_opinions"), F.grouping("classification").alias("__classification"),
         F.grouping("sentiment").alias("__sentiment"))
     return counted.select(label("classification"), label("sentiment"), "n_opinions")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text
 from parlance.operators import infer, opinions
+from parlance.operators.counts import OpinionCounts
 from parlance.plans.registry import SQL_WORDS, Tables, query
 from parlance.session import run_dir
 from parlance.sizing import spread
@@ -157,3 +158,16 @@ def opinion_stream(t: Tables) -> DataFrame:
         answers_stream(stream, table, "doc_id", "text", _answer(), checkpoint, F.struct("delivery", "text")).awaitTermination()
     found = opinions.current_opinions(documents, table, "doc_id", "text")
     return found.select("doc_id", "classification", "comment", "sentiment")
+
+
+@query(f"""{_OPINIONS}
+    SELECT CASE WHEN grouping(classification) = 1 THEN 'ALL' ELSE coalesce(classification, 'UNKNOWN') END AS classification,
+           CASE WHEN grouping(sentiment) = 1 THEN 'ALL' ELSE coalesce(sentiment, 'UNKNOWN') END AS sentiment, count(*) AS n_opinions FROM opinions GROUP BY ROLLUP (classification, sentiment)""")
+def opinion_counts_refresh(t: Tables) -> DataFrame:
+    """The summary from counts that two more snapshots and a delivery have changed by differences."""
+    view = OpinionCounts(t.spark, run_dir(t.spark, "opinion_counts"))
+    documents = t.documents.select("doc_id", "lang", "text")
+    for state in (_older(t), documents.where("lang <> 'fr'")):
+        view.refresh(spread(state), "doc_id", "text", _answer())
+    view.refresh(spread(documents.where("lang = 'fr' or lang is null")), "doc_id", "text", _answer(), partial=True)
+    return view.summary()
