@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from parlance.operators import feedback
 from parlance.plans.registry import Tables, query
 from parlance.session import run_dir
-from parlance.streaming.jobs import append_to, polarity_stream, read_table_stream
+from parlance.streaming.alerts import alert_stream
+from parlance.streaming.jobs import append_to, polarity_stream, read_stream, read_table_stream
 
 POSITIVE, NEGATIVE = ["purchase", "signup"], ["error"]
 MARKERS = ["BUILDING", "MACHINERY"]
@@ -94,3 +95,17 @@ def feedback_stream(t: Tables) -> DataFrame:
     counts = polarity_stream(events, "ts", ["user_id"], positive=POSITIVE, negative=NEGATIVE, reaction_col="event_type")
     append_to(counts, out, state).awaitTermination()
     return t.spark.read.schema(counts.schema).parquet(out)
+
+
+@query(f"WITH {_JUDGED} SELECT user_id, day FROM j WHERE negative_count > 1")
+def feedback_alert_stream(t: Tables) -> DataFrame:
+    """One alert per message with more than one negative reaction, over two deliveries with a restart between them."""
+    folder, out, state = (run_dir(t.spark, f"feedback_alerts_{part}") for part in ("in", "out", "state"))
+    events = t.events.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_type")
+    for delivery in ("day < '2024-01-16'", "day >= '2024-01-16'"):
+        events.where(delivery).write.mode("append").parquet(folder)
+        stream = read_stream(t.spark, folder, events.schema)
+        # The files of a delivery come in any order, so the delay covers a delivery.
+        alerts = alert_stream(stream, "ts", ["user_id", "day"], above=1, delay="16 days", negative=NEGATIVE, reaction_col="event_type")
+        append_to(alerts, out, state).awaitTermination()
+    return t.spark.read.schema(alerts.schema).parquet(out).select("user_id", "day")
