@@ -13,8 +13,18 @@ TRAILING_QUOTES = r'"* *"*$'
 
 WORD = r"[\p{L}\p{N}]+"
 
-# The five predefined XML entities, the apostrophe and the non-breaking space.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# The five predefined XML entities and the non-breaking space.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+_ENTITY = "&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|" + "|".join(name for name, _ in ENTITIES)
+
+# The rest of a tag: a quote counts after "=" only, and what it encloses may hold ">".  Possessive, so it never backtracks.
+_ATTRIBUTES = r"""(?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+_MARKUP = (
+    r"(?is)<!--.*?(?:-->|\z)"
+    rf"|<(script|style)(?=[\s/>]){_ATTRIBUTES}.*?(?:</\1(?=[\s/>])[^>]*>|\z)"
+    rf"|<head(?=[\s/>]){_ATTRIBUTES}.*?</head\s*>"
+    rf"|<[a-z/!?]{_ATTRIBUTES}"
+)
 
 
 def words(text: Column) -> Column:
@@ -33,17 +43,30 @@ def html_title(html: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """Visible text of a page: no scripts, styles, head, comments or tags; spaces collapsed."""
-    body = F.regexp_replace(html, r"(?is)<head(\s[^>]*)?>.*?</head>", " ")
-    body = F.regexp_replace(body, r"(?is)<script[^>]*>.*?</script>", " ")
-    body = F.regexp_replace(body, r"(?is)<style[^>]*>.*?</style>", " ")
-    body = F.regexp_replace(body, r"(?s)<!--.*?-->", " ")
-    body = unescape(F.regexp_replace(body, r"(?s)<[^>]*>", " "))
+    """Visible text of a page: no scripts, styles, head, comments or tags; spaces collapsed.
+
+    One pass from left to right, so that what stands inside a comment, a script or a quoted attribute begins nothing.  Comments,
+    scripts and styles that do not end reach to the end of the page; ``<`` before anything but a name is text.
+    """
+    body = unescape(F.regexp_replace(html, _MARKUP, " "))
     return F.trim(F.regexp_replace(body, r"[ \t\r\n]+", " "))
 
 
+def _character(entity: Column) -> Column:
+    """The character of an entity; numbers that are none give the replacement character."""
+    digits = F.regexp_extract(entity, "[0-9a-fA-F]+", 0)
+    code = F.when(F.lower(entity).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    named = reduce(lambda c, pair: c.when(entity == pair[0], pair[1]), ENTITIES[1:], F.when(entity == ENTITIES[0][0], ENTITIES[0][1]))
+    return F.when(F.substring(entity, 2, 1) == "#", numeric).otherwise(named)
+
+
 def unescape(text: Column) -> Column:
-    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, text)
+    """Named and numeric entities as characters, each once: ``&amp;lt;`` becomes ``&lt;``."""
+    between, found = F.split(text, _ENTITY), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    whole = F.array_join(F.zip_with(between, F.transform(found, _character), lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def url_host(url: Column) -> Column:
