@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,27 @@ import pyarrow.compute as pc
 
 NO_WORD = r"[^\p{L}\p{N}]+"
 
+# Tokens, their owners and codes take many times the bytes of a text, so a task works on this much of a batch at a time.
+PIECE_BYTES = 2 << 20
+_ENTRY_BYTES = 32  # a listed (term, tf)
+
+
+def cuts(sizes: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[slice]:
+    """Row ranges, in order, whose sizes add up to about ``limit``: less than that and one more row."""
+    starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // limit, prepend=-1))
+    return (slice(int(a), int(b)) for a, b in zip(starts, [*starts[1:], len(sizes)]))
+
+
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts that hold about ``limit`` bytes of a text column, or of a list column, each."""
+    values = batch.column(column)
+    if pa.types.is_list(values.type):
+        sizes = pc.multiply(pc.list_value_length(values).cast(pa.int64()), _ENTRY_BYTES)
+    else:
+        sizes = pc.binary_length(values).cast(pa.int64())
+    for part in cuts(sizes.fill_null(0).to_numpy(zero_copy_only=False), limit):
+        yield batch.slice(part.start, part.stop - part.start)
+
 
 @dataclass
 class Tokens:

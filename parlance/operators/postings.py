@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.text import words
-from parlance.functions.tokens import tokenise
+from parlance.functions.tokens import pieces, tokenise
 from parlance.operators.blocks import MAX_QUERIES, sql_type
 from parlance.operators.index import text_hash
 from parlance.operators.search import fused_topk, words_topk
@@ -38,7 +38,7 @@ def _terms(source: DataFrame, key: str, text: Column) -> DataFrame:
     schema = f"term string, {key} {sql_type(given, key)}, content_hash string, tf long, length long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             tokens = tokenise(batch["text"])
             coded = tokens.flat.cast(pa.string()).dictionary_encode()
             width = max(len(coded.dictionary), 1)
@@ -143,7 +143,7 @@ def postings_topk(
     queries = queries.where(F.col(query_text).isNotNull()).select(query_id, query_text).checkpoint()
     terms = queries.select(F.explode(words(F.col(query_text))).alias("term"))
     total, found = _found(queries.sparkSession, terms, name, key)
-    return words_topk(_asked(queries, found, total, query_id, query_text), _by_document(found, key), _match, k, query_id, key, max_queries)
+    return words_topk(_asked(queries, found, total, query_id, query_text), _by_document(found, key), "counted", _match, k, query_id, key, max_queries)
 
 
 def hybrid_postings_topk(
@@ -164,4 +164,4 @@ def hybrid_postings_topk(
     docs = index.join(_by_document(found, key), key, "left").select(
         key, vector, F.coalesce("counted", F.array().cast("array<struct<term: string, tf: bigint>>")).alias("counted"),
         F.coalesce("length", F.lit(0).cast("long")).alias("length")).checkpoint()  # both passes read it
-    return fused_topk(asked, docs, _match, k, query_id, query_vector, key, vector, max_queries)
+    return fused_topk(asked, docs, "counted", _match, k, query_id, query_vector, key, vector, max_queries)

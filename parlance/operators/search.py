@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.tokens import tokenise
+from parlance.functions.tokens import pieces, tokenise
 from parlance.operators.blocks import MAX_QUERIES, arrow_schema, score_join, sql_type
 from parlance.operators.vectors import TopK, cosines, rounded, tiles, to_table, unit_rows, vector_topk, with_vector
 from parlance.session import shared_dir
@@ -40,7 +40,7 @@ def _term_counts(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
         wanted = texts.sparkSession.sparkContext.broadcast(vocabulary.toArrow().column(0).combine_chunks())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             tokens = tokenise(batch.column("text"))
             lengths = tokens.lengths()
             if wanted is None:
@@ -71,7 +71,7 @@ def _weighted_queries(queries: DataFrame, texts: DataFrame, query_id: str, query
     id_type = sql_type(queries, query_id)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, query_text)):
             tokens = tokenise(batch.column(1))
             ids = batch.column(0)
             yield pa.RecordBatch.from_arrays([
@@ -180,13 +180,14 @@ def keyword_topk(
     """BM25 top ``k`` per query: query id, id, score, rank.  Only documents that share a term are results."""
     texts = _texts(corpus, corpus_id, corpus_text)
     prepared = _weighted_queries(queries, texts, query_id, query_text)
-    return words_topk(prepared, texts, lambda words, batch: words.match(batch.column("text")), k, query_id, corpus_id, max_queries)
+    return words_topk(prepared, texts, "text", lambda words, batch: words.match(batch.column("text")), k, query_id, corpus_id, max_queries)
 
 
 def words_topk(
-    prepared: DataFrame, corpus: DataFrame, match: Callable[[_Keywords, pa.RecordBatch], tuple], k: int, query_id: str, corpus_id: str, max_queries: int,
+    prepared: DataFrame, corpus: DataFrame, content: str, match: Callable[[_Keywords, pa.RecordBatch], tuple], k: int, query_id: str, corpus_id: str,
+    max_queries: int,
 ) -> DataFrame:
-    """BM25 top ``k`` of weighted queries; ``match`` finds the query terms of a batch of documents."""
+    """BM25 top ``k`` of weighted queries; ``match`` finds the query terms of a batch of documents, which it is given in pieces by ``content``."""
     queries = prepared
     schema = f"{query_id} {sql_type(queries, query_id)}, {corpus_id} {sql_type(corpus, corpus_id)}, score double"
     target = arrow_schema(schema)
@@ -198,9 +199,10 @@ def words_topk(
             self.top = TopK(len(self.names), k)
 
         def feed(self, batch):
-            ids, matched = batch.column(corpus_id).to_pylist(), match(self.keywords, batch)
-            for tile in tiles(len(ids), len(self.names)):
-                self.top.add(None, ids[tile], self.keywords.scores(matched, tile))
+            for part in pieces(batch, content):
+                ids, matched = part.column(corpus_id).to_pylist(), match(self.keywords, part)
+                for tile in tiles(len(ids), len(self.names)):
+                    self.top.add(None, ids[tile], self.keywords.scores(matched, tile))
             return ()
 
         def finish(self):
@@ -234,14 +236,15 @@ def hybrid_topk(
     asked = _weighted_queries(
         queries, docs, query_id, query_text, query_vector
     ).checkpoint()  # both passes use it
-    return fused_topk(asked, docs, lambda words, batch: words.match(batch.column("text")), k, query_id, query_vector, corpus_id, corpus_vector, max_queries)
+    return fused_topk(asked, docs, "text", lambda words, batch: words.match(batch.column("text")), k, query_id, query_vector, corpus_id, corpus_vector,
+                      max_queries)
 
 
 def fused_topk(
-    asked: DataFrame, docs: DataFrame, match: Callable[[_Keywords, pa.RecordBatch], tuple], k: int, query_id: str, query_vector: str,
+    asked: DataFrame, docs: DataFrame, content: str, match: Callable[[_Keywords, pa.RecordBatch], tuple], k: int, query_id: str, query_vector: str,
     corpus_id: str, corpus_vector: str, max_queries: int,
 ) -> DataFrame:
-    """Both passes of ``hybrid_topk`` over weighted queries; ``match`` finds the query terms of a batch of documents."""
+    """Both passes of ``hybrid_topk`` over weighted queries; ``match`` finds the query terms of a batch of documents, cut by ``content``."""
     corpus, queries = docs, asked
     qtype, itype = sql_type(queries, query_id), sql_type(corpus, corpus_id)
     depth = 2 * k + RRF
@@ -255,10 +258,11 @@ def fused_topk(
         batch = with_vector(batch, corpus_vector)
         if not batch.num_rows or not len(vectors):
             return
-        ids, rows = batch.column(corpus_id).to_pylist(), unit_rows(batch.column(corpus_vector))
-        matched = match(keywords, batch)
-        for tile in tiles(len(ids), len(vectors)):
-            yield ids[tile], keywords.scores(matched, tile), rounded(cosines(rows[tile], vectors))
+        for part in pieces(batch, content):
+            ids, rows = part.column(corpus_id).to_pylist(), unit_rows(part.column(corpus_vector))
+            matched = match(keywords, part)
+            for tile in tiles(len(ids), len(vectors)):
+                yield ids[tile], keywords.scores(matched, tile), rounded(cosines(rows[tile], vectors))
 
     first_schema = f"{query_id} {qtype}, {corpus_id} {itype}, keyword_score double, vector_score double, by_keyword boolean"
     first_target = arrow_schema(first_schema)
