@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.functions.tokens import Tokens, from_lists, tokenise
+from parlance.functions.tokens import Tokens, cuts, from_lists, tokenise
 
 EmbedFn = Callable[[list[str]], np.ndarray]
 ModelFn = Callable[[list[str]], list[str]]
@@ -24,7 +24,7 @@ ModelFn = Callable[[list[str]], list[str]]
 REQUEST_SIZE = 32
 
 DIMENSIONS = 64
-_MAX_CELLS = 500_000
+_MAX_CELLS = 100_000  # about 20 MB of a worker
 
 
 class _Cells(dict):
@@ -76,9 +76,10 @@ def text_embedding_udf(embed: EmbedFn = embed_batch):
         for texts in batches:
             known = texts.notna().to_numpy()
             result = np.full(len(texts), None, dtype=object)
-            if known.any():
-                vectors = np.asarray(embed(texts[known].tolist()), dtype=float)
-                for row, vector in zip(np.flatnonzero(known), vectors, strict=True):
+            rows, asked = np.flatnonzero(known), texts[known]
+            for part in cuts(asked.str.len().to_numpy(dtype=np.int64)):
+                vectors = np.asarray(embed(asked.iloc[part].tolist()), dtype=float)
+                for row, vector in zip(rows[part], vectors, strict=True):
                     result[row] = vector
             yield pd.Series(result)
 
