@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.functions.models import ModelFn
-from parlance.functions.text import count_in, fill_template, words
+from parlance.functions.text import fill_template, has_any, words
 from parlance.operators.infer import safe_infer
 from parlance.sizing import number_rows
 
@@ -51,9 +51,12 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, key: str, order: lis
     return existing.join(known, F.col(key).eqNullSafe(F.col("__key")), "left_anti").unionByName(latest)
 
 
-def _shared(tokens: Column, others: Column) -> Column:
-    """Share of the distinct tokens that occur among the others; no tokens share nothing."""
-    own = F.array_distinct(tokens)
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(words(text))
+
+
+def _shared(own: Column, others: Column) -> Column:
+    """Share of the tokens (distinct) that occur among the others; no tokens share nothing."""
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, others)) / F.size(own)).otherwise(F.lit(0.0))
 
 
@@ -65,21 +68,24 @@ def lexical_scores(
     question: str = "question",
     answer: str = "answer",
     context: str = "context",
+    tokens: tuple[str, str, str] | None = None,
 ) -> DataFrame:
     """Four scores in [0, 1] per record; local rules in place of a judging model.
 
     groundedness: answer words found in the context.  relevance: question words found in the answer.
     safety: no blocked word.  guidelines: no tool word, and a source when the context has one.
+
+    ``tokens`` names columns that hold the distinct words of question, answer and context already; they are dropped.
     """
-    a, q, c = words(F.col(answer)), words(F.col(question)), words(F.col(context))
+    q, a, c = (F.col(t) for t in tokens) if tokens else (distinct_words(F.col(t)) for t in (question, answer, context))
     cites = ~F.contains(F.col(context), F.lit(source_marker)) | F.contains(F.col(answer), F.lit(source_marker))
     return (
         records.withColumn("__a", a).withColumn("__q", q).withColumn("__c", c)
         .withColumn("groundedness", _shared(F.col("__a"), F.col("__c")))
         .withColumn("relevance", _shared(F.col("__q"), F.col("__a")))
-        .withColumn("safety", F.when(count_in(F.col("__a"), blocked) == 0, 1.0).otherwise(0.0))
-        .withColumn("guidelines", F.when((count_in(F.col("__a"), tool_words) == 0) & cites, 1.0).otherwise(0.0))
-        .drop("__a", "__q", "__c")
+        .withColumn("safety", F.when(~has_any(F.col("__a"), blocked), 1.0).otherwise(0.0))
+        .withColumn("guidelines", F.when(~has_any(F.col("__a"), tool_words) & cites, 1.0).otherwise(0.0))
+        .drop("__a", "__q", "__c", *(tokens or ()))
     )
 
 

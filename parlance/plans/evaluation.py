@@ -118,13 +118,14 @@ def _scored(t: Tables) -> DataFrame:
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
     records = asked.join(replies, ["conv_id", "turn"]).join(before, ["conv_id", "turn"], "left").withColumn(
         "context", F.coalesce("context", F.lit("")))
-    # Both runs come from one joined row, so the joins run once.
-    runs = F.explode(F.array(
-        F.struct(F.lit("reply").alias("run"), F.col("answer").alias("answer")),
-        F.struct(F.lit("echo").alias("run"), F.col("question").alias("answer"))))
-    both = records.select("conv_id", "turn", "question", "context", runs.alias("r")).select(
-        "conv_id", "turn", "question", "context", "r.*")
-    return evaluate.lexical_scores(both, BLOCKED, TOOL_WORDS)
+    # Both runs come from one joined row, so the joins run once and no text is split into words twice.
+    split = records.select("*", *[evaluate.distinct_words(F.col(c)).alias(f"{c}_words") for c in ("question", "answer", "context")])
+    runs = F.explode(F.array(*[
+        F.struct(F.lit(run).alias("run"), F.col(c).alias("answer"), F.col(f"{c}_words").alias("answer_words"))
+        for run, c in (("reply", "answer"), ("echo", "question"))]))
+    shared = ["conv_id", "turn", "question", "context", "question_words", "context_words"]
+    both = split.select(*shared, runs.alias("r")).select(*shared, "r.*")
+    return evaluate.lexical_scores(both, BLOCKED, TOOL_WORDS, tokens=("question_words", "answer_words", "context_words"))
 
 
 @query(f"""
