@@ -21,7 +21,8 @@ class OpinionCounts:
     """The answers of every source row in buckets by key, and the number of opinions by class and sentiment.
 
     A refresh compares keys and text hashes, asks the model for new and changed texts only, and adds +1 for each opinion
-    that came and -1 for each that went to the counts before.  Only the buckets of changed keys are read and rewritten.
+    that came and -1 for each that went to the counts before.  Only the buckets of changed keys are read and rewritten; their
+    labels as stored, before and after, give the difference, so answers are written once and read by nothing else.
 
     The counts of a version are written before the version is committed and found by its number, so a refresh that is cut
     short leaves the view as it was, and one that is repeated counts nothing twice.  One writer at a time.
@@ -56,8 +57,9 @@ class OpinionCounts:
         return bucket_of(F.col(key), self.buckets).alias("bucket")
 
     def _changes(self, source: DataFrame, key: str, text_col: str, partial: bool, deleted: DataFrame | None) -> DataFrame:
-        """key, old and new hash (NULL: none) of the rows that came, went or changed, with their bucket."""
-        new = source.select(F.col(key).alias("new_key"), text_hash(F.col(text_col)).alias("h")).groupBy("new_key").agg(F.min("h").alias("new_hash"))
+        """key, old and new hash (NULL: none) of the rows that came, went or changed, with their bucket and number of source rows."""
+        new = source.select(F.col(key).alias("new_key"), text_hash(F.col(text_col)).alias("h")).groupBy("new_key").agg(
+            F.min("h").alias("new_hash"), F.count("*").alias("copies"))
         if deleted is not None:
             gone = deleted.select(F.col(key).alias("gone_key")).distinct()
             new = new.join(gone, _same("new_key", "gone_key"), "left_anti")
@@ -70,13 +72,13 @@ class OpinionCounts:
         elif version is not None:
             old = self.answers.read(version)
         if old is None:
-            both = new.select(F.col("new_key").alias("key"), F.lit(None).cast("string").alias("old_hash"), "new_hash")
+            both = new.select(F.col("new_key").alias("key"), F.lit(None).cast("string").alias("old_hash"), "new_hash", "copies")
         else:
             both = old.select(F.col("key").alias("old_key"), F.col("content_hash").alias("old_hash")).join(
                 new, _same("old_key", "new_key"), "full_outer").select(
-                F.coalesce("old_key", "new_key").alias("key"), "old_hash", "new_hash")
+                F.coalesce("old_key", "new_key").alias("key"), "old_hash", "new_hash", "copies")
         return both.where(~_same("old_hash", "new_hash")).select(
-            F.col("key").alias("changed_key"), "old_hash", "new_hash", self._bucket("key").alias("changed_bucket")).checkpoint()
+            F.col("key").alias("changed_key"), "old_hash", "new_hash", "copies", self._bucket("key").alias("changed_bucket")).checkpoint()
 
     def refresh(self, source: DataFrame, key: str, text_col: str, answer: Column, partial: bool = False,
                 deleted: DataFrame | None = None) -> int | None:
@@ -89,22 +91,29 @@ class OpinionCounts:
         if before is not None and changes.isEmpty():
             return None
         touched = [r[0] for r in changes.select("changed_bucket").distinct().collect()]  # at most ``buckets`` numbers
-        came = small_side(changes.where("new_hash is not null").select("changed_key", "new_hash"))
-        hashed = source.withColumn("__hash", text_hash(F.col(text_col)))
-        asked = hashed.join(came, _same(key, "changed_key") & (F.col("__hash") == F.col("new_hash")), "left_semi").dropDuplicates([key])
+        came, asked = changes.where("new_hash is not null"), source.withColumn("__hash", text_hash(F.col(text_col)))
+        # Whole texts are shuffled only where rows of the source are not asked about.
+        repeated = not came.where("copies > 1").isEmpty()
+        if before is not None or deleted is not None or repeated:
+            wanted = small_side(came.select("changed_key", "new_hash"))
+            asked = asked.join(wanted, _same(key, "changed_key") & (F.col("__hash") == F.col("new_hash")), "left_semi")
+        if repeated:
+            asked = asked.dropDuplicates([key])
         added = asked.select(F.col(key).alias("key"), F.col("__hash").alias("content_hash"), answer.alias("extracted_opinions"))
-        added = added.select("*", self._labels(F.col("extracted_opinions")).alias("labels"), self._bucket("key")).checkpoint()
-        rows, signed = added, self._signed(added, 1)
-        if before is not None:
-            known = self.answers.read(before, touched)
-            keys = small_side(changes.select("changed_key"))
-            went = known.join(keys, _same("key", "changed_key"), "left_semi")
-            signed = signed.unionByName(self._signed(went, -1))
-            rows = known.join(keys, _same("key", "changed_key"), "left_anti").unionByName(added)
-        total = self._counted(before).unionByName(signed.groupBy("classification", "sentiment").agg(F.sum("n_opinions").alias("n_opinions")))
-        total = total.groupBy("classification", "sentiment").agg(F.sum("n_opinions").alias("n_opinions")).where("n_opinions <> 0")
-        total.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counts/v={(before or 0) + 1}")
-        return self.answers.replace(rows, touched)
+        rows = added.select("*", self._labels(F.col("extracted_opinions")).alias("labels"), self._bucket("key"))
+        known = None if before is None else self.answers.read(before, touched)
+        if known is not None:
+            rows = known.join(small_side(changes.select("changed_key")), _same("key", "changed_key"), "left_anti").unionByName(rows)
+
+        def count(written: DataFrame) -> None:
+            signed = self._signed(written, 1)
+            if known is not None:  # what stayed in these buckets counts on both sides
+                signed = signed.unionByName(self._signed(known, -1))
+            total = self._counted(before).unionByName(signed.groupBy("classification", "sentiment").agg(F.sum("n_opinions").alias("n_opinions")))
+            total = total.groupBy("classification", "sentiment").agg(F.sum("n_opinions").alias("n_opinions")).where("n_opinions <> 0")
+            total.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counts/v={(before or 0) + 1}")
+
+        return self.answers.replace(rows, touched, count)
 
     @staticmethod
     def _signed(answers: DataFrame, sign: int) -> DataFrame:

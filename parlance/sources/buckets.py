@@ -9,6 +9,7 @@ run that was cut short leaves the table as it was.  Untouched buckets keep their
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,10 +67,11 @@ class BucketTable:
         paths = [f"{self.folder}/data/version__={v}" for v in sorted(by_version)]
         return self.spark.read.schema(schema).option("basePath", f"{self.folder}/data").parquet(*paths).where(wanted).drop("version__")
 
-    def replace(self, rows: DataFrame, touched: list[int] | None = None) -> int:
+    def replace(self, rows: DataFrame, touched: list[int] | None = None, before_commit: Callable[[DataFrame], None] | None = None) -> int:
         """Commits a version in which the ``touched`` buckets (all by default) hold exactly ``rows``; returns its number.
 
-        ``rows`` may read this table.  A bucket of very many rows is written by several tasks.
+        ``rows`` may read this table.  A bucket of very many rows is written by several tasks.  ``before_commit`` is given the rows
+        as they were written; the version does not count before it is done.
         """
         before = self.manifest()
         version = (self.version() or 0) + 1
@@ -79,6 +81,8 @@ class BucketTable:
         self.spark.createDataFrame([(json.dumps(plain.jsonValue()),)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{self.folder}/schemas/v={version}")
         written = self.spark.read.schema(T.StructType(list(plain.fields)).add(self.bucket, T.IntegerType())).option("basePath", path).parquet(path)
+        if before_commit is not None:
+            before_commit(written)
         made = written.groupBy(self.bucket).agg(F.lit(version).alias("v"), F.count("*").alias("n"), *[c.alias(n) for n, c in self.stats.items()])
         gone = None if touched is None else set(touched)
         kept = [] if gone is None else [r for r in before if r[self.bucket] not in gone]
