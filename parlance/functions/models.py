@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.functions.tokens import Tokens, cuts, from_lists, tokenise
+from parlance.functions.tokens import Tokens, cuts, from_lists, give_back, tokenise
 
 EmbedFn = Callable[[list[str]], np.ndarray]
 ModelFn = Callable[[list[str]], list[str]]
@@ -82,6 +82,7 @@ def text_embedding_udf(embed: EmbedFn = embed_batch):
                 for row, vector in zip(rows[part], vectors, strict=True):
                     result[row] = vector
             yield pd.Series(result)
+            give_back()
 
     return embedding
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,23 @@ NO_WORD = r"[^\p{L}\p{N}]+"
 # Tokens, their owners and codes take many times the bytes of a text, so a task works on this much of a batch at a time.
 PIECE_BYTES = 2 << 20
 _ENTRY_BYTES = 32  # a listed (term, tf)
+_set_aside = False
+
+
+def give_back() -> None:
+    """Returns the memory of earlier batches to the system.
+
+    Batches that have passed hang on in reference cycles of few but large objects, so the collector rarely starts by
+    itself, and allocators keep what is freed; a task's memory then grows with its input and stays with the worker.
+    What is there at the first call, mostly modules, is set aside once, so that a later collection takes little time.
+    """
+    global _set_aside
+    gc.collect()
+    if not _set_aside:
+        gc.freeze()
+        _set_aside = True
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
 
 
 def cuts(sizes: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[slice]:
@@ -31,6 +49,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         sizes = pc.binary_length(values).cast(pa.int64())
     for part in cuts(sizes.fill_null(0).to_numpy(zero_copy_only=False), limit):
         yield batch.slice(part.start, part.stop - part.start)
+        give_back()
 
 
 @dataclass

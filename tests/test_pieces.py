@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.models import embed_batch, text_embedding_udf
 from parlance.functions.tokens import PIECE_BYTES, cuts, pieces, tokenise
-from parlance.operators import postings
+from parlance.operators import blocks, postings
 from parlance.plans.registry import QUERIES
 from parlance.session import ARROW_BATCH
 
@@ -64,3 +66,59 @@ def test_queries_bound_the_bytes_of_a_batch(spark, data):
     spark.conf.unset(ARROW_BATCH[0])
     QUERIES["vector_norms"](spark, data)
     assert spark.conf.get(ARROW_BATCH[0]) == ARROW_BATCH[1] == before
+
+
+class Loop:
+    """A passed batch as it hangs on in a reference cycle."""
+
+    def __init__(self):
+        self.own = self
+
+
+def _kept_at_most(parts, seen: list) -> int:
+    """The most cycles alive at once while the parts are consumed, with the collector's own starts switched off."""
+    gc.collect()
+    gc.disable()
+    try:
+        most = 0
+        for _ in parts:
+            loop = Loop()
+            seen.append(weakref.ref(loop))
+            most = max(most, sum(r() is not None for r in seen))
+        return most
+    finally:
+        gc.enable()
+
+
+def test_passed_pieces_do_not_hang_on():
+    batch = pa.RecordBatch.from_pydict({"text": ["word " * 100_000] * 60})
+    seen: list = []
+    assert _kept_at_most(pieces(batch, "text"), seen) <= 2
+    assert len(seen) > 10
+
+
+def test_passed_batches_do_not_hang_on(spark):
+    seen: list = []
+    assert _kept_at_most(text_embedding_udf().func(iter([pd.Series(["a", None])] * 20)), seen) <= 2
+    assert len(seen) == 20
+
+
+def test_scored_batches_do_not_hang_on(spark, monkeypatch):
+    tasks, seen = [], []
+    rows = spark.createDataFrame([(1,)], "id bigint")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, run, schema: tasks.append(run) or df)
+    found = pa.table({"id": [1]})
+
+    class Scorer:
+        def __init__(self, asked):
+            pass
+
+        def feed(self, batch):
+            yield found
+
+        def finish(self):
+            return iter(())
+
+    blocks.score_join(rows, rows, "id", Scorer, "id bigint")
+    assert _kept_at_most(tasks[0](iter(found.to_batches() * 20)), seen) <= 2
+    assert len(seen) == 20
