@@ -418,6 +418,16 @@ def _mark_bucket(key: tuple, rows: pa.Table) -> pa.Table:
 RESULT = "id long, hash string, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
+def _covered(n: int, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which of ``n`` bytes lie in a marked string: a string that covers a byte begins on it or up to 49 bytes before."""
+    begins = np.zeros(n, bool)
+    for bit in range(WINDOW):
+        begins[at[mask & (np.int64(1) << bit) != 0] + bit] = True
+    count = np.cumsum(begins, dtype=np.int32)
+    count[WIDTH:] -= count[:-WIDTH].copy()
+    return count > 0
+
+
 def _cut(with_text: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def run(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -425,13 +435,7 @@ def _cut(with_text: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
         ids, texts, rows = _texts(rows)
         lengths = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
-        edge = np.zeros(len(data) + 1, np.int32)
-        at, mask = _marked_places(marks)
-        for bit in range(WINDOW):
-            begin = at[(mask >> np.int64(bit)) & 1 == 1] + bit
-            if len(begin):
-                edge += np.bincount(begin, minlength=len(edge)).astype(np.int32) - np.bincount(begin + WIDTH, minlength=len(edge)).astype(np.int32)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = _covered(len(data), *_marked_places(marks))
         removed, spans, digests, kept = [], [], [], []
         end = 0
         for n in lengths.tolist():
