@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import count_in, has_any, words
 from parlance.operators.index import content_hashes, text_hash
-from parlance.sizing import small_side
+from parlance.session import shared_dir
+from parlance.sizing import is_small, small_side
 from parlance.sources.tables import quoted, table_or_none
 
 # The allowed classifications and the shape of an answer.
@@ -30,18 +31,26 @@ def mine_opinions(text: Column, topics: list[tuple[str, list[str]]], positive: l
 
     The first topic with a word in the sentence classifies it; word lists give the sentiment.
     """
-    def opinion(part: Column) -> Column:
+    listed = sorted({word for _, members in topics for word in members} | set(positive) | set(negative))
+
+    def counted(part: Column) -> Column:
         sentence, tokens = part["sentence"], part["tokens"]
         label = F.lit(default)
         for name, members in reversed(topics):
             label = F.when(has_any(tokens, members), name).otherwise(label)
-        up, down = count_in(tokens, positive), count_in(tokens, negative)
+        return F.struct(label.alias("classification"), sentence.alias("comment"),
+                        count_in(tokens, positive).alias("up"), count_in(tokens, negative).alias("down"))
+
+    def opinion(part: Column) -> Column:
+        up, down = part["up"], part["down"]
         sentiment = (F.when((up > 0) & (up == down), "Mixed").when(up > down, "Positive")
                      .when(down > up, "Negative").otherwise("Neutral"))
-        return F.struct(label.alias("classification"), sentence.alias("comment"), sentiment.alias("sentiment"))
+        return F.struct(part["classification"].alias("classification"), part["comment"].alias("comment"), sentiment.alias("sentiment"))
 
-    split = F.transform(sentences(text), lambda s: F.struct(s.alias("sentence"), words(s).alias("tokens")))
-    return F.to_json(F.transform(split, opinion))
+    # Each transform binds what the next one uses more than once; only listed words are looked up again.
+    split = F.transform(sentences(text), lambda s: F.struct(
+        s.alias("sentence"), F.filter(words(s), lambda w: w.isin(*listed)).alias("tokens")))
+    return F.to_json(F.transform(F.transform(split, counted), opinion))
 
 
 def sentences(text: Column) -> Column:
@@ -52,9 +61,12 @@ def sentences(text: Column) -> Column:
 
 def parse_opinions(answer: Column) -> Column:
     """The answer as an array of structs.  Keys match in any case; unreadable text gives NULL."""
+    keys, plain = "|".join(_OPINION_KEYS), answer
     for key in _OPINION_KEYS:
-        answer = F.regexp_replace(answer, rf'(?i)"{key}"\s*:', f'"{key}":')
-    return F.from_json(answer, OPINION_SCHEMA)
+        plain = F.regexp_replace(plain, rf'(?i)"{key}"\s*:', f'"{key}":')
+    # Answers are rewritten only where a key is not written plainly.
+    odd = answer.rlike(rf'"(?!(?:{keys})":)(?i:{keys})"\s*:')
+    return F.from_json(F.when(odd, plain).otherwise(answer), OPINION_SCHEMA)
 
 
 def explode_opinions(df: DataFrame, answer_col: str = "extracted_opinions", allowed: list[str] = CLASSIFICATIONS) -> DataFrame:
@@ -105,18 +117,20 @@ def refresh_answers(
 
     Answers are stored by key and text hash, before any parsing, so a change in parsing costs no model
     call.  A run that is repeated after a failure finds what was written and adds nothing twice.
-    With ``partial`` the source is a small delivery: stored answers are then narrowed to its keys where
-    they lie, instead of being shuffled.
+    With ``partial`` the source is a delivery: if its keys are few, stored answers are narrowed to them
+    where they lie, instead of being shuffled.
     """
     spark = source.sparkSession
     wanted = source.withColumn("content_hash", text_hash(F.col(text_col)))
     known = table_or_none(spark, answers_table)
     if known is not None:
-        # Keys and hashes are compared first; whole texts are shuffled only if much is new.
-        hashes = content_hashes(source, key, text_col)
-        if partial:
-            known = known.join(small_side(hashes.select(key)), key, "left_semi")
-        new = hashes.join(known.select(key, "content_hash"), [key, "content_hash"], "left_anti").select(key)
+        # Keys and hashes are compared first, read from the texts once; whole texts are shuffled only if much is new.
+        shared_dir(spark)
+        hashes = content_hashes(source, key, text_col).checkpoint()
+        known = known.select(key, "content_hash")
+        if partial and is_small(hashes.select(key)):
+            known = known.join(F.broadcast(hashes.select(key)), key, "left_semi")
+        new = hashes.join(known, [key, "content_hash"], "left_anti").select(key)
         wanted = wanted.join(small_side(new), key, "left_semi")
     answered = wanted.select(key, "content_hash", answer.alias("extracted_opinions"))
     answered.write.format("parquet").mode("append").saveAsTable(quoted(answers_table))

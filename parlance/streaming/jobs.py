@@ -12,6 +12,8 @@ from parlance.functions.models import EmbedFn, embed_batch
 from parlance.operators.feedback import NEGATIVE, POSITIVE, polarity_counts
 from parlance.operators.index import sync_index
 from parlance.operators.opinions import refresh_answers
+from parlance.session import shared_dir
+from parlance.sizing import is_small, spread
 
 
 def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -40,9 +42,24 @@ def _run(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], N
 
 
 def _latest(batch: DataFrame, key: str, order: Column) -> DataFrame:
-    """One row per key: the last by ``order``."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))
-    return batch.withColumn("__r", rank).where(F.col("__r") == 1).drop("__r")
+    """One row per key: the last by ``order``.
+
+    The keys are counted first.  Rows of keys that come once are not ranked, so their texts are not shuffled for it.
+    """
+    def ranked(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))
+        return rows.withColumn("__r", rank).where(F.col("__r") == 1).drop("__r")
+
+    shared_dir(batch.sparkSession)
+    counts = batch.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
+    repeated = counts.where(F.col("__n") > 1).select("__key").checkpoint()
+    if repeated.isEmpty():
+        return batch
+    if not is_small(repeated):
+        return ranked(batch)
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    once = batch.join(F.broadcast(repeated), same, "left_anti")
+    return once.unionByName(ranked(batch.join(F.broadcast(repeated), same, "left_semi")))
 
 
 def index_stream(stream: DataFrame, index_table: str, key: str, text_col: str, checkpoint: str, order: Column,
@@ -66,7 +83,7 @@ def answers_stream(stream: DataFrame, answers_table: str, key: str, text_col: st
                    checkpoint: str, order: Column) -> StreamingQuery:
     """Incremental model answers; keys and text hashes already answered are left alone."""
     def batch(rows: DataFrame, _: int) -> None:
-        refresh_answers(_latest(rows, key, order), answers_table, key, text_col, answer, partial=True)
+        refresh_answers(_latest(spread(rows), key, order), answers_table, key, text_col, answer, partial=True)
 
     return _run(stream, checkpoint, batch)
 
